@@ -23,7 +23,7 @@ UNLISTED_STRICT = 999
 
 def authority_priority(authority: Column, strict: bool = False) -> Column:
     """Rank of an authority. The strict form compares case and keeps NULL."""
-    known = F.array(*[F.lit(a) for a in AUTHORITIES])
+    known = F.expr("array({})".format(", ".join(f"'{a}'" for a in AUTHORITIES)))
     if strict:
         place = F.array_position(known, authority)
         return F.when(place == 0, F.lit(UNLISTED_STRICT)).otherwise(place).cast("int")
@@ -34,7 +34,7 @@ def authority_priority(authority: Column, strict: bool = False) -> Column:
 def kind_priority(authority: Column, kind: Column) -> Column:
     """Rank of a kind code: the authority's own order first, then grants before applications."""
     ranks = {f"EP {k}": r for k, r in EP_KINDS.items()} | {f"WO {k}": r for k, r in WO_KINDS.items()}
-    table = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    table = F.expr("map({})".format(", ".join(f"'{k}', {r}" for k, r in ranks.items())))
     own = F.try_element_at(table, F.concat(F.upper(authority), F.lit(" "), kind))
     letter = F.upper(F.substring(kind, 1, 1))
     general = (

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patentkin.functions.priority import authority_priority, content_priority, kind_priority
-from patentkin.functions.text import present
 from patentkin.operators.skew import HOT_ROWS, salt, split_hot
 
 CPC_WIDTH = 200
@@ -28,106 +27,98 @@ def score(pubs: DataFrame) -> DataFrame:
     )
 
 
-def _nulls_last(*columns: Column) -> list[Column]:
-    out = []
-    for c in columns:
-        out += [c.isNull(), c]
-    return out
+def _order(*priorities: str) -> str:
+    """Sort key of a publication: priorities, newest first, then number and id; NULLs last."""
+    parts = [*priorities]
+    for value in ("-unix_date(publication_date)", "doc_number", "id"):
+        parts += [f"{value} IS NULL", value]
+    return "struct({})".format(", ".join(f"{p} AS k{i}" for i, p in enumerate(parts)))
 
 
-def _order(*priorities: str) -> Column:
-    """Sort key of a publication: priorities, newest first, then number and id."""
-    newest_first = -F.unix_date("publication_date")
-    parts = [F.col(p) for p in priorities]
-    parts += _nulls_last(newest_first, F.col("doc_number"), F.col("id"))
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+def _in_family(value: str) -> str:
+    # Rows without a family have no member list, authorities, dates or unions.
+    return f"CASE WHEN family_id IS NOT NULL THEN {value} END"
 
 
 def representative() -> Column:
     """The publication that speaks for the family, with its sort key."""
-    return F.min(
-        F.struct(
-            _order("authority_priority", "kind_priority", "content_priority").alias("key"),
-            "id", "authority", "kind", "publication_date", "title", "abstract",
-        )
-    )
-
-
-def _in_family(value: Column) -> Column:
-    # Rows without a family have no member list, authorities, dates or unions.
-    return F.when(F.col("family_id").isNotNull(), value)
+    key = _order("authority_priority", "kind_priority", "content_priority")
+    return F.expr(f"min(struct({key} AS key, id, authority, kind, publication_date, title, abstract))")
 
 
 def members() -> Column:
     """Publication ids with what they are sorted by."""
-    date = F.col("publication_date")
-    return F.collect_list(_in_family(F.struct(date.isNull().alias("undated"), date.alias("date"), "id")))
+    member = "struct(publication_date IS NULL AS undated, publication_date AS date, id)"
+    return F.expr(f"collect_list({_in_family(member)})")
 
 
 def authorities() -> Column:
     """Distinct authorities with their rank."""
-    rank = authority_priority(F.col("authority")).alias("rank")
-    known = F.when(F.col("authority").isNotNull(), F.struct(rank, "authority"))
-    return F.collect_set(_in_family(known))
+    known = "CASE WHEN authority IS NOT NULL THEN struct(authority_priority AS rank, authority) END"
+    return F.expr(f"collect_set({_in_family(known)})")
 
 
 def first_date(prefix: str) -> Column:
     """Earliest publication whose kind starts with the letter."""
-    return F.min(_in_family(F.when(F.startswith(F.col("kind"), F.lit(prefix)), F.col("publication_date"))))
+    return F.expr(f"min(publication_date) FILTER (WHERE family_id IS NOT NULL AND startswith(kind, '{prefix}'))")
 
 
-def union_of(values: Column) -> Column:
+def union_of(values: str) -> Column:
     """Distinct elements of an array column; NULL elements stay."""
-    return F.array_distinct(F.flatten(F.collect_set(_in_family(values))))
+    return F.expr(f"array_distinct(flatten(collect_set({_in_family(values)})))")
 
 
 def best_text(column: str) -> Column:
     """Text of the best publication that has one, with its sort key."""
-    keyed = F.struct(_order("authority_priority", "kind_priority").alias("key"), F.col(column).alias("text"))
-    return F.min(_in_family(F.when(present(F.col(column)).isNotNull(), keyed)))
+    key = _order("authority_priority", "kind_priority")
+    return F.expr(
+        f"min(struct({key} AS key, {column} AS text)) FILTER (WHERE family_id IS NOT NULL AND trim({column}) <> '')"
+    )
 
 
-def _parts() -> dict[str, Column]:
-    return {
+def _parts() -> list[Column]:
+    parts = {
         "rep": representative(),
         "members": members(),
         "authorities": authorities(),
         "first_application_pub_date": first_date("A"),
         "first_grant_pub_date": first_date("B"),
-        "cpc": union_of(F.transform("cpc_classes", lambda c: F.left(c, F.lit(CPC_WIDTH)))),
-        "applicants": union_of(F.col("applicants")),
-        "inventors": union_of(F.col("inventors")),
+        "cpc": union_of(f"transform(cpc_classes, c -> left(c, {CPC_WIDTH}))"),
+        "applicants": union_of("applicants"),
+        "inventors": union_of("inventors"),
         "best_title": best_text("title"),
         "best_abstract": best_text("abstract"),
     }
+    return [column.alias(name) for name, column in parts.items()]
 
 
-def _merge(name: str) -> Column:
-    """Aggregate that puts salted parts of one family together."""
-    if name == "members":
-        return F.flatten(F.collect_list(name))
-    if name in ("authorities", "cpc", "applicants", "inventors"):
-        return F.array_distinct(F.flatten(F.collect_list(name)))
-    return F.min(name)
+def _merged_parts() -> list[Column]:
+    """Aggregates that put salted parts of one family together."""
+    least = ("rep", "first_application_pub_date", "first_grant_pub_date", "best_title", "best_abstract")
+    union = ("authorities", "cpc", "applicants", "inventors")
+    return [
+        *[F.expr(f"min({name}) AS {name}") for name in least],
+        *[F.expr(f"array_distinct(flatten(collect_list({name}))) AS {name}") for name in union],
+        F.expr("flatten(collect_list(members)) AS members"),
+    ]
 
 
 def _finish(parts: DataFrame) -> DataFrame:
-    ranked = F.array_sort("authorities")
-    return parts.select(
+    return parts.selectExpr(
         "family_id",
-        _in_family(F.transform(F.array_sort("members"), lambda m: m["id"])).alias("family_members"),
-        F.when(F.size(ranked) > 0, F.transform(ranked, lambda a: a["authority"])).alias("family_authorities"),
-        F.coalesce(present(F.col("rep.title")), F.col("best_title.text")).alias("title"),
-        F.coalesce(present(F.col("rep.abstract")), F.col("best_abstract.text")).alias("abstract"),
-        F.array_sort("cpc").alias("cpc"),
-        F.array_sort("applicants").alias("applicants"),
-        F.array_sort("inventors").alias("inventors"),
+        _in_family("transform(array_sort(members), m -> m.id)") + " AS family_members",
+        "nullif(transform(array_sort(authorities), a -> a.authority), array()) AS family_authorities",
+        "coalesce(nullif(trim(rep.title), ''), best_title.text) AS title",
+        "coalesce(nullif(trim(rep.abstract), ''), best_abstract.text) AS abstract",
+        "array_sort(cpc) AS cpc",
+        "array_sort(applicants) AS applicants",
+        "array_sort(inventors) AS inventors",
         "first_application_pub_date",
         "first_grant_pub_date",
-        F.col("rep.id").alias("rep_id"),
-        F.col("rep.authority").alias("rep_authority"),
-        F.col("rep.kind").alias("rep_kind"),
-        F.col("rep.publication_date").alias("rep_pub_date"),
+        "rep.id AS rep_id",
+        "rep.authority AS rep_authority",
+        "rep.kind AS rep_kind",
+        "rep.publication_date AS rep_pub_date",
     )
 
 
@@ -137,9 +128,9 @@ def rollup(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     Ordinary families: rows are shuffled once by family and aggregated there, so each text
     travels once. Families above `hot_rows` rows are reduced in salted parts before they meet.
     """
-    parts = [c.alias(name) for name, c in _parts().items()]
+    parts = _parts()
     ordinary, hot = split_hot(scored, "family_id", hot_rows)
     whole = ordinary.repartition("family_id").groupBy("family_id").agg(*parts)
     salted = hot.groupBy("family_id", salt(F.col("id"), SALTS).alias("salt")).agg(*parts)
-    merged = salted.groupBy("family_id").agg(*[_merge(name).alias(name) for name in _parts()])
+    merged = salted.groupBy("family_id").agg(*_merged_parts())
     return _finish(whole).unionByName(_finish(merged))

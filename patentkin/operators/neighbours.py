@@ -234,12 +234,16 @@ def knn_by_id(
 
 
 def knn_by_vector(
-    queries: DataFrame, emb: DataFrame, n: int, broadcast_bytes: int = BROADCAST_BYTES
+    queries: DataFrame, emb: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """(query_id, id, distance, rank): the n nearest vectors of every query vector, itself included."""
-    asked = queries.select("query_id", F.lit(n).alias("k"), "embedding").where(F.size("embedding") > 0)
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    found = search(asked, emb, n, size["n"], size["d"] or 0, broadcast_bytes=broadcast_bytes)
+    """(query_id, id, distance, rank): the n nearest vectors of every query vector.
+
+    A column `k` on the queries asks for a number of its own per query.
+    """
+    depth = F.col("k").cast("int") if "k" in queries.columns else F.lit(n)
+    asked = queries.select("query_id", depth.alias("k"), "embedding").where(F.size("embedding") > 0)
+    size = asked.agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.size("embedding")).alias("d")).first()
+    found = search(asked, emb, size["k"] or 0, size["n"], size["d"] or 0, broadcast_bytes=broadcast_bytes)
     return found.select("query_id", "id", (F.lit(1.0) - F.col("score")).alias("distance"), "rank")
 
 
