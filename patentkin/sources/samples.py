@@ -113,6 +113,35 @@ SELECT cast(event_id AS string) AS uid,
 FROM events
 """
 
+# Vectors written as text, with every bracket, blank pieces and a piece that is no number.
+VECTOR_TEXTS = """
+SELECT l_orderkey, l_linenumber,
+       concat(split_part('[ |(|{|', '|', cast(1 + l_linenumber % 4 AS int)), cast(cast(l_quantity AS bigint) AS string),
+              CASE WHEN l_returnflag = 'A' THEN ',,' ELSE ', ' END,
+              CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'x' ELSE cast(l_suppkey AS string) END,
+              split_part(' ]|)|}|', '|', cast(1 + l_linenumber % 4 AS int))) AS text
+FROM lineitem
+"""
+
+# Ids as texts: whole numbers with blanks and signs, and texts that are none.
+ID_TEXTS = """
+SELECT event_id,
+       CASE WHEN event_type = 'click' THEN concat(' ', cast(user_id AS string), ' ')
+            WHEN event_type = 'view' THEN concat('-', cast(event_id AS string))
+            WHEN event_type = 'signup' THEN concat(cast(user_id AS string), '.5')
+            WHEN event_type = 'error' THEN props
+            ELSE concat('+', cast(user_id AS string)) END AS text
+FROM events
+"""
+
+# Steps of runs: an event is a step, a user a job, and every hundred events a batch.
+STATUS_LOG = """
+SELECT cast(user_id AS string) AS uid, cast(floor(event_id / 100) AS bigint) AS batch_id,
+       CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done' ELSE 'calculating' END AS status,
+       event_id % 100 AS progress, concat('step ', cast(event_id AS string)) AS message
+FROM events
+"""
+
 VIEWS = {
     "patents": PATENTS,
     "export_embeddings": EXPORT_EMBEDDINGS,
@@ -121,6 +150,9 @@ VIEWS = {
     "ip_patent_lists": LISTS,
     "ip_patent_list_items": LIST_ITEMS,
     "ip_landscapes": LANDSCAPES,
+    "vector_texts": VECTOR_TEXTS,
+    "id_texts": ID_TEXTS,
+    "status_log": STATUS_LOG,
 }
 
 SOURCES = {
@@ -131,6 +163,9 @@ SOURCES = {
     "ip_patent_lists": ["supplier"],
     "ip_patent_list_items": ["lineitem"],
     "ip_landscapes": ["events"],
+    "vector_texts": ["lineitem"],
+    "id_texts": ["events"],
+    "status_log": ["events"],
 }
 
 
