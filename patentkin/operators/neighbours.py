@@ -26,6 +26,7 @@ CELL_QUERIES = 8_192
 CELL_CORPUS = 65_536
 CHUNK = 1_024
 DIGITS = 4
+TIE_DIGITS = 12  # equal vectors tie, whatever the last bits of their products are
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("k", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
 
@@ -51,13 +52,13 @@ def _usable(ids: np.ndarray, vectors: np.ndarray, metric: str) -> tuple[np.ndarr
     return ids[keep], vectors[keep] / norms[keep, None], keep
 
 
-def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str, digits: int | None) -> np.ndarray:
+def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str, digits: int) -> np.ndarray:
     """Larger is nearer: cosine similarity, or minus the squared distance."""
     out = queries @ corpus.T
     if metric == "euclidean":
         out = 2 * out - (queries**2).sum(1)[:, None] - (corpus**2).sum(1)[None, :]
         out = np.minimum(out, 0.0)
-    return out if digits is None else np.round(out, digits)
+    return np.round(out, digits)
 
 
 def _keep_best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndarray):
@@ -71,7 +72,7 @@ def _keep_best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndar
 
 def _search(
     query_ids: np.ndarray, queries: np.ndarray, k: np.ndarray,
-    corpus: Iterable[tuple[np.ndarray, np.ndarray]], metric: str, digits: int | None, skip_self: bool,
+    corpus: Iterable[tuple[np.ndarray, np.ndarray]], metric: str, digits: int, skip_self: bool,
 ) -> Iterator[pa.RecordBatch]:
     """Best k of the corpus for every query, over any number of corpus batches."""
     query_ids, queries, usable = _usable(query_ids, queries, metric)
@@ -117,7 +118,7 @@ def _search(
         )
 
 
-def _by_broadcast(queries: DataFrame, corpus: DataFrame, metric: str, digits: int | None, skip_self: bool) -> DataFrame:
+def _by_broadcast(queries: DataFrame, corpus: DataFrame, metric: str, digits: int, skip_self: bool) -> DataFrame:
     table = queries.select("query_id", "k", "embedding").toArrow()
     shared = corpus.sparkSession.sparkContext.broadcast(
         (table["query_id"].to_numpy(), _vectors(table["embedding"]), table["k"].to_numpy())
@@ -132,7 +133,7 @@ def _by_broadcast(queries: DataFrame, corpus: DataFrame, metric: str, digits: in
 
 
 def _in_cells(
-    left: DataFrame, right: DataFrame, cell: list[str], metric: str, digits: int | None, skip_self: bool
+    left: DataFrame, right: DataFrame, cell: list[str], metric: str, digits: int, skip_self: bool
 ) -> DataFrame:
     """Search inside every cell; both sides carry the cell's key columns."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*cell).schema)
@@ -161,7 +162,7 @@ def _in_cells(
 
 
 def _by_grid(
-    queries: DataFrame, corpus: DataFrame, n_queries: int, metric: str, digits: int | None, skip_self: bool
+    queries: DataFrame, corpus: DataFrame, n_queries: int, metric: str, digits: int, skip_self: bool
 ) -> DataFrame:
     tall = max(1, math.ceil(n_queries / CELL_QUERIES))
     wide = max(1, math.ceil(corpus.count() / CELL_CORPUS))
@@ -196,7 +197,7 @@ def vectors_for(ids: DataFrame, emb: DataFrame) -> DataFrame:
 
 def search(
     queries: DataFrame, emb: DataFrame, k_max: int, n_queries: int, dimension: int,
-    digits: int | None = None, skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+    digits: int = TIE_DIGITS, skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(query_id, id, score, rank) by cosine for queries (query_id, k, embedding)."""
     corpus = usable_vectors(emb)
@@ -260,5 +261,5 @@ def knn_within(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int
         "group", F.col("own").alias("g"), every.alias("h"), F.col("id").alias("query_id"), F.lit(k).alias("k"), "embedding"
     )
     right = blocked.select("group", every.alias("g"), F.col("own").alias("h"), "id", "embedding")
-    found = _in_cells(left, right, ["group", "g", "h"], metric, None, skip_self=True)
+    found = _in_cells(left, right, ["group", "g", "h"], metric, TIE_DIGITS, skip_self=True)
     return _ranked(found, ["group", "query_id"], k).select("group", "query_id", "id", "score", "rank")

@@ -12,7 +12,7 @@ from patentkin.functions.text import row_size
 
 TARGET_BYTES = 100 * 2**20
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 20_000
+MAX_RANGES = 1_024
 
 
 def _ranges(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
@@ -20,11 +20,11 @@ def _ranges(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
 
     The bounds are fixed numbers, so every evaluation and every retried task sees the same ranges.
     """
-    n = min(math.ceil(df.count() / rows_per_range), MAX_RANGES)
-    cuts = []
-    if n > 1:
-        shares = [i / n for i in range(1, n)]
-        cuts = df.agg(F.percentile_approx(key, shares, 10 * n).alias("cuts")).first()["cuts"]
+    shares = ", ".join(str(i / MAX_RANGES) for i in range(1, MAX_RANGES))
+    cuts = F.expr(f"percentile_approx({key}, array({shares}), {10 * MAX_RANGES})")
+    size = df.agg(F.count("*").alias("n"), cuts.alias("cuts")).first()
+    ranges = min(math.ceil(size["n"] / rows_per_range), MAX_RANGES) or 1
+    cuts = (size["cuts"] or [])[:: math.ceil(MAX_RANGES / ranges)] if ranges > 1 else []
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
     numeric = df.withColumn("_key", F.col(key).cast("double"))
     if len(splits) < 3:

@@ -430,6 +430,15 @@ _filter("assignee", "by_family", """
 family_id IN (SELECT family_id FROM by_family WHERE applicant = 'acme')
 AND family_id NOT IN (SELECT family_id FROM by_family WHERE applicant = 'kyoto robotics')
 """)
+_TRIGRAMS = (
+    "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN string_split({}, ' ')]))"
+)
+_piece("fuzzy", "by_family", f"""
+SELECT DISTINCT family_id
+FROM (SELECT family_id, {_TRIGRAMS.format("applicant")} AS a, {_TRIGRAMS.format("'societe generalle'")} AS b FROM by_family)
+WHERE len(list_intersect(a, b)) >= 0.3 * len(list_distinct(list_concat(a, b)))
+""")
+_filter("assignee_fuzzy", "fuzzy", "family_id IN (SELECT family_id FROM fuzzy)")
 _filter("inventor", "", "list_contains(inventors, 'Inv 3') AND NOT list_contains(inventors, 'Inv 5')")
 _filter("applicant", "", "list_has_any(applicants, ['src3 Group', 'src4 Group'])")
 _filter("cpc", "codes", """
@@ -445,3 +454,30 @@ contains(lower(concat_ws(' ', title, abstract)), 'an') AND NOT contains(lower(co
 """)
 _oracle("filter_cpc_children", "codes", "SELECT DISTINCT family_id FROM codes WHERE regexp_full_match(code, 'F16[A-Z]')")
 _oracle("filter_cpc_subtree", "codes", "SELECT DISTINCT family_id FROM codes WHERE code = 'F16H'")
+
+_piece("asked_documents", "nodes", """
+SELECT job_uid, row_number() OVER () AS query_id, coalesce((d->>'$.weight')::DOUBLE, 1) AS weight, k,
+       coalesce(d->>'$.title', '') || ' ' || coalesce(d->>'$.abstract', '') AS text
+FROM (SELECT job_uid, coalesce((c->>'$.node.k')::INT, 200) AS k, unnest(json_extract(c, '$.node.docs[*]')) AS d
+      FROM nodes WHERE type = 'seed_docs')
+""")
+_piece("document_vectors", "asked_documents", """
+SELECT text, list(mean ORDER BY dim) AS v FROM (
+  SELECT text, d AS dim,
+         avg((instr('0123456789abcdef', substr(h, 2 * d + 1, 1)) - 1) * 16
+             + instr('0123456789abcdef', substr(h, 2 * d + 2, 1)) - 1) / 127.5 - 1.0 AS mean
+  FROM (SELECT text, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:512])) AS h
+        FROM (SELECT DISTINCT text FROM asked_documents)), range(16) AS r(d)
+  GROUP BY ALL)
+GROUP BY text
+""")
+_piece("family_vectors", "token_means", "SELECT id, list(mean::FLOAT::DOUBLE ORDER BY dim) AS v FROM token_means GROUP BY id")
+_piece("document_nearest", "document_vectors family_vectors", """
+SELECT text, id, similarity, row_number() OVER (PARTITION BY text ORDER BY round(similarity, 12) DESC, id) AS rank
+FROM (SELECT d.text, f.id, list_cosine_similarity([x::FLOAT::DOUBLE FOR x IN d.v], f.v) AS similarity
+      FROM document_vectors d JOIN family_vectors f ON true)
+""")
+_oracle("filter_seed_documents", "asked_documents document_nearest", """
+SELECT job_uid, id AS family_id, round(similarity * weight, 4) AS similarity
+FROM asked_documents JOIN document_nearest USING (text) WHERE rank <= k
+""")
