@@ -7,6 +7,10 @@ these candidates picks the final ones. Ties go to the smaller id.
 Two ways to bring the blocks together, chosen by the measured size of the queries:
 few queries are broadcast and the corpus is scanned in place; many are laid out as a grid of
 (query block, corpus block) cells and shuffled, with both sides of a cell bounded.
+
+Over a large corpus a first search in a fixed part of it finds, for every query, a score that its
+k-th neighbour reaches at least. Nothing below that score can be in the result, so the tasks of the
+full search leave it out, and the shuffle no longer grows with the number of tasks.
 """
 
 from __future__ import annotations
@@ -22,9 +26,12 @@ from pyspark.sql import functions as F
 from patentkin.functions.vectors import parse_vector
 from patentkin.operators.skew import BROADCAST_BYTES, salt
 
-CELL_QUERIES = 8_192
-CELL_CORPUS = 65_536
-CHUNK = 1_024
+CELL_BYTES = 64 * 2**20  # of the vectors on one side of a cell, in double precision
+CELL_ROWS = 65_536
+CHUNK_ROWS = 1_024
+CHUNK_SCORES = 2**23  # scores held at a time
+BOUND_ROWS = 2_000_000  # corpus size from which a first search pays
+BOUND_PART = 64  # one in so many corpus rows takes part in it
 DIGITS = 4
 TIE_DIGITS = 12  # equal vectors tie, whatever the last bits of their products are
 
@@ -71,45 +78,52 @@ def _keep_best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndar
 
 
 def _search(
-    query_ids: np.ndarray, queries: np.ndarray, k: np.ndarray,
+    query_ids: np.ndarray, queries: np.ndarray, k: np.ndarray, floor: np.ndarray,
     corpus: Iterable[tuple[np.ndarray, np.ndarray]], metric: str, digits: int, skip_self: bool,
 ) -> Iterator[pa.RecordBatch]:
-    """Best k of the corpus for every query, over any number of corpus batches."""
+    """Best k of the corpus for every query, over any number of corpus batches.
+
+    A score below the query's `floor` does not count.
+    """
     query_ids, queries, usable = _usable(query_ids, queries, metric)
-    k = k[usable]
+    k, floor = k[usable], floor[usable].astype(np.float64)
     best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # not yet merged into the best
     if not len(query_ids) or k.max() < 1:
         return
-    floor = np.full(len(query_ids), -np.inf)  # a score must reach this to count
     by_id = np.argsort(query_ids)
+    step = min(max(CHUNK_SCORES // len(query_ids), 64), CHUNK_ROWS)
+
+    def merge() -> None:
+        nonlocal best
+        best = _keep_best(*(np.concatenate(parts) for parts in zip(best, *found)), k)
+        found.clear()
+        # A row that has its k needs nothing below its worst one.
+        size = np.bincount(best[0], minlength=len(query_ids))
+        full = (size >= k) & (size > 0)
+        floor[full] = best[2][np.cumsum(size)[full] - 1]
+
     for ids, vectors in corpus:
         ids, vectors, _ = _usable(ids, vectors, metric)
-        for start in range(0, len(ids), CHUNK):
-            part = ids[start : start + CHUNK]
-            scores = _scores(queries, vectors[start : start + CHUNK], metric, digits)
+        for start in range(0, len(ids), step):
+            part = ids[start : start + step]
+            scores = _scores(queries, vectors[start : start + step], metric, digits)
             if skip_self:
                 left = np.searchsorted(query_ids, part, side="left", sorter=by_id)
                 right = np.searchsorted(query_ids, part, side="right", sorter=by_id)
                 for column in np.nonzero(right > left)[0]:
                     scores[by_id[left[column] : right[column]], column] = -np.inf
             depth = min(int(k.max()), len(part))
-            if not np.isfinite(floor).all() and depth < len(part):
+            least = floor
+            if depth < len(part) and np.isinf(floor).any():
                 cut = np.partition(scores, len(part) - depth, axis=1)[:, len(part) - depth]
-                floor_now = np.maximum(floor, cut)
-            else:
-                floor_now = floor
-            rows, columns = np.nonzero((scores >= floor_now[:, None]) & (scores > -np.inf))
-            best = _keep_best(
-                np.concatenate([best[0], rows]),
-                np.concatenate([best[1], part[columns]]),
-                np.concatenate([best[2], scores[rows, columns]]),
-                k,
-            )
-            # A row that has its k needs nothing below its worst one.
-            size = np.bincount(best[0], minlength=len(query_ids))
-            last = np.cumsum(size) - 1
-            full = (size >= k) & (size > 0)
-            floor[full] = best[2][last[full]]
+                least = np.maximum(floor, cut)
+            rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            found.append((rows, part[columns], scores[rows, columns]))
+            if sum(len(f[0]) for f in found) >= len(best[0]):
+                merge()
+    if found:
+        merge()
     rows, ids, scores = best
     if len(rows):
         yield pa.RecordBatch.from_arrays(
@@ -118,16 +132,27 @@ def _search(
         )
 
 
+QUERY = ("query_id", "embedding", "k", "floor")
+
+
+def _columns(queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, k, floor = (queries[c].to_numpy() for c in ("query_id", "k", "floor"))
+    return ids, _vectors(queries["embedding"]), k, floor
+
+
+def _slices(corpus: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors a few at a time, so that a cell is never held twice in double precision."""
+    for start in range(0, corpus.num_rows, 4 * CHUNK_ROWS):
+        part = corpus.slice(start, 4 * CHUNK_ROWS)
+        yield part["id"].to_numpy(), _vectors(part["embedding"])
+
+
 def _by_broadcast(queries: DataFrame, corpus: DataFrame, metric: str, digits: int, skip_self: bool) -> DataFrame:
-    table = queries.select("query_id", "k", "embedding").toArrow()
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (table["query_id"].to_numpy(), _vectors(table["embedding"]), table["k"].to_numpy())
-    )
+    shared = corpus.sparkSession.sparkContext.broadcast(_columns(queries.select(*QUERY).toArrow()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, k = shared.value
         read = ((b["id"].to_numpy(zero_copy_only=False), _vectors(b["embedding"])) for b in batches if b.num_rows)
-        yield from _search(ids, vectors, k, read, metric, digits, skip_self)
+        yield from _search(*shared.value, read, metric, digits, skip_self)
 
     return corpus.select("id", "embedding").mapInArrow(scan, "query_id long, k int, id long, score double")
 
@@ -142,10 +167,7 @@ def _in_cells(
         found = []
         if queries.num_rows and corpus.num_rows:
             found = list(
-                _search(
-                    queries["query_id"].to_numpy(), _vectors(queries["embedding"]), queries["k"].to_numpy(),
-                    [(corpus["id"].to_numpy(), _vectors(corpus["embedding"]))], metric, digits, skip_self,
-                )
+                _search(*_columns(queries), _slices(corpus), metric, digits, skip_self)
             )
         table = pa.Table.from_batches(found, _FOUND)
         for i, name in enumerate(cell):
@@ -162,10 +184,12 @@ def _in_cells(
 
 
 def _by_grid(
-    queries: DataFrame, corpus: DataFrame, n_queries: int, metric: str, digits: int, skip_self: bool
+    queries: DataFrame, corpus: DataFrame, n_queries: int, n_corpus: int, dimension: int,
+    metric: str, digits: int, skip_self: bool,
 ) -> DataFrame:
-    tall = max(1, math.ceil(n_queries / CELL_QUERIES))
-    wide = max(1, math.ceil(corpus.count() / CELL_CORPUS))
+    side = min(CELL_ROWS, max(1, CELL_BYTES // (8 * max(dimension, 1))))
+    tall = max(1, math.ceil(n_queries / side))
+    wide = max(1, math.ceil(n_corpus / side))
     left = queries.withColumn("g", salt(F.col("query_id"), tall)).withColumn(
         "h", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))
     )
@@ -200,12 +224,23 @@ def search(
     digits: int = TIE_DIGITS, skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(query_id, id, score, rank) by cosine for queries (query_id, k, embedding)."""
+    n_corpus = emb.count()
+
+    def find(asked: DataFrame, corpus: DataFrame, rows: int) -> DataFrame:
+        if n_queries * dimension * 8 <= broadcast_bytes:
+            found = _by_broadcast(asked, corpus, "cosine", digits, skip_self)
+        else:
+            found = _by_grid(asked, corpus, n_queries, rows, dimension, "cosine", digits, skip_self)
+        return _ranked(found, ["query_id"], k_max)
+
     corpus = usable_vectors(emb)
-    if n_queries * dimension * 8 <= broadcast_bytes:
-        found = _by_broadcast(queries, corpus, "cosine", digits, skip_self)
-    else:
-        found = _by_grid(queries, corpus, n_queries, "cosine", digits, skip_self)
-    return _ranked(found, ["query_id"], k_max).select("query_id", "id", "score", "rank")
+    asked = queries.withColumn("floor", F.lit(-math.inf))
+    if n_corpus >= BOUND_ROWS:
+        part = corpus.where(salt(F.col("id"), BOUND_PART) == 0)
+        last = find(asked, part, math.ceil(n_corpus / BOUND_PART)).where(F.col("rank") == F.col("k"))
+        bound = last.select("query_id", F.col("score").alias("bound"))
+        asked = queries.join(bound, "query_id", "left").withColumn("floor", F.coalesce("bound", F.lit(-math.inf)))
+    return find(asked, corpus, n_corpus).select("query_id", "id", "score", "rank")
 
 
 def _dimension(emb: DataFrame) -> int:
@@ -248,17 +283,21 @@ def knn_by_vector(
     return found.select("query_id", "id", (F.lit(1.0) - F.col("score")).alias("distance"), "rank")
 
 
-def knn_within(df: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_QUERIES) -> DataFrame:
+def knn_within(df: DataFrame, k: int, metric: str = "euclidean", cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(group, query_id, id, score, rank): nearest others inside the same group.
 
-    A group of up to `cell_rows` rows is one cell; a larger one is cut into blocks that meet pairwise.
+    A group whose vectors fit `cell_bytes` is one cell; a larger one is cut into blocks that meet pairwise.
     """
-    points = df.select("group", "id", "embedding")
-    sizes = points.groupBy("group").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
+    points = df.select("group", "id", "embedding").where(F.size("embedding") > 0)
+    blocks = F.greatest(
+        F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.size("embedding")) * 8 / cell_bytes)
+    ).cast("int")
+    sizes = points.groupBy("group").agg(blocks.alias("blocks"))
     blocked = points.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = blocked.select(
-        "group", F.col("own").alias("g"), every.alias("h"), F.col("id").alias("query_id"), F.lit(k).alias("k"), "embedding"
+        "group", F.col("own").alias("g"), every.alias("h"), F.col("id").alias("query_id"), F.lit(k).alias("k"),
+        F.lit(-math.inf).alias("floor"), "embedding",
     )
     right = blocked.select("group", every.alias("g"), F.col("own").alias("h"), "id", "embedding")
     found = _in_cells(left, right, ["group", "g", "h"], metric, TIE_DIGITS, skip_self=True)

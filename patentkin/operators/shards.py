@@ -25,10 +25,8 @@ def _ranges(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
     size = df.agg(F.count("*").alias("n"), cuts.alias("cuts")).first()
     ranges = min(math.ceil(size["n"] / rows_per_range), MAX_RANGES) or 1
     cuts = (size["cuts"] or [])[:: math.ceil(MAX_RANGES / ranges)] if ranges > 1 else []
-    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    splits = [-math.inf, *(sorted({float(c) for c in cuts}) or [0.0]), math.inf]
     numeric = df.withColumn("_key", F.col(key).cast("double"))
-    if len(splits) < 3:
-        return numeric.withColumn("_range", F.lit(0)).drop("_key")
     ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_range").transform(numeric)
     return ranged.withColumn("_range", F.col("_range").cast("int")).drop("_key")
 

@@ -16,18 +16,18 @@ def active_sonars(sonars: DataFrame) -> DataFrame:
 def list_memberships(lists: DataFrame, list_items: DataFrame) -> DataFrame:
     """(client_uid, patent_family_id, lists): the lists of a client that hold the family.
 
-    An item on another client's list keeps its place with an empty name and uid. Equal items are
-    counted before they are gathered, and written out again as often as they occur.
+    An item on another client's list keeps its place with an empty name and uid. An entry carries
+    how often it occurs, so a group has one entry per list of the client, however many items.
     """
     own = lists.select(F.col("uid").alias("list_uid"), "client_uid", "name", F.col("uid").alias("own_uid"))
-    items = list_items.groupBy(*KEYS, "list_uid").agg(F.count("*").cast("int").alias("times"))
-    named = items.join(own, ["list_uid", "client_uid"], "left").select(
-        *KEYS, "times", F.struct("name", F.col("own_uid").alias("list_uid")).alias("entry")
-    )
-    gathered = F.array_sort(F.collect_list(F.struct("entry", "times")))
-    return named.groupBy(*KEYS).agg(
-        F.flatten(F.transform(gathered, lambda e: F.array_repeat(e["entry"], e["times"]))).alias("lists")
+    items = list_items.groupBy(*KEYS, "list_uid").agg(F.count("*").alias("n"))
+    entries = (
+        items.join(own, ["list_uid", "client_uid"], "left")
+        .groupBy(*KEYS, "name", "own_uid")
+        .agg(F.sum("n").alias("times"))
     )
+    entry = F.struct("name", F.col("own_uid").alias("list_uid"), "times")
+    return entries.groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("lists"))
 
 
 def enrich(

@@ -88,7 +88,7 @@ def _text(values: str) -> Column:
 
 def _lists_text(column: str) -> Column:
     return F.expr(
-        f"array_join(transform({column}, e -> concat(coalesce(e.name, '-'), '#', coalesce(cast(e.list_uid AS string), '-'))), '|')"
+        f"array_join(transform({column}, e -> concat(coalesce(e.name, '-'), '#', coalesce(cast(e.list_uid AS string), '-'), 'x', e.times)), '|')"
     )
 
 

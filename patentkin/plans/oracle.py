@@ -159,10 +159,12 @@ _piece("nearest", "pairs", """
 SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, family_id) AS rank FROM pairs
 """)
 _piece("memberships", "ip_patent_lists ip_patent_list_items", """
-SELECT i.client_uid, i.patent_family_id,
-       string_agg(coalesce(l.name, '-') || '#' || coalesce(l.uid::VARCHAR, '-'), '|'
-                  ORDER BY l.name NULLS FIRST, l.uid NULLS FIRST) AS lists
-FROM ip_patent_list_items i LEFT JOIN ip_patent_lists l ON l.uid = i.list_uid AND l.client_uid = i.client_uid
+SELECT client_uid, patent_family_id,
+       string_agg(coalesce(name, '-') || '#' || coalesce(uid::VARCHAR, '-') || 'x' || times, '|'
+                  ORDER BY name NULLS FIRST, uid NULLS FIRST) AS lists
+FROM (SELECT i.client_uid, i.patent_family_id, l.name, l.uid, count(*) AS times
+      FROM ip_patent_list_items i LEFT JOIN ip_patent_lists l ON l.uid = i.list_uid AND l.client_uid = i.client_uid
+      GROUP BY ALL)
 GROUP BY ALL
 """)
 _piece("watched", "ip_patent_sonars", """

@@ -36,11 +36,14 @@ def cloud():
 
 
 @pytest.mark.parametrize("bytes_allowed", [2**26, 0])
+@pytest.mark.parametrize("bound_rows", [2**30, 0])
 @pytest.mark.parametrize("k", [1, 7, 300])
-def test_equals_brute_force(spark, cloud, monkeypatch, bytes_allowed, k):
+def test_equals_brute_force(spark, cloud, monkeypatch, bytes_allowed, bound_rows, k):
     ids, vectors = cloud
-    monkeypatch.setattr(near, "CELL_QUERIES", 50)
-    monkeypatch.setattr(near, "CELL_CORPUS", 70)
+    monkeypatch.setattr(near, "BOUND_ROWS", bound_rows)
+    monkeypatch.setattr(near, "BOUND_PART", 4)
+    monkeypatch.setattr(near, "CELL_ROWS", 70)
+    monkeypatch.setattr(near, "CHUNK_ROWS", 64)
     emb = table(spark, vectors, ids).repartition(3)
     seeds = emb.select(F.col("id").alias("seed_id"))
     rows = near.knn_by_id(seeds, emb, k, broadcast_bytes=bytes_allowed).orderBy("seed_id", "rank").collect()
@@ -106,8 +109,8 @@ def test_within_groups(spark, cloud):
         for i in mine:
             d = [(round(float(((vectors[i].astype(float) - vectors[j]) ** 2).sum()), 9), ids[j]) for j in mine if j != i]
             wanted[ids[i]] = [j for _, j in sorted(d)[:2]]
-    for cell_rows in (8_192, 20):
-        rows = near.knn_within(points, 2, cell_rows=cell_rows).orderBy("query_id", "rank").collect()
+    for cell_bytes in (near.CELL_BYTES, 20 * 8 * 8):
+        rows = near.knn_within(points, 2, cell_bytes=cell_bytes).orderBy("query_id", "rank").collect()
         got = {}
         for r in rows:
             got.setdefault(r["query_id"], []).append(r["id"])
@@ -153,6 +156,6 @@ def test_enrich(spark):
     assert len(rows) == 3
     mine = rows["c", 7]
     assert mine["sonar_is_active"] and mine["title"] == "t"
-    assert [tuple(e) for e in mine["lists"]] == [(None, None), ("mine", 1), ("mine", 1)]
+    assert [tuple(e) for e in mine["lists"]] == [(None, None, 1), ("mine", 1, 2)]
     assert not rows["d", 7]["sonar_is_active"] and rows["d", 7]["lists"] is None
     assert rows["c", 8]["title"] is None and not rows["c", 8]["sonar_is_active"]
