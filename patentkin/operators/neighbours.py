@@ -59,13 +59,13 @@ def _usable(ids: np.ndarray, vectors: np.ndarray, metric: str) -> tuple[np.ndarr
     return ids[keep], vectors[keep] / norms[keep, None], keep
 
 
-def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str, digits: int) -> np.ndarray:
+def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer: cosine similarity, or minus the squared distance."""
     out = queries @ corpus.T
     if metric == "euclidean":
         out = 2 * out - (queries**2).sum(1)[:, None] - (corpus**2).sum(1)[None, :]
         out = np.minimum(out, 0.0)
-    return np.round(out, digits)
+    return out
 
 
 def _keep_best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndarray):
@@ -92,22 +92,25 @@ def _search(
     if not len(query_ids) or k.max() < 1:
         return
     by_id = np.argsort(query_ids)
+    last_id = np.full(len(query_ids), np.iinfo(np.int64).max)  # at the floor only smaller ids count
+    margin = 10.0**-digits
     step = min(max(CHUNK_SCORES // len(query_ids), 64), CHUNK_ROWS)
 
     def merge() -> None:
         nonlocal best
         best = _keep_best(*(np.concatenate(parts) for parts in zip(best, *found)), k)
         found.clear()
-        # A row that has its k needs nothing below its worst one.
+        # A row that has its k needs nothing behind its worst one.
         size = np.bincount(best[0], minlength=len(query_ids))
         full = (size >= k) & (size > 0)
-        floor[full] = best[2][np.cumsum(size)[full] - 1]
+        worst = np.cumsum(size)[full] - 1
+        floor[full], last_id[full] = best[2][worst], best[1][worst]
 
     for ids, vectors in corpus:
         ids, vectors, _ = _usable(ids, vectors, metric)
         for start in range(0, len(ids), step):
             part = ids[start : start + step]
-            scores = _scores(queries, vectors[start : start + step], metric, digits)
+            scores = _scores(queries, vectors[start : start + step], metric)
             if skip_self:
                 left = np.searchsorted(query_ids, part, side="left", sorter=by_id)
                 right = np.searchsorted(query_ids, part, side="right", sorter=by_id)
@@ -118,8 +121,13 @@ def _search(
             if depth < len(part) and np.isinf(floor).any():
                 cut = np.partition(scores, len(part) - depth, axis=1)[:, len(part) - depth]
                 least = np.maximum(floor, cut)
-            rows, columns = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-            found.append((rows, part[columns], scores[rows, columns]))
+            # Only what may count is rounded; rounding can lift a score by less than the margin.
+            rows, columns = np.nonzero(scores >= (least - margin)[:, None])
+            rounded = np.round(scores[rows, columns], digits)
+            level = floor[rows]
+            counts = (rounded > level) | ((rounded == level) & (part[columns] < last_id[rows]))
+            counts &= rounded > -np.inf
+            found.append((rows[counts], part[columns[counts]], rounded[counts]))
             if sum(len(f[0]) for f in found) >= len(best[0]):
                 merge()
     if found:
