@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from patentkin.functions.text import safe_id
 from patentkin.operators.classification import cpc_seeds
 
+# The default search depth and what a failed job is told.
 DEFAULT_K = 200
 NO_SEEDS = "No seed family IDs found from search vectors"
 NO_VECTORS = "Missing 'search_vectors' in record"

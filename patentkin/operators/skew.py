@@ -39,9 +39,8 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     skew handling.
     """
     width = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    # The limit keeps the check itself cheap: a row has at least its column names.
-    probe = df.limit(max_bytes // 16).agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
-    return F.broadcast(df) if probe.first()["bytes"] < max_bytes else df
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from patentkin.functions.names import LEGAL_FORMS
 from patentkin.plans.catalog import PAGE_ROWS, SHARD_BYTES
 from patentkin.sources.samples import VIEWS
 
@@ -112,11 +113,7 @@ JOIN (SELECT cpc_code, min(title) AS title, arg_min(level, title) AS level FROM
   ON t.cpc_code = e.code
 """)
 
-_LEGAL = (
-    "incorporated|corporation|inc|corp|company|co\\.?\\s*ltd\\.?|co|ltda|ltd|limited|llc|llp|plc|gmbh|mbh|ag|kg|ohg"
-    "|sarl|sas|sa\\s*de\\s*cv|s\\.a\\.\\s*de\\s*cv|sa|bvba|bv|nv|oyj|oy|ab|as|spa|s\\.p\\.a|aps|kft|sro"
-    "|sp\\.?\\s*z\\.?\\s*o\\.?\\s*o\\.?|zao|oao|ooo|pte\\.?\\s*ltd|pte|slu|sl|kk|kabushiki\\s+kaisha|holdings?|group"
-)
+_LEGAL = "|".join(sorted(LEGAL_FORMS, key=len, reverse=True))
 
 
 def _normal_name(name: str) -> str:

@@ -33,6 +33,8 @@ def test_every_check_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     df = QUERIES[name](spark, TABLES)
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     rows = df.collect()
     assert rows
     if name in SQL:
@@ -44,11 +46,3 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join(spark, name):
-    if name.endswith("_run") or name.startswith("landscape_") or name == "layout_positions":
-        pytest.skip("runs while it is built; its parts are covered by other queries")
-    plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
