@@ -209,7 +209,7 @@ def request_problem(texts: pd.Series) -> pd.Series:
     """`check_request` over Arrow batches.
 
     Requests are few and small beside the corpus. The same check as one column expression over
-    variants took twenty times as long.
+    variants took about seven times as long.
     """
     return texts.map(check_request)
 
