@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patentkin.llm import near_dedup
+from patentkin.llm import line_dedup, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,3 +25,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by four-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are later copies of repeated runs, and the text that is left."""
+    marked = line_dedup.mark_lines(_table(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.size("deleted").cast("long").alias("n_deleted"),
+        F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted_lines"),
+        line_dedup.without_lines().alias("text"),
+    )

@@ -50,13 +50,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Which bytes belong to words, with A-Z folded to a-z."""
+    """Which bytes belong to words, with A-Z folded to a-z unless told otherwise, and a value for each byte."""
 
-    def __init__(self, word_bytes: np.ndarray):
+    def __init__(self, word_bytes: np.ndarray, fold: bool = True, values: np.ndarray = _BYTE):
         self.word = word_bytes
-        fold = np.arange(256)
-        fold[65:91] += 32
-        self.values = _BYTE[fold]
+        case = np.arange(256)
+        case[65:91] += 32 * fold
+        self.values = values[case]
 
 
 def _all_but(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -70,6 +70,9 @@ def _all_but(ranges: list[tuple[int, int]]) -> np.ndarray:
 BLANK_SEPARATED = Alphabet(_all_but([(0x20, 0x20), (0x09, 0x0D)]))
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
 ALPHANUMERIC = Alphabet(_all_but([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)]))
+#: Lines between line feeds, by two independent hashes.
+LINES = Alphabet(_all_but([(0x0A, 0x0A)]), fold=False)
+LINES_AGAIN = Alphabet(_all_but([(0x0A, 0x0A)]), fold=False, values=constants(256, 6))
 
 
 class Words(NamedTuple):
