@@ -1,4 +1,7 @@
-"""The corpus pipeline: raw documents in, packed training sequences out."""
+"""The corpus pipeline: raw documents in, packed training sequences out.
+
+Every stage takes all that the one before it kept; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +9,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patentkin.llm import near_dedup
+from patentkin.llm import decontaminate, language, line_dedup, near_dedup, packing
 
 #: SQL cannot express the stages; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay: those with a text that has a letter."""
+    return language.keep_identified(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines of 50 words or more go, and documents of which nothing is left."""
+    return line_dedup.dedup_lines(docs)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate component stays: the one with the least doc_id."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("minhash_near_dedup", near_duplicate_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or all of a shorter one, go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patentkin.llm import line_dedup, near_dedup
+from patentkin.llm import decontaminate, language, line_dedup, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +27,23 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language mixture of every document."""
+    found = language.language_mixture(_table(spark, sf_dir, "documents"))
+    return found.withColumn("langs", F.array_join("langs", ","))
+
+
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are later copies of repeated runs, and the text that is left."""
@@ -38,3 +55,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted_lines"),
         line_dedup.without_lines().alias("text"),
     )
+
+
+@_query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
