@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from patentkin.operators.skew import cut_lineage
 
 CAPACITY = 2_048
-GROUPS = 128
+GROUPS = 1_024
 SMALL_SHARE = 8
 RANK_ROWS = 200_000
 END_ID = 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patentkin.llm import decontaminate, language, line_dedup, near_dedup, packing
+from patentkin.llm import decontaminate, fingerprints, language, line_dedup, near_dedup, packing, secrets, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,12 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and of edited ones."""
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by four-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+@_query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts in whole texts."""
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside ten-word windows of benchmark items."""
@@ -57,6 +69,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the filter rules on every page's URL."""
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
