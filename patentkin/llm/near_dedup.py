@@ -9,9 +9,9 @@ is never posted under it.
 
 Lists are merged in two passes. The first compares all members with the least one of their list,
 which is linear and joins groups of copies at once. The second skips every list whose members are
-in one component by then; in the others it counts collisions between members of different
-components, in blocks of bounded size, and gives out only pairs above the threshold. Every
-candidate is confirmed on full shingle sets.
+in one component by then; in the others it works out the overlap of all members, in blocks of
+bounded size, and gives out only links that connect different components, fewer than a block has
+members. Every candidate is confirmed on full shingle sets.
 
 At a similarity of exactly 0.8 a pair has 27 or more of 48 equal coordinates with a chance of
 about 0.99997; it grows quickly with the similarity.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patentkin.llm.graph import components
@@ -34,7 +34,7 @@ from patentkin.operators.skew import cut_lineage
 COORDINATES = 48
 THRESHOLD = 27
 PREFIX = COORDINATES - THRESHOLD + 1
-BLOCK = 1_024
+BLOCK = 2_048
 _STEP = 2**16
 _FACTORS = constants(COORDINATES, 4)
 _TAG = np.uint64(63)
@@ -80,16 +80,17 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of docs: node (its doc_id) and its full shingle set."""
+    """Per row of docs: node (its doc_id), its full shingle set, and 32 bits of each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, size):
                 values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], ["node", "shingles"])
+                short = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values, short], ["node", "shingles", "short"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles array<long>, short binary")
 
 
 def prefix_postings(sigs: DataFrame) -> DataFrame:
@@ -122,40 +123,82 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both.cast("long") >= percent * either.cast("long")).select("a", "b")
 
 
-def _block_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Members of a block pair of one list: pairs of different components above the threshold."""
-    sigs = np.frombuffer(b"".join(members["short"]), dtype=np.uint16).reshape(len(members), COORDINATES)
-    node, component, side = members["node"].to_numpy(), members["component"].to_numpy(), members["side"].to_numpy()
-    left = np.flatnonzero(side <= 1)
-    right = np.flatnonzero(side >= 1)
-    out_a, out_b = [], []
-    for low in range(0, len(left), 128):
-        rows = left[low : low + 128]
-        equal = np.zeros((len(rows), len(right)), dtype=np.uint8)
-        for c in range(COORDINATES):
-            equal += sigs[rows, c][:, None] == sigs[right, c][None, :]
-        i, j = np.nonzero((equal >= THRESHOLD) & (component[rows][:, None] != component[right][None, :]))
-        out_a.append(np.minimum(node[rows[i]], node[right[j]]))
-        out_b.append(np.maximum(node[rows[i]], node[right[j]]))
-    return pd.DataFrame({"a": np.concatenate(out_a) if out_a else [], "b": np.concatenate(out_b) if out_b else []})
-
-
-def _open_pairs(postings: DataFrame, sigs: DataFrame, tied: DataFrame) -> DataFrame:
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric link matrix connects, fewer than it has rows."""
+    unseen = np.ones(len(linked), dtype=bool)
+    edges = []
+    for root in range(len(linked)):
+        waiting = [root] if unseen[root] else []
+        unseen[root] = False
+        while waiting:
+            at = waiting.pop()
+            found = np.flatnonzero(linked[at] & unseen)
+            unseen[found] = False
+            edges.extend((at, int(x)) for x in found)
+            waiting.extend(found.tolist())
+    return edges
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of intersection sizes, from products of 0/1 columns for the values that two sets or more hold."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, counts = np.unique(values, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    kept = shared[place]
+    owner, column = owner[kept], column[place[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 2_048):
+        a, b = np.searchsorted(column, [low, low + 2_048])
+        ones = np.zeros((len(sets), 2_048), dtype=np.float32)
+        ones[owner[a:b], column[a:b] - low] = 1
+        out += ones @ ones.T
+    return out
+
+
+def _cell_pairs(percent: int):
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different components that connect what the members of one cell connect.
+
+        The sets hold 32 bits of each shingle, so a count can be off by a collision: pairs near
+        the limit all go to the confirmation, the others as a spanning forest.
+        """
+        node, side = members["node"].to_numpy(), members["side"].to_numpy()
+        _, component = np.unique(members["component"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in members["short"]]
+        sizes = np.array([len(s) for s in sets], dtype=np.float32)
+        both = overlaps(sets)
+        either = sizes[:, None] + sizes[None, :] - both
+        open_ = component[:, None] != component[None, :]
+        open_ &= (side[:, None] <= 1) & (side[None, :] >= 1) | (side[:, None] >= 1) & (side[None, :] <= 1)
+        sure = open_ & (100 * (both - 2) >= percent * (either + 2))
+        near = np.triu(open_ & ~sure & (100 * (both + 2) >= percent * (either - 2)))
+        pairs = _forest(sure) + list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+        i, j = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
+        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    return run
+
+
+def _open_pairs(postings: DataFrame, sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
     """Candidates between different components inside the lists that are not in one component yet.
 
     A list is cut into ceil(n / BLOCK) blocks and worked through by pairs of blocks, so no task
-    holds more than two blocks. Short signatures of 16 bits a coordinate only let more pairs pass.
+    holds more than two blocks.
     """
-    kind = dict(sigs.dtypes)["node"]
+    kind = dict(postings.dtypes)["node"]
     named = postings.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # written out, so that the join can be split at long lists
     open_lists = cut_lineage(
         named.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    short = F.expr("unhex(array_join(transform(sig, x -> lpad(hex((x >> 16) & 65535), 4, '0')), ''))")
-    posted = named.join(open_lists, "key").join(sigs.select("node", short.alias("short")), "node")
+    posted = named.join(open_lists, "key").join(sets.select("node", "short"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     grid = posted.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = grid.select(
@@ -165,7 +208,19 @@ def _open_pairs(postings: DataFrame, sigs: DataFrame, tied: DataFrame) -> DataFr
         F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"),
         "node", "component", "short",
     )
-    return cells.groupBy("key", "i", "j").applyInPandas(_block_pairs, f"a {kind}, b {kind}").distinct()
+    return cells.groupBy("key", "i", "j").applyInPandas(_cell_pairs(percent), f"a {kind}, b {kind}").distinct()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the session, set to a temporary one only where none is named."""
+    cut_lineage(spark.range(1))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` without the documents that a lower doc_id of their component stands for."""
+    dropped = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -199,7 +254,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = cut_lineage(shingle_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), size))
 
     links = cut_lineage(_confirmed(_matched(stars, sigs), sets, percent))
-    more = cut_lineage(_confirmed(_matched(_open_pairs(postings, sigs, components(links)), sigs), sets, percent))
+    more = cut_lineage(_confirmed(_open_pairs(postings, sets, components(links), percent), sets, percent))
     # copies hang on the least id of their class, and so do rows of one doc_id with different sets
     same = (
         base.where("n_shingles > 0 and doc_id is not null").select("doc_id", *keys)
