@@ -22,13 +22,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     # written out, so that the join can be split at a node with very many neighbours
     least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    inner = edges.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    inner = edges.join(least.hint("merge"), "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return inner.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in `links` (a, b); the component is its least node.
 
     Links with a null end and loops are left out; repeated links and either direction are fine.
-    Only two numbers a round come to the driver. The rounds grow with the logarithm of the
+    Only two numbers a round come to the driver, and no side of a join is broadcast. The rounds grow with the logarithm of the
     longest chain; every round is written to the shared checkpoint folder.
     """
     edges = cut_lineage(

@@ -98,13 +98,18 @@ def _numbered(seqs: DataFrame) -> DataFrame:
     )
 
 
+def _by_merge(df: DataFrame) -> DataFrame:
+    """A side of a join whose size follows the lines: sorted and merged, not gathered on the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     """(pos, name) of all places whose pair (x, y) occurs twice or more; the name is the first of these places."""
     # written out, so that the join can be split at frequent lines
     groups = cut_lineage(
         pairs.groupBy("x", "y").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    return cut_lineage(pairs.join(groups, ["x", "y"]).select("pos", "name"))
+    return cut_lineage(pairs.join(_by_merge(groups), ["x", "y"]).select("pos", "name"))
 
 
 def _later_lines(numbered: DataFrame) -> DataFrame:
@@ -114,26 +119,26 @@ def _later_lines(numbered: DataFrame) -> DataFrame:
     runs = numbered.select("at", F.explode(F.arrays_zip("start", "length")).alias("r"))
     runs = runs.select((F.col("at") + F.col("r.start")).alias("pos"), F.col("r.length").alias("length"))
     # a run is looked up only where its first line is a repeated one
-    runs = cut_lineage(runs.join(names.select("pos"), "pos", "left_semi"))
+    runs = cut_lineage(runs.join(_by_merge(names.select("pos")), "pos", "left_semi"))
     longest = runs.agg(F.max("length").alias("m")).first()["m"] or 0
     found = None
     width = 1
     while width <= longest:
         here = runs.where((F.col("length") >= width) & (F.col("length") < 2 * width))
         tail = names.select((F.col("pos") + width).alias("end"), F.col("name").alias("y"))
-        covered = (
+        covered = cut_lineage(
             here.withColumn("end", F.col("pos") + F.col("length"))
-            .join(names.withColumnRenamed("name", "x"), "pos")
-            .join(tail, "end")
+            .join(_by_merge(names.withColumnRenamed("name", "x")), "pos")
+            .join(_by_merge(tail), "end")
             .select("pos", "length", "x", "y")
         )
         # equal runs have equal lengths, since the length follows from the lines
         firsts = cut_lineage(covered.groupBy("x", "y", "length").agg(F.min("pos").alias("first")))
-        later = covered.join(firsts, ["x", "y", "length"]).where("pos > first").select("pos", "length")
+        later = covered.join(_by_merge(firsts), ["x", "y", "length"]).where("pos > first").select("pos", "length")
         found = later if found is None else found.unionAll(later)
         if 2 * width <= longest:
             right = names.select((F.col("pos") - width).alias("pos"), F.col("name").alias("y"))
-            names = _named(names.select("pos", F.col("name").alias("x")).join(right, "pos"))
+            names = _named(names.select("pos", F.col("name").alias("x")).join(_by_merge(right), "pos"))
         width *= 2
     if found is None:
         return runs.select("pos").limit(0)
@@ -155,7 +160,7 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = numbered.select("doc_id", "key", "at", F.posexplode("line").alias("i", "line"))
     places = places.select("doc_id", "key", (F.col("at") + F.col("i")).alias("pos"), "line")
     gone = cut_lineage(
-        places.join(later, "pos").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("line")).alias("deleted"))
+        places.join(_by_merge(later), "pos").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("line")).alias("deleted"))
     )
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("deleted").alias("gone"))
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
