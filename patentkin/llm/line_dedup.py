@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +28,10 @@ from patentkin.llm.text import BLANK_SEPARATED, LINES, LINES_AGAIN, slices, word
 from patentkin.operators.skew import cut_lineage
 
 MIN_WORDS = 50
-_KEY = F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _shortest_runs(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,7 @@ def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     lists = "line array<int>, a array<long>, b array<long>, start array<int>, length array<int>"
-    return docs.select("doc_id", _KEY.alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, {lists}")
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, {lists}")
 
 
 def _numbered(seqs: DataFrame) -> DataFrame:
@@ -165,11 +168,11 @@ def mark_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), F.col("deleted").alias("gone"))
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
     kept = [c for c in docs.columns if c != "deleted"]
-    marked = docs.select(*kept, _KEY.alias("text_key")).join(gone, same, "left")
+    marked = docs.select(*kept, _key().alias("text_key")).join(gone, same, "left")
     return marked.select(*kept, F.coalesce("gone", F.array().cast("array<int>")).alias("deleted"))
 
 
-def without_lines(text: str = "text", deleted: str = "deleted"):
+def without_lines(text: str = "text", deleted: str = "deleted") -> Column:
     """Column: the text without its deleted lines; a text that loses no line stays as it is."""
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(deleted))
@@ -185,6 +188,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     marked = mark_lines(docs, min_words).withColumn("new_text", without_lines())
     kept = marked.where((F.size("deleted") == 0) | F.col("new_text").rlike(r"\S"))
-    n_chars = F.when(F.size("deleted") == 0, F.col("n_chars")).otherwise(F.char_length("new_text").cast("long")) if "n_chars" in docs.columns else None
-    own = {"text": F.col("new_text"), **({"n_chars": n_chars} if n_chars is not None else {})}
+    own = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.size("deleted") == 0, F.col("n_chars")).otherwise(F.char_length("new_text").cast("long"))
     return kept.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
