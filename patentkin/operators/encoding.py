@@ -25,11 +25,51 @@ def masked_mean(vectors: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (vectors * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
 
 
-def token_hash_model(max_length: int = MAX_LENGTH) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """A stand-in for a language model: every token's vector is the bytes of its md5.
+def token_count(text: str) -> int:
+    return len(re.findall("[a-z0-9]+", text.lower()))
 
-    Like the model it stands for, it reads the first `max_length` tokens of a text.
+
+def text_windows(text: str, max_length: int) -> list[tuple[str, int]]:
+    """Consecutive parts of a text with their token counts, at most `max_length` tokens each.
+
+    Parts are cut between words. A single word of more tokens is a part of its own; a text without
+    tokens is one part.
     """
+    parts, low, at, tokens = [], 0, 0, 0
+    for word in re.finditer(r"\S+", text):
+        more = token_count(word[0])
+        if tokens and tokens + more > max_length:
+            parts.append((text[low:at], tokens))
+            low, tokens = word.start(), 0
+        tokens += more
+        at = word.end()
+    return [*parts, (text[low:], tokens)]
+
+
+def over_whole_texts(make_predict_fn: Callable, max_length: int, batch_size: int) -> Callable:
+    """A model of a bounded length over whole texts: the mean of its vectors of all windows, by token count."""
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        predict = make_predict_fn()
+
+        def run(texts: np.ndarray) -> np.ndarray:
+            cut = [text_windows(str(t), max_length) for t in texts.ravel()]
+            parts = np.array([p for parts in cut for p, _ in parts], dtype=object)
+            vectors = np.concatenate([predict(parts[i : i + batch_size]) for i in range(0, len(parts), batch_size)])
+            weight = np.array([n for parts in cut for _, n in parts], dtype=np.float64)
+            first = np.cumsum([0, *[len(parts) for parts in cut[:-1]]])
+            total = np.add.reduceat(weight, first)
+            weight = np.where(np.repeat(total, [len(p) for p in cut]) > 0, weight, 1)
+            sums = np.add.reduceat(vectors.astype(np.float64) * weight[:, None], first, axis=0)
+            return (sums / np.add.reduceat(weight, first)[:, None]).astype(np.float32)
+
+        return run
+
+    return make
+
+
+def token_hash_model() -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """A stand-in for a language model: every token's vector is the bytes of its md5."""
 
     def make_predict_fn() -> Callable[[np.ndarray], np.ndarray]:
         known: dict[str, np.ndarray] = {}
@@ -42,7 +82,7 @@ def token_hash_model(max_length: int = MAX_LENGTH) -> Callable[[], Callable[[np.
             return known[token]
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            tokens = [re.findall("[a-z0-9]+", str(t).lower())[:max_length] for t in texts.ravel()]
+            tokens = [re.findall("[a-z0-9]+", str(t).lower()) for t in texts.ravel()]
             width = max(1, max(map(len, tokens)))
             vectors = np.zeros((len(tokens), width, HASH_DIMENSION))
             mask = np.zeros((len(tokens), width))
@@ -66,10 +106,11 @@ def embed(
     """(id, embedding) of families (family_id, title, abstract).
 
     `make_predict_fn` loads the model once per Python worker; the texts reach it in Arrow batches.
+    A text longer than `max_length` tokens is read in consecutive windows, whose vectors are
+    averaged by their token counts.
     """
-    model = predict_batch_udf(
-        make_predict_fn or token_hash_model(max_length), return_type=ArrayType(FloatType()), batch_size=batch_size
-    )
+    whole = over_whole_texts(make_predict_fn or token_hash_model(), max_length, batch_size)
+    model = predict_batch_udf(whole, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return pending.select(
         F.col("family_id").cast("bigint").alias("id"),
         model(combined_text(F.col("title"), F.col("abstract"))).alias("embedding"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patentkin.functions.vectors import parse_vector
-from patentkin.operators.skew import BROADCAST_BYTES, salt
+from patentkin.operators.skew import BROADCAST_BYTES, broadcast_if_small, salt
 
 CELL_BYTES = 64 * 2**20  # of the vectors on one side of a cell, in double precision
 CELL_ROWS = 65_536
@@ -214,12 +214,24 @@ def _ranked(found: DataFrame, keys: list[str], k_max: int) -> DataFrame:
 
 
 def usable_vectors(emb: DataFrame) -> DataFrame:
-    """(id, embedding) without missing and empty vectors; text vectors are parsed."""
+    """(id, embedding) without missing and empty vectors, one for each id; text vectors are parsed.
+
+    Of an id's vectors the greatest stays. Only ids that are stored twice are found first, by a
+    count of the ids alone, so the other vectors are not shuffled for this.
+    """
     vector = F.col("embedding")
     if emb.schema["embedding"].dataType.simpleString() == "string":
         vector = parse_vector(vector)
     out = emb.select(F.col("id").cast("bigint").alias("id"), vector.alias("embedding"))
-    return out.where(F.col("id").isNotNull() & (F.size("embedding") > 0))
+    out = out.where(F.col("id").isNotNull() & (F.size("embedding") > 0))
+    again = broadcast_if_small(out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    one_each = out.join(again, "id", "left_semi").groupBy("id").agg(F.max("embedding").alias("embedding"))
+    return out.join(again, "id", "left_anti").unionAll(one_each)
+
+
+def odd_vectors(emb: DataFrame) -> DataFrame:
+    """(id, dimension) of the vectors that a search leaves out, since most have another length."""
+    return usable_vectors(emb).where(F.size("embedding") != _dimension(emb)).select("id", F.size("embedding").alias("dimension"))
 
 
 def vectors_for(ids: DataFrame, emb: DataFrame) -> DataFrame:
@@ -241,7 +253,8 @@ def search(
             found = _by_grid(asked, corpus, n_queries, rows, dimension, "cosine", digits, skip_self)
         return _ranked(found, ["query_id"], k_max)
 
-    corpus = usable_vectors(emb)
+    corpus = usable_vectors(emb).where(F.size("embedding") == dimension)
+    queries = queries.where(F.size("embedding") == dimension)
     asked = queries.withColumn("floor", F.lit(-math.inf))
     if n_corpus >= BOUND_ROWS:
         part = corpus.where(salt(F.col("id"), BOUND_PART) == 0)
@@ -252,7 +265,11 @@ def search(
 
 
 def _dimension(emb: DataFrame) -> int:
-    row = usable_vectors(emb).select(F.size("embedding").alias("d")).first()
+    """The length that most vectors have, the smaller one of two."""
+    if emb.schema["embedding"].dataType.simpleString() == "string":
+        emb = emb.select(parse_vector(F.col("embedding")).alias("embedding"))
+    sizes = emb.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    row = sizes.orderBy(F.desc("n"), "d").first()
     return row["d"] if row else 0
 
 
@@ -286,8 +303,8 @@ def knn_by_vector(
     """
     depth = F.col("k").cast("int") if "k" in queries.columns else F.lit(n)
     asked = queries.select("query_id", depth.alias("k"), "embedding").where(F.size("embedding") > 0)
-    size = asked.agg(F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.size("embedding")).alias("d")).first()
-    found = search(asked, emb, size["k"] or 0, size["n"], size["d"] or 0, broadcast_bytes=broadcast_bytes)
+    size = asked.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
+    found = search(asked, emb, size["k"] or 0, size["n"], _dimension(emb), broadcast_bytes=broadcast_bytes)
     return found.select("query_id", "id", (F.lit(1.0) - F.col("score")).alias("distance"), "rank")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -116,21 +117,21 @@ children array<struct<
     type: string, k: string,
     seeds: struct<patentFamilyIds: array<string>, negativePatentFamilyIds: array<string>>,
     classes: array<struct<code: string, depth: string>>,
-    docs: array<struct<id: string, title: string, abstract: string, weight: double>>>>>
+    docs: array<struct<id: string, title: string, abstract: string, weight: string>>>>>
 """
 
 
+MAX_NUMBER = 1e300
 _TRUTHS = ("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n")
 
 
 def _is_number(value: object) -> bool:
     if isinstance(value, str):
         try:
-            float(value)
+            return math.isfinite(float(value))
         except ValueError:
             return False
-        return True
-    return isinstance(value, (int, float))
+    return isinstance(value, (int, float)) and abs(value) < MAX_NUMBER
 
 
 def _fits(value: object, spec: object) -> bool:
@@ -187,7 +188,7 @@ def check_request(text: str | None) -> str | None:
         return None
     try:
         request = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return "no JSON"
     if not isinstance(request, dict):
         return "request: wrong value"
@@ -201,7 +202,10 @@ def check_request(text: str | None) -> str | None:
     children = request.get("children", [])
     if not isinstance(children, list):
         return "children: wrong value"
-    return next((p for p in map(_child_problem, children) if p), None)
+    try:
+        return next((p for p in map(_child_problem, children) if p), None)
+    except RecursionError:
+        return "request: too deep"
 
 
 @F.pandas_udf(StringType())
@@ -239,12 +243,18 @@ def nodes(requests: DataFrame) -> DataFrame:
     return valid.select("job_uid", F.posexplode("request.children.node").alias("place", "node"))
 
 
+def _whole(text: Column) -> Column:
+    """A whole number given as 7, 7.0 or "7.0", as the check accepts it; one beyond an int is the largest int."""
+    value = F.trim(text).try_cast("double")
+    return F.greatest(F.least(value, F.lit(2.0**31 - 1)), F.lit(-(2.0**31))).cast("int")
+
+
 def k_of(requests: DataFrame) -> DataFrame:
     """(job_uid, k): the largest positive depth a job asks for, or the default."""
     asked = F.filter(
         F.transform(
             F.filter("request.children.node", lambda n: n["type"] == "seed_patents"),
-            lambda n: n["k"].try_cast("int"),
+            lambda n: _whole(n["k"]),
         ),
         lambda k: k > 0,
     )
@@ -293,11 +303,11 @@ def collect_seeds(requests: DataFrame, index: DataFrame) -> DataFrame:
 def documents(requests: DataFrame) -> DataFrame:
     """(job_uid, query_id, title, abstract, weight, k) of the documents given as seeds."""
     docs = nodes(requests).where(F.col("node.type") == "seed_docs").select(
-        "job_uid", "place", F.coalesce(F.col("node.k").try_cast("int"), F.lit(DEFAULT_K)).alias("k"),
+        "job_uid", "place", F.coalesce(_whole(F.col("node.k")), F.lit(DEFAULT_K)).alias("k"),
         F.posexplode("node.docs").alias("number", "doc"),
     )
     return docs.select(
         "job_uid", F.xxhash64("job_uid", "place", "number").alias("query_id"),
         F.coalesce("doc.title", F.lit("")).alias("title"), F.coalesce("doc.abstract", F.lit("")).alias("abstract"),
-        F.coalesce("doc.weight", F.lit(1.0)).alias("weight"), "k",
+        F.coalesce(F.trim("doc.weight").try_cast("double"), F.lit(1.0)).alias("weight"), "k",
     )

@@ -43,10 +43,20 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if size <= max_bytes else df
 
 
+def local_folder(master: str, prefix: str) -> str:
+    """A temporary folder of this machine, for local sessions only."""
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by spark.checkpoint.dir."""
+    """Checkpoint to the shared folder named by spark.checkpoint.dir.
+
+    Without one a temporary folder serves a local session; on a cluster executors could not see it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared or local_folder(context.master, "checkpoint-"))
     return df.checkpoint()

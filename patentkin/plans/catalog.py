@@ -5,7 +5,6 @@ Lists and dates are given as text, so that results compare the same way in any e
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from patentkin.operators import neighbours as near
 from patentkin.operators import requests as req
 from patentkin.operators.layout import layout, neighbour_graph
 from patentkin.operators.projection import project_pca
+from patentkin.operators.skew import local_folder
 from patentkin.plans.landscape import Tables, run_jobs
 from patentkin.sources.samples import sample
 from patentkin.streaming import embedding as embedding_stream
@@ -32,7 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 SHARD_BYTES = 2**20
 PAGE_ROWS = 50
-LAYOUT_ROUNDS = 3
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,7 +78,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 def _work_folder(spark: SparkSession) -> str:
     """A new folder that all executors see: below spark.checkpoint.dir where that is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/work-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="work-")
+    return f"{shared}/work-{uuid.uuid4().hex}" if shared else local_folder(spark.sparkContext.master, "work-")
 
 
 def _text(values: str) -> Column:
@@ -453,7 +452,7 @@ def layout_graph(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def layout_positions(spark: SparkSession, sf: str) -> DataFrame:
     points = _labelled(spark, sf)
-    return layout(neighbour_graph(points), project_pca(points), LAYOUT_ROUNDS)
+    return layout(neighbour_graph(points), project_pca(points))
 
 
 @_query

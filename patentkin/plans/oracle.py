@@ -143,7 +143,7 @@ _piece("token_means", "ready", """
 SELECT family_id AS id, d AS dim,
        round(avg((instr('0123456789abcdef', substr(h, 2 * d + 1, 1)) - 1) * 16
                  + instr('0123456789abcdef', substr(h, 2 * d + 2, 1)) - 1) / 127.5 - 1.0, 9) AS mean
-FROM (SELECT family_id, md5(unnest(regexp_extract_all(lower(title || ' ' || abstract), '[a-z0-9]+')[1:512])) AS h FROM ready),
+FROM (SELECT family_id, md5(unnest(regexp_extract_all(lower(title || ' ' || abstract), '[a-z0-9]+'))) AS h FROM ready),
      range(16) AS r(d)
 GROUP BY ALL
 """)
@@ -465,7 +465,7 @@ SELECT text, list(mean ORDER BY dim) AS v FROM (
   SELECT text, d AS dim,
          avg((instr('0123456789abcdef', substr(h, 2 * d + 1, 1)) - 1) * 16
              + instr('0123456789abcdef', substr(h, 2 * d + 2, 1)) - 1) / 127.5 - 1.0 AS mean
-  FROM (SELECT text, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:512])) AS h
+  FROM (SELECT text, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h
         FROM (SELECT DISTINCT text FROM asked_documents)), range(16) AS r(d)
   GROUP BY ALL)
 GROUP BY text

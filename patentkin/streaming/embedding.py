@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from patentkin.operators.encoding import embed, new_embeddings
 from patentkin.sources.tables import EMBEDDINGS, PENDING
+from patentkin.streaming.jobs import batch_folder, run_of
 
 
 def stored_embeddings(spark: SparkSession, sink: str) -> DataFrame:
-    """(id, embedding, batch_id) written so far."""
-    return spark.read.schema(f"{EMBEDDINGS}, batch_id bigint").parquet(sink)
+    """(id, embedding, run_id, batch_id) written so far."""
+    return spark.read.schema(f"{EMBEDDINGS}, run_id string, batch_id bigint").parquet(sink)
 
 
 def start_embedding(
@@ -24,11 +25,13 @@ def start_embedding(
     """Embed every family of the Parquet shards under `source` that has no vector yet, then stop.
 
     Families already stored are left out before the model sees them, so a second run writes nothing
-    and a repeated batch replaces only its own rows. `done_shards` says what happens to a finished
+    and a repeated batch replaces only its own rows; what other runs with other checkpoints and
+    sources have stored stays. `done_shards` says what happens to a finished
     shard: "off" keeps it, "delete" and "archive" take it away; a failed batch keeps its shards.
     """
     nothing = spark.createDataFrame([], EMBEDDINGS)
-    nothing.write.mode("ignore").parquet(f"{sink}/batch_id=-1")
+    nothing.write.mode("ignore").parquet(batch_folder(sink, "none", -1))
+    name = run_of(spark, checkpoint)
 
     reader = spark.readStream.schema(PENDING).option("maxFilesPerTrigger", shards_per_batch)
     reader = reader.option("recursiveFileLookup", "true").option("cleanSource", done_shards)
@@ -36,10 +39,11 @@ def start_embedding(
         reader = reader.option("sourceArchiveDir", archive)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        earlier = stored_embeddings(spark, sink).where(F.col("batch_id") != batch_id)
+        own = (F.col("run_id") == name) & (F.col("batch_id") == batch_id)
+        earlier = stored_embeddings(spark, sink).where(~own)
         pending = new_embeddings(batch.withColumnRenamed("family_id", "id"), earlier)
         encoded = embed(pending.withColumnRenamed("id", "family_id"), make_predict_fn)
-        encoded.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        encoded.write.mode("overwrite").parquet(batch_folder(sink, name, batch_id))
 
     return (
         reader.parquet(source)

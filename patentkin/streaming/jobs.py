@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +26,50 @@ def read_jobs(spark: SparkSession, path: str, schema: str = JOBS, source_format:
 
 
 def latest_record(records: DataFrame) -> DataFrame:
-    """(job_uid, client_uid, search_vectors): the newest record of every job in a batch."""
-    newest = F.max(F.struct("created_at", "search_vectors", "client_uid"))
+    """(job_uid, client_uid, search_vectors): the newest record of every job in a batch.
+
+    The order is that of `commit_seq`, the number or time of the change at its source, where the
+    records carry one: `created_at` is set once and can't tell two changes of a job apart.
+    """
+    changes = [c for c in ("commit_seq",) if c in records.columns]
+    newest = F.max(F.struct(*changes, "created_at", "search_vectors", "client_uid"))
     return (
         records.groupBy(F.col("uid").alias("job_uid")).agg(newest.alias("r"))
         .select("job_uid", "r.client_uid", "r.search_vectors")
     )
 
 
-def write_results(results: DataFrame, status: DataFrame, path: str, batch_id: int) -> None:
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint folder belongs to, kept in it; later runs have later names.
+
+    Batch numbers start again with every new checkpoint, so what a batch writes is filed under both.
+    """
+    name = f"{time.time_ns() // 1_000_000:015d}-{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(name).alias("run")).write.mode("ignore").parquet(f"{checkpoint}/run")
+    return spark.read.schema("run string").parquet(f"{checkpoint}/run").first()["run"]
+
+
+def batch_folder(path: str, run: str, batch_id: int) -> str:
+    return f"{path}/run_id={run}/batch_id={batch_id}"
+
+
+def write_results(results: DataFrame, status: DataFrame, path: str, run: str, batch_id: int) -> None:
     """Results and status rows of one batch. A repeated batch replaces its own files."""
-    results.write.mode("overwrite").parquet(f"{path}/results/batch_id={batch_id}")
-    status.write.mode("overwrite").parquet(f"{path}/status/batch_id={batch_id}")
+    results.write.mode("overwrite").parquet(batch_folder(f"{path}/results", run, batch_id))
+    status.write.mode("overwrite").parquet(batch_folder(f"{path}/status", run, batch_id))
+
+
+def newest_rows(stored: DataFrame, job: str = "job_uid") -> DataFrame:
+    """Stored rows of the newest run and batch of every job."""
+    written = F.struct("run_id", "batch_id")
+    newest = stored.groupBy(job).agg(F.max(written).alias("newest"))
+    return stored.join(newest, job).where(written == F.col("newest")).drop("newest")
 
 
 def latest_status(status: DataFrame) -> DataFrame:
     """(uid, status, progress, message): the last step of every job."""
-    last = F.max_by(F.struct("status", "progress", "message"), F.struct("batch_id", "progress"))
+    order = [c for c in ("run_id", "batch_id", "progress") if c in status.columns]
+    last = F.max_by(F.struct("status", "progress", "message"), F.struct(*order))
     return status.groupBy("uid").agg(last.alias("s")).select("uid", "s.*")
 
 
@@ -51,13 +80,15 @@ def start_jobs(
     """Run the jobs of every micro-batch together and write items, results and status under `sink`.
 
     `tables` is asked per batch, so a batch sees the tables as they are then. A job is run at
-    least once; a batch that is repeated after a failure overwrites what it wrote.
+    least once; a batch that is repeated after a failure overwrites what it wrote, and a run with
+    another checkpoint leaves it alone (`newest_rows` then reads the last results of every job).
     """
+    name = run_of(records.sparkSession, checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         out = run_jobs(latest_record(batch), tables(), project)
-        out.items.write.mode("overwrite").parquet(f"{sink}/items/batch_id={batch_id}")
-        write_results(out.results, out.status, sink, batch_id)
+        out.items.write.mode("overwrite").parquet(batch_folder(f"{sink}/items", name, batch_id))
+        write_results(out.results, out.status, sink, name, batch_id)
 
     writer = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

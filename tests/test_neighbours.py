@@ -94,10 +94,18 @@ def test_no_seeds(spark, cloud):
     assert near.knn_by_id(spark.createDataFrame([], "seed_id bigint"), emb, 5).collect() == []
 
 
-def test_vectors_of_different_length_are_an_error(spark):
+def test_vectors_of_another_length_are_left_out_and_reported(spark):
     emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 1.0])], SCHEMA).coalesce(1)
-    with pytest.raises(Exception, match="different length|mismatch"):
-        near.knn_by_id(spark.createDataFrame([(1,)], "seed_id bigint"), emb, 5).collect()
+    seeds = spark.createDataFrame([(1,), (2,)], "seed_id long")
+    assert {(r["seed_id"], r["family_id"]) for r in near.knn_by_id(seeds, emb, 5).collect()} == {(1, 3)}
+    assert [tuple(r) for r in near.odd_vectors(emb).collect()] == [(2, 1)]
+
+
+def test_an_id_stored_twice_takes_one_place(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [0.9, 0.1]), (3, [1.0, 0.3]), (4, [1.0, 0.5]), (5, [1.0, 0.9])]
+    emb = spark.createDataFrame(rows, SCHEMA)
+    found = near.knn_by_id(spark.createDataFrame([(1,)], "seed_id long"), emb, 4).orderBy("rank").collect()
+    assert [r["family_id"] for r in found] == [2, 3, 4, 5]
 
 
 def test_within_groups(spark, cloud):

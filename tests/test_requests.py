@@ -23,7 +23,7 @@ def cpc(*codes):
 
 
 GOOD = [
-    request(patents("33308133", "52130238", k=5), cpc("F16H25/2252")),
+    request(patents("4711", "4712", k=5), cpc("A01B1/02")),
     request(),
     {"v": 1, "type": "hybrid"},
     request({"type": "seed_patents", "seeds": {}, "k": None, "name": None}),
@@ -91,6 +91,19 @@ def test_depth(spark):
     assert {r["job_uid"]: r["k"] for r in req.k_of(parsed).collect()} == {"a": 9, "b": 200, "c": 200, "d": 200, "e": 200, "f": 8}
 
 
+def test_odd_numbers_neither_stop_the_batch_nor_change(spark):
+    doc = {"type": "seed_docs", "docs": [{"title": "t", "weight": "0.5"}], "k": "7.0"}
+    huge = json.dumps(request(patents("1", k=5))).replace('"k": 5', '"k": ' + "9" * 400)
+    deep = '{"v": 1, "type": "hybrid", "children": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    parsed = req.parse_requests(
+        jobs(spark, a=request(patents("1", k=7.0)), b=request(patents("1", k="7.0")), c=huge, d=deep, e=request(doc))
+    )
+    refused = {r["job_uid"] for r in parsed.where("error is not null").collect()}
+    assert refused == {"c", "d"}
+    assert {r["job_uid"]: r["k"] for r in req.k_of(parsed).collect()} == {"a": 7, "b": 7, "e": 200}
+    assert [(r["weight"], r["k"]) for r in req.documents(parsed).collect()] == [(0.5, 7)]
+
+
 def test_seeds(spark, tables):
     parsed = req.parse_requests(
         jobs(spark, a=request(patents("1", " 2 ", "x", "3.5", negative=["2"])), b=request(patents("1", negative=["6"]), cpc("F16H", "f16h")),

@@ -5,10 +5,11 @@ import json
 import numpy as np
 import pytest
 
-from patentkin.operators.encoding import embed, masked_mean, mean_pool, new_embeddings
+from patentkin.operators.encoding import embed, masked_mean, mean_pool, new_embeddings, text_windows
 from patentkin.plans.landscape import Tables
 from patentkin.streaming.embedding import start_embedding, stored_embeddings
-from patentkin.streaming.jobs import latest_status, read_jobs, start_jobs
+from patentkin.sources.tables import JOBS
+from patentkin.streaming.jobs import latest_record, latest_status, newest_rows, read_jobs, start_jobs
 
 
 @pytest.fixture
@@ -49,9 +50,17 @@ def test_job_stream(spark, tmp_path, tables):
     assert {r["family_id"] for r in items.where("job_uid = 'e' AND is_seed").collect()} == {"3"}
     count = items.count()
     assert run() == first and spark.read.parquet(f"{sink}/items").count() == count  # nothing new
-    assert run("lost") == first and spark.read.parquet(f"{sink}/items").count() == count  # batch 0 again
+    assert run("lost") == first  # batch 0 again, under a run of its own
+    assert newest_rows(spark.read.parquet(f"{sink}/items")).count() == count
     put(source, "2.json", record("b", ["2"]))
-    assert run() == {**first, "b": ("done", 100, None)}
+    assert run("lost") == {**first, "b": ("done", 100, None)}
+
+
+def test_two_changes_of_a_job_in_one_batch(spark):
+    old, new = json.dumps(record("a", ["1"])["search_vectors"]), json.dumps(record("a", ["0"])["search_vectors"])
+    rows = [("a", "c", None, 7, "to_calculate", new), ("a", "c", None, 6, "to_calculate", old)]
+    newest = latest_record(spark.createDataFrame(rows, JOBS)).collect()
+    assert [r["search_vectors"] for r in newest] == [new]
 
 
 def test_embedding_stream(spark, tmp_path):
@@ -78,6 +87,14 @@ def test_embedding_stream(spark, tmp_path):
     assert stored_embeddings(spark, sink).count() == before + 1
 
 
+def test_two_sources_with_two_checkpoints_share_a_sink(spark, tmp_path):
+    schema, sink = "family_id bigint, title string, abstract string", str(tmp_path / "vectors")
+    for day, ids in (("one", [1, 2]), ("two", [2, 3])):
+        spark.createDataFrame([(i, "t", "a") for i in ids], schema).write.parquet(str(tmp_path / day))
+        start_embedding(spark, str(tmp_path / day), sink, str(tmp_path / f"checkpoint-{day}")).awaitTermination()
+    assert sorted(r["id"] for r in stored_embeddings(spark, sink).collect()) == [1, 2, 3]
+
+
 def test_finished_shards_are_deleted(spark, tmp_path):
     source, sink = tmp_path / "shards", str(tmp_path / "vectors")
     schema = "family_id bigint, title string, abstract string"
@@ -97,13 +114,14 @@ def test_new_embeddings(spark):
     assert [tuple(r) for r in new_embeddings(encoded, existing).collect()] == [(2, [2.0])]
 
 
-def test_model_reads_the_first_tokens_only_up_to_its_length(spark):
+def test_long_texts_are_read_whole_in_windows(spark):
     long = " ".join(f"w{i}" for i in range(600))
     pending = spark.createDataFrame([(1, "a", long), (2, "a", long + " more"), (3, "a", "b"), (4, "¿", "¡")], "family_id bigint, title string, abstract string")
     vectors = {r["id"]: r["embedding"] for r in embed(pending).collect()}
-    assert vectors[1] == vectors[2] != vectors[3]
+    assert vectors[1] != vectors[2]
     whole = {r["id"]: r["embedding"] for r in embed(pending, max_length=1_000).collect()}
-    assert whole[1] != whole[2]
+    assert all(np.allclose(whole[i], vectors[i], atol=1e-6) for i in whole)
+    assert [n for _, n in text_windows("a b-c  d e", 2)] == [1, 2, 2]
     assert set(vectors[4]) == {0.0}  # no token at all
 
 
