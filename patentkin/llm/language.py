@@ -139,9 +139,11 @@ def _units(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np
     return rows, n
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *kept: Column) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *kept: Column, prefix: str = "") -> DataFrame:
     """The columns `kept` of docs with lang_pred, score and langs (all languages of the mixture, largest first).
 
+    `prefix` stands before the names of these three.
+
     lang_pred is `und`, with score 0, where the text is null or has no letter, or nothing was
     learned. Whole texts are read; a text below three bytes has no trigram, and its shares are
     equal. Ties go to the language first in the alphabet.
@@ -152,9 +154,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *kept: Column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         for batch in batches:
-            for part in slices(batch, "_text"):
-                data, offsets = text_bytes(part.column("_text"))
-                lettered = [any(map(str.isalpha, t.as_py() or "")) for t in part.column("_text")]
+            for part in slices(batch, "_whole_text"):
+                data, offsets = text_bytes(part.column("_whole_text"))
+                lettered = [any(map(str.isalpha, t.as_py() or "")) for t in part.column("_whole_text")]
                 pred, score, found = [], [], []
                 share = mixtures(*_units(data, offsets, table)) if langs else np.zeros((part.num_rows, 0))
                 for own, known in zip(share, lettered, strict=True):
@@ -164,12 +166,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *kept: Column
                     found.append([langs[i] for i in order if own[i] > 0])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))],
-                    [*names, "lang_pred", "score", "langs"],
+                    [*names, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}langs"],
                 )
 
-    given = docs.select(*kept, F.col("text").alias("_text"))
+    given = docs.select(*kept, F.col("text").alias("_whole_text"))
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return given.mapInArrow(run, ", ".join([*own, "lang_pred string, score double, langs array<string>"]))
+    return given.mapInArrow(run, ", ".join([*own, f"{prefix}lang_pred string, {prefix}score double, {prefix}langs array<string>"]))
 
 
 def fold(modulus: int) -> Column:
@@ -188,5 +190,5 @@ def language_mixture(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """`docs` without the rows whose language can't be told: null texts and texts without a letter."""
-    marked = identify(docs, learn(docs.where(fold(5) != 0)), *[F.col(f"`{c}`") for c in docs.columns])
-    return marked.where(F.col("lang_pred") != NO_LANGUAGE).select(*docs.columns)
+    marked = identify(docs, learn(docs.where(fold(5) != 0)), *[F.col(f"`{c}`") for c in docs.columns], prefix="own_")
+    return marked.where(F.col("own_lang_pred") != NO_LANGUAGE).select(*docs.columns)

@@ -140,7 +140,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes, from products of 0/1 columns for the values that two sets or more hold."""
+    """Matrix of intersection sizes of different sets: products of 0/1 columns for the values that two sets or more hold."""
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, counts = np.unique(values, return_inverse=True, return_counts=True)

@@ -33,6 +33,7 @@ BEGINNINGS = (4, 5, 6, 7)
 SAMPLE_EACH = 1_000
 ROUNDS = 30
 MIN_SHARE = 0.02
+MIN_DOCUMENTS = 4
 MIN_ODDS = 8.0
 SPAN = 0.5
 
@@ -147,7 +148,7 @@ def toxic_traits(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     share = lambda k: (counts[False][k] + 0.5) / (m + 1)
     found = [
         k for k, c in counts[True].items()
-        if k and c >= max(2, MIN_SHARE * n) and (c + 0.5) / (n + 1) >= MIN_ODDS * share(k)
+        if k and c >= max(MIN_DOCUMENTS, MIN_SHARE * n) and (c + 0.5) / (n + 1) >= MIN_ODDS * share(k)
     ]
     return np.array(sorted(found), dtype=np.uint64)
 
