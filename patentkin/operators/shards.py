@@ -3,32 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patentkin.functions.text import row_size
+from patentkin.operators.skew import cut_lineage
 
 TARGET_BYTES = 100 * 2**20
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 1_024
 
 
-def _ranges(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
-    """Rows with the number of their key range; ranges follow the key order.
+def _fill(key: str, target_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the shards of one sorted range, holding a batch and two numbers at a time."""
 
-    The bounds are fixed numbers, so every evaluation and every retried task sees the same ranges.
-    """
-    shares = ", ".join(str(i / MAX_RANGES) for i in range(1, MAX_RANGES))
-    cuts = F.expr(f"percentile_approx({key}, array({shares}), {10 * MAX_RANGES})")
-    size = df.agg(F.count("*").alias("n"), cuts.alias("cuts")).first()
-    ranges = min(math.ceil(size["n"] / rows_per_range), MAX_RANGES) or 1
-    cuts = (size["cuts"] or [])[:: math.ceil(MAX_RANGES / ranges)] if ranges > 1 else []
-    splits = [-math.inf, *(sorted({float(c) for c in cuts}) or [0.0]), math.inf]
-    numeric = df.withColumn("_key", F.col(key).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_range").transform(numeric)
-    return ranged.withColumn("_range", F.col("_range").cast("int")).drop("_key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        shard, filled = 0, 0
+        for batch in batches:
+            upto = np.cumsum(batch.column("_bytes").to_numpy())
+            numbers = np.empty(len(upto), dtype=np.int64)
+            low, before = 0, 0
+            while low < len(upto):
+                high = max(low, int(np.searchsorted(upto, before + target_bytes - filled)))
+                if high == low and not filled:
+                    high = low + 1  # a row that is too large by itself
+                numbers[low:high] = shard
+                if high > low:
+                    filled += int(upto[high - 1]) - before
+                    before, low = int(upto[high - 1]), high
+                if low < len(upto):
+                    shard, filled = shard + 1, 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(np.full(len(upto), part), pa.int32()), pa.array(numbers)], ["_at", "_range", "_local"]
+            )
+
+    return run
 
 
 def assign_shards(
@@ -36,29 +50,28 @@ def assign_shards(
 ) -> DataFrame:
     """Rows (key, title, abstract) with `shard`: key order is kept and every shard is below the target.
 
-    Bytes before a row are the bytes of all earlier key ranges plus a running sum inside its own,
-    so no window spans the whole table. Cutting at multiples of target minus the largest row keeps
-    each shard below the target. Where one row alone exceeds the target, the cut is at the target.
+    A shard is closed before a row would bring it to the target, so what one row weighs changes no
+    shard but its neighbours; a row at or above the target has a shard of its own. Key ranges are
+    worked through side by side and each opens a new shard. Rows of one key share a shard.
+
+    Only keys and sizes are sorted. They are written to the checkpoint folder, so a retried task
+    sees the same ranges; the texts meet their shard in one join.
     """
-    sized = _ranges(df, key, rows_per_range).withColumn("_bytes", row_size(F.col("title"), F.col("abstract")))
-    totals = sized.groupBy("_range").agg(F.sum("_bytes").alias("_sum"), F.max("_bytes").alias("_max"))
-    # One row per range, at most MAX_RANGES: small enough for one task and for a broadcast.
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = totals.select(
-        "_range",
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
-        F.max("_max").over(everything).alias("_largest"),
-    )
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum("_bytes").over(inside), F.lit(0))
-    target = F.lit(target_bytes)
-    width = F.when(F.col("_largest") < target, target - F.col("_largest")).otherwise(target)
-    return (
-        sized.join(F.broadcast(offsets), "_range")
-        .withColumn("shard", F.floor(before / width))
-        .drop("_range", "_bytes", "_offset", "_largest")
+    size = F.coalesce(row_size(F.col("title"), F.col("abstract")).cast("long"), F.lit(0))
+    sized = cut_lineage(df.select(key, size.alias("_bytes")).groupBy(key).agg(F.sum("_bytes").alias("_bytes")))
+    ranges = max(1, math.ceil(sized.count() / rows_per_range))
+    kind = dict(df.dtypes)[key]
+    filled = cut_lineage(
+        sized.repartitionByRange(ranges, key)
+        .sortWithinPartitions(key)
+        .mapInArrow(_fill(key, target_bytes), f"_at {kind}, _range int, _local long")
     )
+    # one row per range, so at most 1 for `rows_per_range` keys: small enough for one task and for a broadcast
+    totals = filled.groupBy("_range").agg((F.max("_local") + 1).alias("_count"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
+    placed = filled.join(F.broadcast(offsets), "_range").select("_at", (F.col("_offset") + F.col("_local")).alias("shard"))
+    return df.join(placed, F.col(key).eqNullSafe(F.col("_at"))).drop("_at")
 
 
 def write_shards(df: DataFrame, path: str, key: str = "family_id") -> None:

@@ -247,7 +247,16 @@ def row_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def shard_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.assign_shards(_ready(spark, sf), SHARD_BYTES, rows_per_range=1_000).select("family_id", "shard")
+    return shards.assign_shards(_ready(spark, sf), SHARD_BYTES).select("family_id", "shard")
+
+
+@_query
+def shard_plan_large_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan where some families have 99 % of the target and some more than the target."""
+    number = F.col("family_id") % 97
+    heavy = F.when(number == 5, F.repeat(F.lit("x"), SHARD_BYTES * 99 // 100)).when(number == 50, F.repeat(F.lit("x"), 2 * SHARD_BYTES))
+    ready = _ready(spark, sf).withColumn("abstract", F.coalesce(heavy, "abstract"))
+    return shards.assign_shards(ready, SHARD_BYTES).select("family_id", "shard")
 
 
 @_query

@@ -310,12 +310,29 @@ SELECT family_id, regexp_replace(regexp_replace(title, '^\\s+', ''), '\\s+$', ''
 FROM ready
 """)
 _oracle("row_sizes", "ready", "SELECT family_id, strlen(title) + strlen(abstract) + 32 AS row_size FROM ready")
-_oracle("shard_plan", "ready", f"""
-SELECT family_id, floor(before / CASE WHEN largest < {SHARD_BYTES} THEN {SHARD_BYTES} - largest ELSE {SHARD_BYTES} END)::BIGINT AS shard
-FROM (SELECT family_id, max(size) OVER () AS largest,
-             coalesce(sum(size) OVER (ORDER BY family_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM (SELECT family_id, strlen(title) + strlen(abstract) + 32 AS size FROM ready))
-""")
+def _shards(abstract_bytes: str) -> str:
+    """Shards one after the other: the next one starts with the row that would bring this one to the target."""
+    return f"""
+SELECT * FROM (
+  WITH RECURSIVE summed AS (
+    SELECT family_id, size, sum(size) OVER (ORDER BY family_id) AS upto, row_number() OVER (ORDER BY family_id) AS n
+    FROM (SELECT family_id, strlen(title) + {abstract_bytes} + 32 AS size FROM ready)
+  ), starts AS (
+    SELECT 1::BIGINT AS n, 0::HUGEINT AS before, 0::BIGINT AS shard
+    UNION ALL
+    SELECT min(x.n), arg_min(x.upto - x.size, x.n)::HUGEINT, s.shard + 1
+    FROM starts s JOIN summed x ON x.n > s.n AND x.upto - s.before >= {SHARD_BYTES}
+    GROUP BY s.shard
+  )
+  SELECT family_id, max(shard) AS shard FROM summed x JOIN starts s ON s.n <= x.n GROUP BY family_id
+)
+"""
+
+
+_oracle("shard_plan", "ready", _shards("strlen(abstract)"))
+_oracle("shard_plan_large_rows", "ready", _shards(
+    f"CASE family_id % 97 WHEN 5 THEN {SHARD_BYTES * 99 // 100} WHEN 50 THEN {2 * SHARD_BYTES} ELSE strlen(abstract) END"
+))
 _oracle("embedding_insert_if_absent", "export_embeddings", """
 SELECT vec_id AS id, len(embedding)::INT AS dimension FROM embeddings WHERE vec_id NOT IN (SELECT id FROM export_embeddings)
 """)

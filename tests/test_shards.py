@@ -17,29 +17,67 @@ def families(spark, n):
     )
 
 
+def sized(df, target, rows_per_range):
+    """(family_id, shard, bytes) in the order of the ids."""
+    planned = assign_shards(df, target, rows_per_range=rows_per_range)
+    rows = planned.withColumn("bytes", row_size(F.col("title"), F.col("abstract"))).orderBy("family_id").collect()
+    return [(r["family_id"], r["shard"], r["bytes"]) for r in rows]
+
+
+def greedy(sizes, target):
+    shards, filled = [], 0
+    for size in sizes:
+        if shards and (not filled or filled + size < target):
+            shards.append(shards[-1])
+        else:
+            shards.append(shards[-1] + 1 if shards else 0)
+            filled = 0
+        filled += size
+    return shards
+
+
+@pytest.mark.parametrize("target", [200, 1_000, 50_000])
+def test_one_range_is_filled_greedily(spark, target):
+    rows = sized(families(spark, 500), target, 200_000)
+    assert [s for _, s, _ in rows] == greedy([b for *_, b in rows], target)
+
+
 @pytest.mark.parametrize("rows_per_range", [200_000, 40])
 @pytest.mark.parametrize("target", [200, 1_000, 50_000])
 def test_every_shard_is_below_the_target_and_in_order(spark, rows_per_range, target):
-    df = families(spark, 500)
-    rows = assign_shards(df, target, rows_per_range=rows_per_range).withColumn(
-        "bytes", row_size(F.col("title"), F.col("abstract"))
-    ).orderBy("family_id").collect()
+    rows = sized(families(spark, 500), target, rows_per_range)
     assert len(rows) == 500
-    shards = [r["shard"] for r in rows]
-    assert shards == sorted(shards)
+    shards = [s for _, s, _ in rows]
+    assert shards == sorted(shards) and set(shards) == set(range(shards[-1] + 1))
     total = {}
-    for r in rows:
-        total[r["shard"]] = total.get(r["shard"], 0) + r["bytes"]
+    for _, s, b in rows:
+        total[s] = total.get(s, 0) + b
     assert max(total.values()) < target
-    before, width = 0, target - max(r["bytes"] for r in rows)
-    for r in rows:
-        assert r["shard"] == before // width
-        before += r["bytes"]
+    early = sum(total[a[1]] + b[2] < target for a, b in zip(rows, rows[1:]) if a[1] != b[1])
+    assert early < 500 / rows_per_range + 1  # only the end of a range closes a shard early
 
 
 def test_rows_above_the_target(spark):
-    rows = assign_shards(families(spark, 30), 40, rows_per_range=7).collect()
-    assert len(rows) == 30 and len({r["shard"] for r in rows}) > 10
+    rows = sized(families(spark, 30), 40, 7)
+    assert len(rows) == 30 and len({s for _, s, _ in rows}) == 30
+
+
+def test_one_large_row_changes_no_other_shard(spark):
+    df = families(spark, 500)
+    heavy = F.when(F.col("family_id") == 497, F.repeat(F.lit("x"), 950)).when(F.col("family_id") == 700, F.repeat(F.lit("x"), 5_000))
+    plain, odd = (sized(x, 1_000, 200_000) for x in (df, df.withColumn("abstract", F.coalesce(heavy, "abstract"))))
+    assert [s for _, s, _ in odd] == greedy([b for *_, b in odd], 1_000)
+    total = {}
+    for _, s, b in odd:
+        total.setdefault(s, []).append(b)
+    assert [x for x in total.values() if sum(x) >= 1_000] == [[x for *_, x in odd if x > 5_000]]
+    assert len(total) <= plain[-1][1] + 1 + 4
+
+
+def test_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (None, "c", None), (2, None, "d")], "family_id long, title string, abstract string")
+    rows = assign_shards(df, 100).collect()
+    assert len(rows) == 4 and len({r["shard"] for r in rows if r["family_id"] == 1}) == 1
 
 
 def test_nothing_to_shard(spark):
