@@ -1,3 +1,104 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, by plain rules instead of the methods of the operators."""
 
 ORACLE: dict[str, str] = {}
+
+
+def _folded(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(column: str, pattern: str) -> str:
+    return f"regexp_extract_all({_folded(column)}, '{pattern}')"
+
+
+_BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
+_ALPHANUMERIC = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# Classes of equal sets, joined on every shingle they share.
+ORACLE["op2_minhash_near_dedup"] = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, {_words("text", _BLANK_SEPARATED)} AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(
+           CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END)) AS s
+  FROM doc_words
+), keyed AS (
+  SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM sets
+), classes AS (
+  SELECT k, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY k
+), posted AS (
+  SELECT node, n, unnest(s) AS shingle FROM classes
+), linked AS (
+  SELECT x.node AS a, y.node AS b
+  FROM posted x JOIN posted y
+    ON x.shingle = y.shingle AND x.node < y.node AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.node, y.node, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), edges AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reached AS (
+  SELECT node, node AS low FROM classes
+  UNION
+  SELECT e.b, r.low FROM reached r JOIN edges e ON e.a = r.node WHERE r.low < e.b
+), least_of AS (
+  SELECT node, min(low) AS low FROM reached GROUP BY node
+)
+SELECT doc_id, d.n::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
+FROM keyed d LEFT JOIN classes c ON d.k = c.k AND d.n > 0 LEFT JOIN least_of l ON l.node = c.node
+"""
+
+# All windows of all documents, in every length that windows of items have.
+ORACLE["op4_benchmark_decontamination"] = f"""
+WITH doc_words AS (
+  SELECT doc_id, row_number() OVER () AS d, {_words("text", _ALPHANUMERIC)} AS w FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, {_words("text", _ALPHANUMERIC)} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS win
+  FROM (SELECT item, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM item_windows
+), doc_windows AS (
+  SELECT d, n, unnest(range(1, len(w) - n + 2)) AS i,
+         unnest([array_to_string(w[j:j + n - 1], ' ') FOR j IN range(1, len(w) - n + 2)]) AS win
+  FROM doc_words, lengths WHERE len(w) >= n
+), found AS (
+  SELECT d, i, n, item FROM doc_windows JOIN item_windows USING (n, win)
+), hits AS (
+  SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(i, i + n)) AS p FROM found) GROUP BY d
+), held AS (
+  SELECT d, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM found GROUP BY d
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (d) LEFT JOIN held USING (d)
+"""
+
+# Every rule on every URL.
+ORACLE["op7_url_filters"] = rf"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, url, {_folded("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_replace(rest, '^[^/?#]*', '') AS tail
+  FROM cut
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fitting AS (
+  SELECT page_id, max(struct_pack(size := length(rule_host || rule_path), rule := rule_host || rule_path, verdict := verdict)) AS best
+  FROM parts, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, best.rule AS rule,
+       CASE WHEN best IS NOT NULL THEN best.verdict
+            WHEN regexp_matches(host || tail, '(^|\.)ads?\d*\.[^/]*') OR regexp_matches(host || tail, '[?&]utm_source=ads?(&|$)')
+              OR regexp_matches(host || tail, '/(login|signin|logout)([/?]|$)')
+              OR regexp_matches(host || tail, '/cart/checkout([/?]|$)')
+              OR regexp_matches(host || tail, '\.(exe|zip|iso|apk)([?]|$)') OR regexp_matches(host || tail, '^[^/]*casino[^/]*/')
+            THEN 'block' ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN fitting USING (page_id)
+"""
