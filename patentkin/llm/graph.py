@@ -10,9 +10,13 @@ from patentkin.operators.skew import cut_lineage
 MAX_ROUNDS = 60
 
 
-def _print(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return row["n"], row["x"]
+def _resolved(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none that has one is the lower end of another."""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("down")).unionAll(
+        edges.select(F.col("lo").alias("u"), F.lit(0).alias("down"))
+    )
+    roles = ends.groupBy("u").agg(F.sum("down").alias("downs"), F.min("down").alias("least"))
+    return roles.agg(F.count_if((F.col("downs") > 1) | (F.col("downs") > 0) & (F.col("least") == 0)).alias("n")).first()["n"] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,19 +40,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in `links` (a, b); the component is its least node.
 
     Links with a null end and loops are left out; repeated links and either direction are fine.
-    Only two numbers a round come to the driver, and no side of a join is broadcast. The rounds grow with the logarithm of the
+    Only one number a round comes to the driver, and no side of a join is broadcast. The rounds grow with the logarithm of the
     longest chain; every round is written to the shared checkpoint folder.
     """
     edges = cut_lineage(
         links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
-    before = _print(edges)
     for _ in range(MAX_ROUNDS):
-        edges = cut_lineage(_small_star(_large_star(edges)))
-        now = _print(edges)
-        if now == before:
+        if _resolved(edges):
             break
-        before = now
+        edges = cut_lineage(_small_star(_large_star(edges)))
     else:
         raise RuntimeError(f"links not resolved after {MAX_ROUNDS} rounds")
     tied = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

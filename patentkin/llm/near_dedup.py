@@ -254,13 +254,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = cut_lineage(shingle_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), size))
 
     links = cut_lineage(_confirmed(_matched(stars, sigs), sets, percent))
-    more = cut_lineage(_confirmed(_open_pairs(postings, sets, components(links), percent), sets, percent))
+    joined_so_far = components(links)
+    more = cut_lineage(_confirmed(_open_pairs(postings, sets, joined_so_far, percent), sets, percent))
     # copies hang on the least id of their class, and so do rows of one doc_id with different sets
     same = (
         base.where("n_shingles > 0 and doc_id is not null").select("doc_id", *keys)
         .join(classes, keys).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     )
-    tied = components(links.unionAll(more).unionAll(same))
+    # what the first pass has joined goes in as stars instead of links
+    stars = joined_so_far.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    tied = components(stars.unionAll(more).unionAll(same))
     joined = base.drop("sig").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select(
