@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patentkin.operators.skew import broadcast_if_small, cut_lineage
+
 KEYS = ["client_uid", "patent_family_id"]
 
 
@@ -35,18 +37,22 @@ def enrich(
 ) -> DataFrame:
     """Neighbours (client_uid, family_id, …) with family metadata, watch flag and lists of the client.
 
-    Every join is a left join on a unique key, so no neighbour is lost or repeated.
+    Every join is a left join on a unique key, so no neighbour is lost or repeated. Only what the
+    neighbours ask for is shuffled: families, watches and list items are cut down to their keys
+    first, so the texts of all other families stay where they are if the keys fit a broadcast.
     """
+    asked = cut_lineage(neighbours.withColumn("patent_family_id", F.col("family_id").cast("string")))
+    keys = asked.select(*KEYS).distinct()
+    wanted = broadcast_if_small(asked.select("patent_family_id").distinct())
     meta = fam.where(F.col("family_id").isNotNull()).select(
         F.col("family_id").alias("patent_family_id"),
         "title", "abstract", "family_authorities", "first_application_pub_date",
-    )
-    watched = active_sonars(sonars).withColumn("watched", F.lit(True))
+    ).join(wanted, "patent_family_id", "left_semi")
+    watched = active_sonars(sonars.join(keys, KEYS, "left_semi")).withColumn("watched", F.lit(True))
     return (
-        neighbours.withColumn("patent_family_id", F.col("family_id").cast("string"))
-        .join(meta, "patent_family_id", "left")
+        asked.join(meta, "patent_family_id", "left")
         .join(watched, KEYS, "left")
-        .join(list_memberships(lists, list_items), KEYS, "left")
+        .join(list_memberships(lists, list_items.join(keys, KEYS, "left_semi")), KEYS, "left")
         .withColumn("sonar_is_active", F.col("watched").isNotNull())
         .drop("watched", "patent_family_id")
     )

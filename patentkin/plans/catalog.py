@@ -428,7 +428,15 @@ def landscape_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def landscape_output(spark: SparkSession, sf: str) -> DataFrame:
-    return run_jobs(_jobs(spark, sf), _tables(spark, sf)).results
+    """Items of every document in their order, read back from its JSON text, and whether `neighbors` equals `items`."""
+    results = run_jobs(_jobs(spark, sf), _tables(spark, sf)).results
+    kind = "array<struct<family_id:string,title:string,x:double,y:double,is_seed:boolean>>"
+    body = F.from_json("output", f"v int, items {kind}, neighbors {kind}, neighbor_count long")
+    shown = F.transform("body.items", lambda i: F.concat_ws(":", i["family_id"], i["is_seed"].cast("string"), i["title"]))
+    return results.withColumn("body", body).select(
+        "uid", "status", "message", "part", "parts", "neighbor_count", F.array_join(shown, "|").alias("items"),
+        (F.col("body.items") == F.col("body.neighbors")).alias("same"),
+    )
 
 
 @_query

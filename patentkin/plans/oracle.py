@@ -407,6 +407,14 @@ _oracle("job_without_seeds", "final_errors", """
 SELECT job_uid, error FROM final_errors WHERE error LIKE 'No seed%'
 """)
 _oracle("landscape_items", "items", "SELECT job_uid, family_id, title, is_seed FROM items")
+_oracle("landscape_output", "items final_errors", """
+SELECT e.job_uid AS uid, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, error AS message,
+       CASE WHEN error IS NULL THEN 0 END AS part, CASE WHEN error IS NULL THEN 1 END AS parts,
+       d.n AS neighbor_count, d.items, CASE WHEN error IS NULL THEN true END AS same
+FROM final_errors e LEFT JOIN (
+  SELECT job_uid, count(*) AS n, string_agg(family_id || ':' || is_seed || ':' || title, '|' ORDER BY family_id::BIGINT) AS items
+  FROM items GROUP BY job_uid) d USING (job_uid)
+""")
 _oracle("landscape_sizes", "items", """
 SELECT job_uid, count(*) AS neighbor_count, count(*)::INT AS items, min(family_id::BIGINT)::VARCHAR AS first_family_id, 1 AS v
 FROM items GROUP BY job_uid
