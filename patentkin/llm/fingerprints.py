@@ -3,11 +3,13 @@
 A document is the multiset of its paragraphs, the parts between line feeds. Each paragraph is
 hashed to a vector of EXACT 32-bit numbers, and a document's vector is the sum of these modulo
 2^32: it does not depend on the order, and paragraphs are put in or taken out by adding or
-subtracting their vectors. Each clause of a paragraph (what stands between marks) adds a second
-vector of 2 x LANES bits. Half the bits of a clause are set at random, so the counts of set bits,
-less half the number of clauses, estimate how much two documents share: the cosine of their clause
-counts, with a standard error of 1 / sqrt(2 x LANES). A fingerprint is the exact vector, the number
-of clauses and the counts, two to a number, in hexadecimal.
+subtracting their vectors. For likeness, a paragraph's words and marks are read as runs of RUN
+tokens, one from each token on, so an edit changes only the runs it touches, whatever the
+punctuation; equal runs of a paragraph are numbered. A run falls into one of PARTS parts by its hash and adds 2 x LANES random bits there,
+so the counts of set bits, less half the number of runs of the part, estimate how much two
+documents share: the cosine of their run counts, with a standard error of 1 / sqrt(2 x LANES x
+PARTS) for documents with many runs. A fingerprint is the exact vector, the numbers of runs and
+the counts of each part, two to a number, in hexadecimal.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from patentkin.llm import order
 
 EXACT = 8
 LANES = 32
-#: Marks between clauses, with the blanks around them.
-CLAUSE_MARKS = r"[\s]*[^\p{L}\p{N}\s]+[\s]*"
+PARTS = 4
+RUN = 3
+#: Words of at most 16 letters and digits, or what is left of a longer one; letters of scripts without blanks and marks by themselves.
+TOKENS = r"[A-Za-z0-9À-ÖØ-öø-ÿ[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]]{1,16}|\S"
 _LOW = 0xFFFFFFFF
 _ONES = 0x0000000100000001
 
@@ -30,50 +34,71 @@ def _low(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_LOW))
 
 
-def _sums(paragraph: Column, clause: Column, first: Column) -> list[Column]:
-    """Sums over the clauses of a document's paragraphs; `first` marks a paragraph's first clause."""
+def _sums(first: Column, run: Column, filled: Column) -> list[Column]:
+    """Sums over the runs of a document's paragraphs; `first` marks the first row of a paragraph."""
     zero = F.lit(0).cast("long")
     exact = []
     for k in range(EXACT // 2):
-        value = F.xxhash64(F.lit(k), paragraph)
-        for half in (_low(value), F.shiftrightunsigned(value, 32)):
+        for half in (_low(F.col(f"h{k}")), F.shiftrightunsigned(F.col(f"h{k}"), 32)):
             exact.append(F.sum(F.when(first, half).otherwise(zero)).alias(f"e{len(exact)}"))
-    value, filled = F.xxhash64(clause), clause != ""
-    count = F.sum(F.when(filled, 1).otherwise(0)).cast("long").alias("clauses")
+    count = F.sum(F.when(filled, 1).otherwise(0)).cast("long").alias("runs")
     lanes = [
-        F.sum(F.when(filled, F.shiftrightunsigned(value, k).bitwiseAND(F.lit(_ONES))).otherwise(zero)).alias(f"l{k}")
+        F.sum(F.when(filled, F.shiftrightunsigned(run, k).bitwiseAND(F.lit(_ONES))).otherwise(zero)).alias(f"l{k}")
         for k in range(LANES)
     ]
     return [*exact, count, *lanes]
 
 
+def _numbered(runs: str) -> Column:
+    """Hashes of the runs of a paragraph with their number among equal ones, from a sorted array.
+
+    Without it, the square of a word repeated a hundred times would outweigh the rest of a text.
+    """
+    same = lambda x, at: (at >= 0) & (F.get(runs, at) == x)
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    start = lambda x, at: F.aggregate(steps, at, lambda low, by: F.when(same(x, low - by), low - by).otherwise(low))
+    return F.transform(runs, lambda x, at: F.when(same(x, at - 1), F.xxhash64(x, at - start(x, at))).otherwise(x))
+
+
 def fingerprints(texts: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., f) for the `text` of each key of `texts`, f a struct of exact, clauses and lanes.
+    """(key..., f) for the `text` of each key of `texts`, f a struct of exact, runs and lanes.
 
-    Rows are summed where they are read, so one row for each key and task is shuffled at most.
-    Rows of one key count as one document; a null text is empty.
+    Rows are summed where they are read, so PARTS rows for each key and task are shuffled at most.
+    Rows of one key count as one document; a null text is empty. A paragraph with fewer than RUN
+    tokens is one run, one without a token has none.
     """
     paragraphs = texts.select(*key, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph"))
-    clauses = paragraphs.select(*key, "paragraph", F.posexplode(F.split("paragraph", CLAUSE_MARKS)).alias("at", "clause"))
-    summed = clauses.groupBy(*key).agg(*_sums(F.col("paragraph"), F.col("clause"), F.col("at") == 0))
-    exact = F.array(*[_low(F.col(f"e{k}")) for k in range(EXACT)]).alias("exact")
+    # the hashes go on instead of the paragraph, which would be copied for each of its runs
+    hashed = [F.xxhash64(F.lit(k), "paragraph").alias(f"h{k}") for k in range(EXACT // 2)]
+    names = [f"h{k}" for k in range(EXACT // 2)]
+    tokens = paragraphs.select(*key, *hashed, F.regexp_extract_all("paragraph", F.lit(TOKENS), F.lit(0)).alias("tokens"))
+    run = lambda x, k: F.xxhash64(x, *[F.get("tokens", k + lag) for lag in range(1, RUN)])
+    every = F.slice(F.transform("tokens", run), F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (RUN - 1)))
+    runs = tokens.select(*key, *names, F.sort_array(every).alias("runs"))
+    runs = runs.select(*key, *names, F.posexplode_outer(_numbered("runs")).alias("at", "run"))
+    first, filled = F.coalesce(F.col("at") == 0, F.lit(True)), F.col("run").isNotNull()
+    runs = runs.select(*key, *names, first.alias("first"), filled.alias("filled"), "run")
+    of = F.xxhash64("run").bitwiseAND(F.lit(PARTS - 1)).cast("int").alias("of")
+    summed = runs.groupBy(*key, of).agg(*_sums(F.col("first"), F.col("run"), F.col("filled")))
     lanes = F.array(*[F.col(f"l{k}") for k in range(LANES)]).alias("lanes")
-    return summed.select(*key, F.struct(exact, "clauses", lanes).alias("f"))
+    sums = [F.sum(f"e{k}").alias(f"e{k}") for k in range(EXACT)]
+    parts = summed.withColumn("part_", F.struct("runs", lanes)).groupBy(*key).agg(*sums, F.map_from_entries(F.collect_list(F.struct("of", "part_"))).alias("parts"))
+    none = F.struct(F.lit(0).cast("long").alias("runs"), F.array_repeat(F.lit(0).cast("long"), LANES).alias("lanes"))
+    every = parts.withColumn("parts", F.array(*[F.coalesce(F.col("parts")[k], none) for k in range(PARTS)]))
+    exact = F.array(*[_low(F.col(f"e{k}")) for k in range(EXACT)]).alias("exact")
+    return every.select(*key, F.struct(exact, F.col("parts.runs").alias("runs"), F.flatten("parts.lanes").alias("lanes")).alias("f"))
 
 
 def as_text(f: Column) -> Column:
     """A fingerprint in hexadecimal."""
     show = lambda width: lambda x: F.lpad(F.lower(F.hex(x)), width, "0")
-    return F.concat(
-        F.array_join(F.transform(f["exact"], show(8)), ""), show(16)(f["clauses"]),
-        F.array_join(F.transform(f["lanes"], show(16)), ""),
-    )
+    return F.concat(*[F.array_join(F.transform(f[c], show(width)), "") for c, width in (("exact", 8), ("runs", 16), ("lanes", 16))])
 
 
 def _combined(f: Column, part: Column, step) -> Column:
     return F.struct(
         F.zip_with(f["exact"], part["exact"], lambda x, y: _low(step(x, y))).alias("exact"),
-        step(f["clauses"], part["clauses"]).alias("clauses"),
+        F.zip_with(f["runs"], part["runs"], step).alias("runs"),
         F.zip_with(f["lanes"], part["lanes"], step).alias("lanes"),
     )
 
@@ -88,23 +113,32 @@ def delete(f: Column, part: Column) -> Column:
     return _combined(f, part, lambda x, y: x - y)
 
 
-def _signed(f: Column) -> Column:
-    """Twice each count less the number of clauses."""
-    lows = F.transform(f["lanes"], lambda x: (2 * _low(x) - f["clauses"]).cast("double"))
-    highs = F.transform(f["lanes"], lambda x: (2 * F.shiftrightunsigned(x, 32) - f["clauses"]).cast("double"))
-    return F.concat(lows, highs)
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, z: s + z)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Between 0 and 1 for two fingerprints: 1 if they are equal, else the estimated cosine of their clause counts."""
-    x, y = _signed(a), _signed(b)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, z: s + z)
-    dot = total(F.zip_with(x, y, lambda p, q: p * q))
-    norm = F.sqrt(total(F.transform(x, lambda p: p * p)) * total(F.transform(y, lambda p: p * p)))
+def _vector(f: Column) -> Column:
+    """Twice each count less the number of runs of its part (v), and the sum of their squares."""
+    runs = F.flatten(F.transform(f["runs"], lambda n: F.array_repeat(n, LANES)))
+    lows = F.zip_with(f["lanes"], runs, lambda x, n: (2 * _low(x) - n).cast("double"))
+    highs = F.zip_with(f["lanes"], runs, lambda x, n: (2 * F.shiftrightunsigned(x, 32) - n).cast("double"))
+    square = lambda v: F.struct(v.alias("v"), _total(F.transform(v, lambda p: p * p)).alias("square"))
+    return F.transform(F.array(F.concat(lows, highs)), square)[0]
+
+
+def _likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """As `likeness`, with the vectors x and y of the fingerprints a and b."""
+    dot = _total(F.zip_with(x["v"], y["v"], lambda p, q: p * q))
+    norm = F.sqrt(x["square"] * y["square"])
     cosine = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / norm))).otherwise(F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).otherwise(cosine)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Between 0 and 1 for two fingerprints: 1 if they are equal, else the estimated cosine of their run counts."""
+    return _likeness(a, b, _vector(a), _vector(b))
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Rows of docs and, for each bucket of consecutive ids, the row that follows its last one (tail).
 
@@ -144,17 +178,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     texts = rows.select(*key, "doc_id", F.explode(F.array_compact(both)).alias("t"))
     texts = texts.select("part", "tail", "row", "doc_id", "t.kind", "t.sha", "t.n", "t.text")
-    prints = fingerprints(texts, [*key, "kind", "doc_id", "sha", "n"])
+    prints = fingerprints(texts, [*key, "kind", "doc_id", "sha", "n"]).withColumn("v", _vector(F.col("f")))
     window = W.partitionBy("part").orderBy("tail", "row", "kind")
+    lead = lambda column, k, name: F.lead(column, k).over(window).alias(name)
     # order in a bucket: own, edited, own, edited, ..., then the tail
     found = prints.select(
-        "tail", "kind", "doc_id", "n", F.col("f").alias("own"),
-        F.lead("f", 1).over(window).alias("edited"), F.lead("sha", 1).over(window).alias("edited_sha256"),
-        F.lead("f", 2).over(window).alias("after"),
+        "tail", "kind", "doc_id", "n", F.col("f").alias("own"), "v",
+        lead("f", 1, "edited"), lead("v", 1, "edited_v"), lead("sha", 1, "edited_sha256"), lead("f", 2, "after"), lead("v", 2, "after_v"),
     ).where("tail = 0 and kind = 0")
     return found.select(
         "doc_id", F.col("n").alias("n_chars"), "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        _likeness(F.col("own"), F.col("edited"), F.col("v"), F.col("edited_v")).alias("near_edited"),
+        _likeness(F.col("own"), F.col("after"), F.col("v"), F.col("after_v")).alias("near_next"),
     )
