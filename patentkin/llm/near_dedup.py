@@ -218,9 +218,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without the documents that a lower doc_id of their component stands for."""
+    """`docs` without the documents that a lower doc_id of their component stands for.
+
+    Of several rows with one doc_id and text one stays, the least by the other columns, so these
+    have to have an order. Rows without doc_id all stay.
+    """
     dropped = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    left = docs.join(dropped, "doc_id", "left_anti")
+    repeated = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    # only rows of repeated ids are grouped, and equal ones are merged where they are read
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest"))
+    once = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns])
+    return left.join(repeated, "doc_id", "left_anti").select(*once.columns).unionAll(once)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

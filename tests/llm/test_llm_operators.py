@@ -97,6 +97,17 @@ def test_near_duplicates(spark, rows):
     assert near_dedup.near_duplicates(documents(spark, []).limit(0), size=4).count() == 0
 
 
+def test_one_row_of_a_kept_document_stays(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, a), (1, a), (1, b), (2, a), (2, a), (3, None), (3, None), (4, prose(3, 60)), (None, a), (None, a)]
+    docs = documents(spark, rows)
+    left = near_dedup.keep_one(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "", r["n_chars"], r["source"]) for r in left.collect()))
+    wanted = [(1, a), (1, b), (3, None), (4, prose(3, 60)), (None, a), (None, a)]
+    assert got == sorted((i or 0, t or "", None if t is None else len(t), "s") for i, t in wanted)
+
+
 def test_cells_find_what_connects(monkeypatch):
     sets = [np.arange(k, k + 100, dtype=np.uint32) for k in (0, 2, 4, 300, 302, 900)]
     assert near_dedup.overlaps(sets)[0][1:].tolist() == [98, 96, 0, 0, 0]
