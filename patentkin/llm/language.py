@@ -189,6 +189,12 @@ def language_mixture(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose language can't be told: null texts and texts without a letter."""
-    marked = identify(docs, learn(docs.where(fold(5) != 0)), *[F.col(f"`{c}`") for c in docs.columns], prefix="own_")
+    """`docs` without the rows whose language can't be told: null texts and texts without a letter.
+
+    Where no language is known to learn from, all other rows stay too, as if of a single language.
+    """
+    langs, table = learn(docs.where(fold(5) != 0))
+    if not langs:
+        langs, table = ["any"], np.zeros((BUCKETS + 1, 1), dtype=np.float32)
+    marked = identify(docs, (langs, table), *[F.col(f"`{c}`") for c in docs.columns], prefix="own_")
     return marked.where(F.col("own_lang_pred") != NO_LANGUAGE).select(*docs.columns)

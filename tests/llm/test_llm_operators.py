@@ -321,6 +321,16 @@ def test_language(spark, rows):
     assert language.language_mixture(docs.limit(0)).count() == 0
 
 
+def test_rows_stay_without_known_languages(spark):
+    table = [(1, "some words here"), (2, None), (3, ""), (4, "12 !!"), (5, "é"), (None, "a b")]
+    without = spark.createDataFrame([(i, t, None) for i, t in table], "doc_id long, text string, lang string")
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0][:3]
+    small = spark.createDataFrame([(i, f"words of {i}", "en") for i in held], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] or 0 for r in language.keep_identified(without).collect()) == [0, 1, 5]
+    assert sorted(r["doc_id"] for r in language.keep_identified(small).collect()) == held
+    assert {r["lang_pred"] for r in language.language_mixture(without).collect()} == {"und"}
+
+
 def labelled(spark, column, good, bad):
     docs = spark.createDataFrame(
         [(i, bad(i) if i % 3 == 0 else good(i)) for i in range(240)] + [(900, None), (901, ""), (None, "a b")], "doc_id long, text string"
