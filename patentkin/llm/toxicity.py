@@ -2,7 +2,8 @@
 
 Labels mark documents, not words, so tokens are labelled first: a token counts as toxic where it
 stands in a toxic document and its word, or the beginning of its word, is far more frequent in toxic
-documents than in others, counted once for each group of copies. A two-state chain with weights for
+documents than in others, counted once for each group of copies. How rare it may be follows from a test
+of significance, with FALSE_SHARE as the expected share of false ones among all that pass. A two-state chain with weights for
 hashed words, their beginnings and their neighbours is fitted to these labels by gradient ascent. The marginals of the toxic state, from the forward and
 backward messages over the whole text, give the offending spans; their largest value and their sum
 give the document's score through a logistic fit. All fitting uses a bounded sample.
@@ -13,6 +14,7 @@ from block to block, then inside the blocks, which is exact and handles texts of
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,9 +34,9 @@ BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7)
 SAMPLE_EACH = 1_000
 ROUNDS = 30
-MIN_SHARE = 0.02
 MIN_DOCUMENTS = 4
 MIN_ODDS = 8.0
+FALSE_SHARE = 0.05
 SPAN = 0.5
 
 _PLACES = constants(max(BEGINNINGS), 8)
@@ -134,8 +136,20 @@ def marginals(emission: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs:
     return (chances, moved) if pairs else chances
 
 
+def _chance(c: int, total: int, share: float) -> float:
+    """Probability of c or more of `total` documents being toxic if each is so with a chance of `share`."""
+    k = np.arange(c, total + 1)
+    steps = np.log((total - k[:-1]) / (k[:-1] + 1) * share / (1 - share))
+    start = math.lgamma(total + 1) - math.lgamma(c + 1) - math.lgamma(total - c + 1) + c * math.log(share) + (total - c) * math.log1p(-share)
+    return float(np.exp(start + np.concatenate([[0.0], np.cumsum(steps)])).sum())
+
+
 def toxic_traits(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Traits far more frequent in toxic documents; documents with an equal least word pair count once."""
+    """Traits far more frequent in toxic documents; documents with an equal least word pair count once.
+
+    A trait stands in MIN_DOCUMENTS toxic documents or more, has odds of MIN_ODDS, and is significant
+    by the step-up rule of Benjamini and Hochberg over all traits of MIN_DOCUMENTS documents.
+    """
     seen: dict[bool, set] = {True: set(), False: set()}
     counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for own, bad in zip(documents, toxic.astype(bool), strict=True):
@@ -145,12 +159,22 @@ def toxic_traits(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
             seen[bad].add(least)
             counts[bad].update(np.unique(own).tolist())
     n, m = len(seen[True]), len(seen[False])
+    if not n or not m:
+        return np.zeros(0, dtype=np.uint64)
     share = lambda k: (counts[False][k] + 0.5) / (m + 1)
-    found = [
-        k for k, c in counts[True].items()
-        if k and c >= max(MIN_DOCUMENTS, MIN_SHARE * n) and (c + 0.5) / (n + 1) >= MIN_ODDS * share(k)
-    ]
-    return np.array(sorted(found), dtype=np.uint64)
+    tested = sum(c + counts[False][k] >= MIN_DOCUMENTS for k, c in counts[True].items() if k)
+    tested += sum(c >= MIN_DOCUMENTS for k, c in counts[False].items() if k and k not in counts[True])
+    known: dict[tuple[int, int], float] = {}
+    found = []
+    for k, c in counts[True].items():
+        if k and c >= MIN_DOCUMENTS and (c + 0.5) / (n + 1) >= MIN_ODDS * share(k):
+            pair = (c, c + counts[False][k])
+            if pair not in known:
+                known[pair] = _chance(*pair, n / (n + m))
+            found.append((known[pair], k))
+    found.sort()
+    last = max((at for at, (p, _) in enumerate(found, 1) if p * tested <= FALSE_SHARE * at), default=0)
+    return np.array(sorted(k for _, k in found[:last]), dtype=np.uint64)
 
 
 def fit_chain(buckets: list[np.ndarray], first: np.ndarray, tag: np.ndarray) -> Chain:

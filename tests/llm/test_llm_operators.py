@@ -373,6 +373,20 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_many_rare_toxic_words_are_found():
+    chance = np.random.default_rng(3)
+    rare = np.arange(240)
+    documents, label = [], []
+    for d in range(1_200):
+        own = chance.integers(1_000, 3_000, 30)
+        own = np.concatenate([own, rare[(d * 4 + np.arange(4)) % 240]]) if d < 300 else own  # five documents of 300 for each
+        documents.append(np.stack([text.mix(own.astype(np.uint64) + np.uint64(1)), *np.zeros((4, len(own)), dtype=np.uint64)]))
+        label.append(d < 300)
+    found = toxicity.toxic_traits(documents, np.array(label))
+    wanted = text.mix(rare.astype(np.uint64) + np.uint64(1))
+    assert np.isin(wanted, found).mean() > 0.9 and np.isin(found, wanted).mean() > 0.9
+
+
 def test_marginals():
     chance = np.random.default_rng(4)
     for n in (1, 2, 63, 64, 65, 200):
