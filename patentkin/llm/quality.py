@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patentkin.llm.labelled import labelled_sample
+from patentkin.llm.labelled import SAMPLE_CHARS, labelled_sample
 from patentkin.llm.language import fold
 from patentkin.llm.text import ALPHANUMERIC, slices, words
 
@@ -180,14 +180,15 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
-    Learned from at most `each` labelled rows of either class outside the held-out fold. Null and
+    Learned from at most `each` labelled ids and `chars` characters of either class outside the
+    held-out fold (see `labelled_sample`); whole texts are scored. Null and
     empty texts are scored by their structure figures. Without labels every score is 0.5. A row
     without doc_id is scored and not held out. Other columns are not read.
     """
-    machine = learn(labelled_sample(docs, labels, "quality", fold(5) != 0, each))
+    machine = learn(labelled_sample(docs, labels, "quality", fold(5) != 0, each, chars))
     held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
     scored = score(docs, machine)
     return scored.select("doc_id", held_out, "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -33,6 +33,8 @@ BUCKETS = 2**16
 BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7)
 SAMPLE_EACH = 1_000
+#: Of each class; the fit holds several arrays with a place for each word.
+SAMPLE_CHARS = 4 * 2**20
 ROUNDS = 30
 MIN_DOCUMENTS = 4
 MIN_ODDS = 8.0
@@ -292,14 +294,15 @@ def tag(docs: DataFrame, chain: Chain | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans string")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted, spans.
 
-    Learned from at most `each` labelled rows of either class outside the held-out fold. Null and
+    Learned from at most `each` labelled ids and `chars` characters of either class outside the
+    held-out fold (see `labelled_sample`); whole texts are scored. Null and
     empty texts have no spans and the score of a text without toxic words. Without labels every
     score is 0. A row without doc_id is scored and not held out. Other columns are not read.
     """
-    chain = learn(labelled_sample(docs, labels, "toxic", fold(4) != 2, each))
+    chain = learn(labelled_sample(docs, labels, "toxic", fold(4) != 2, each, chars))
     held_out = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
     return tag(docs, chain).select(
         "doc_id", held_out, "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "spans"

@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("patentkin.llm")
 
 from patentkin.llm import decontaminate, fingerprints, graph, language, line_dedup, near_dedup, packing  # noqa: E402
+from patentkin.llm import labelled as labelled_rows
 from patentkin.llm import quality, secrets, text, toxicity, url_filters  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -344,6 +345,14 @@ def accuracy(rows, wanted):
     return sum(r["predicted"] == wanted(r["doc_id"]) for r in held) / len(held)
 
 
+def test_the_sample_is_bounded(spark):
+    rows = [(1, "b" * 50)] * 40 + [(1, "a" * 30), (2, "c" * 10), (3, None), (3, None), (4, "d" * 500), (5, "e" * 40), (9, "unlabelled")]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+    sample = lambda chars: sorted((r["doc_id"], r["text"], r["label"]) for r in labelled_rows.labelled_sample(documents(spark, rows), labels, "toxic", F.lit(True), 10, chars).collect())
+    assert sample(10_000) == [(1, "a" * 30, 1), (2, "c" * 10, 1), (3, None, 0), (4, "d" * 500, 0), (5, "e" * 40, 0)]
+    assert sample(100) == [(1, "a" * 30, 1), (2, "c" * 10, 1), (3, None, 0), (4, "d" * 60, 0), (5, "e" * 40, 0)]
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, "quality", lambda i: prose(i, 60) + ".", lambda i: prose(i, 60).upper().replace(" ", "!! "))
     rows = quality.quality(docs, labels).collect()
