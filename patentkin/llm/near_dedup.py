@@ -163,8 +163,9 @@ def _cell_pairs(percent: int):
     def run(members: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different components that connect what the members of one cell connect.
 
-        The sets hold 32 bits of each shingle, so a count can be off by a collision: pairs near
-        the limit all go to the confirmation, the others as a spanning forest.
+        The sets hold 32 bits of each shingle, so a count can be off by collisions inside and between
+        sets. With `off`, their expected number and six standard deviations besides 2, pairs near the
+        limit all go to the confirmation, the others as a spanning forest.
         """
         node, side = members["node"].to_numpy(), members["side"].to_numpy()
         _, component = np.unique(members["component"].to_numpy(), return_inverse=True)
@@ -172,10 +173,12 @@ def _cell_pairs(percent: int):
         sizes = np.array([len(s) for s in sets], dtype=np.float32)
         both = overlaps(sets)
         either = sizes[:, None] + sizes[None, :] - both
+        expected = (sizes[:, None] + sizes[None, :]).astype(float) ** 2 / 2**33
+        off = 2 + expected + 6 * np.sqrt(expected)
         open_ = component[:, None] != component[None, :]
         open_ &= (side[:, None] <= 1) & (side[None, :] >= 1) | (side[:, None] >= 1) & (side[None, :] <= 1)
-        sure = open_ & (100 * (both - 2) >= percent * (either + 2))
-        near = np.triu(open_ & ~sure & (100 * (both + 2) >= percent * (either - 2)))
+        sure = open_ & (100 * (both - off) >= percent * (either + off))
+        near = np.triu(open_ & ~sure & (100 * (both + off) >= percent * (either - off)))
         pairs = _forest(sure) + list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
         i, j = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
         return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})

@@ -119,6 +119,16 @@ def test_cells_find_what_connects(monkeypatch):
     assert len(pairs) == 3 and set(map(tuple, pairs.to_numpy())) <= {(0, 1), (0, 2), (1, 2), (3, 4)}
 
 
+def test_cells_of_large_sets_allow_for_collisions():
+    import pandas as pd
+
+    values = np.random.default_rng(1).integers(0, 2**64, 333_333, dtype=np.uint64)
+    sets = [values[:300_000], values[33_333:]]  # 266,667 of 333,333 are common
+    short = [(np.sort(s) >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+    cell = pd.DataFrame({"node": [0, 1], "component": [0, 1], "side": 1, "short": short})
+    assert near_dedup._cell_pairs(80)(cell).to_numpy().tolist() == [[0, 1]]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 200 + k) for k in range(1, 60)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
