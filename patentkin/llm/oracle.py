@@ -102,3 +102,64 @@ SELECT page_id, host, path, best.rule AS rule,
             THEN 'block' ELSE 'allow' END AS verdict
 FROM parts LEFT JOIN fitting USING (page_id)
 """
+
+# Checksums byte by byte, and words one edit apart by what is left when a letter goes or is masked.
+ORACLE["op12_spelling_variants"] = r"""
+WITH RECURSIVE folded AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT row_number() OVER () AS id, doc, run, count(*) AS times FROM folded GROUP BY doc, run
+), table_steps AS (
+  SELECT k, k::BIGINT AS v, 0 AS step FROM range(256) t(k)
+  UNION ALL
+  SELECT k, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), step + 1 FROM table_steps WHERE step < 8
+), crc_table AS (
+  SELECT k::BIGINT AS k, v FROM table_steps WHERE step = 8
+), coded AS (
+  SELECT id, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                           ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END
+                      FOR c IN string_split(doc || ':' || run, '')]) AS bytes
+  FROM runs
+), crc_steps AS (
+  SELECT id, bytes, 0 AS place, 4294967295::BIGINT AS crc FROM coded
+  UNION ALL
+  SELECT id, bytes, place + 1, xor(v, crc >> 8)
+  FROM crc_steps JOIN crc_table ON k = xor(crc, bytes[place + 1]) & 255 WHERE place < len(bytes)
+), checksums AS (
+  SELECT id, xor(crc, 4294967295) AS h FROM crc_steps WHERE place = len(bytes)
+), changed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+              ELSE run END AS word, times
+  FROM runs JOIN checksums USING (id)
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), less_one AS (
+  SELECT DISTINCT word, n, unnest([substr(word, 1, i - 1) || substr(word, i + 1) FOR i IN range(1, length(word) + 1)]) AS rest
+  FROM words
+), masked AS (
+  SELECT word, n, unnest([substr(word, 1, i - 1) || '*' || substr(word, i + 1) FOR i IN range(1, length(word) + 1)]) AS rest
+  FROM words
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM masked a JOIN masked b ON a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM less_one a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM less_one a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near
+  FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), formed AS (
+  SELECT w.word, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+         CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS place FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON c.place = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.place AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed last ON last.word = c.place AND last.form IS NULL
+"""

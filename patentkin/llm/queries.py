@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patentkin.llm import decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filters
+from patentkin.llm import (
+    decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quality, secrets, spelling, token_counts,
+    toxicity, url_filters, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,3 +94,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with the form that they are variants of."""
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector; deviation is null where it is no long any more."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
