@@ -12,6 +12,18 @@ def normal_code(code: Column) -> Column:
     return F.upper(F.replace(code, F.lit(" "), F.lit("")))
 
 
+def parent_code(code: Column) -> Column:
+    """The code one level up in normal spelling: subgroup, main group, subclass, class, section; NULL above that."""
+    stem = F.substring_index(code, "/", 1)
+    is_group, main = F.contains(code, F.lit("/")), F.endswith(code, F.lit("/00"))
+    return (
+        F.when(is_group & ~main, F.concat(stem, F.lit("/00")))
+        .when(is_group, F.substr(stem, F.lit(1), F.lit(4)))
+        .when(F.length(code) == 4, F.substr(code, F.lit(1), F.lit(3)))
+        .when(F.length(code) == 3, F.substr(code, F.lit(1), F.lit(1)))
+    )
+
+
 def cpc_pieces(code: Column, group_digits: int = 3) -> Column:
     """Section, class, subclass, main group and subgroup of a raw code, as array<struct<code, hier_rank>>.
 

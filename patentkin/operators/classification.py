@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patentkin.functions.classification import cpc_pieces
+from patentkin.functions.classification import cpc_pieces, normal_code, parent_code
 from patentkin.operators.skew import broadcast_if_small
 
 
@@ -40,9 +40,19 @@ def with_cpc_titles(fam: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def cpc_seeds(requested: DataFrame, index: DataFrame) -> DataFrame:
-    """(job_uid, family_id) of the families that carry a requested code exactly as written.
+    """(job_uid, family_id) of the families under the requested codes, for all codes and depths in one join.
 
-    The index holds ancestors, so a subclass finds its whole subtree.
+    exact, and where `requested` has no `depth`: families that carry the code as written. The index
+    holds ancestors, so a subclass finds its whole subtree. subtree: the same for the code in normal
+    spelling. children: families that carry a code one level below it. For that every code of the
+    index also stands under its parent, so that a level down is an equal key too.
     """
-    wanted = broadcast_if_small(requested.select("job_uid", "code").distinct())
-    return index.select("family_id", "code").join(wanted, "code").select("job_uid", "family_id").distinct()
+    depth = F.col("depth") if "depth" in requested.columns else F.lit("exact")
+    code = F.when(depth == "exact", F.col("code")).otherwise(normal_code(F.col("code")))
+    wanted = requested.select("job_uid", code.alias("code"), (depth == "children").alias("below")).distinct()
+    wanted = broadcast_if_small(wanted)
+    keys = F.array(
+        F.struct(F.col("code"), F.lit(False).alias("below")), F.struct(parent_code(F.col("code")).alias("code"), F.lit(True).alias("below"))
+    )
+    posted = index.select("family_id", F.inline(keys))
+    return posted.join(wanted, ["code", "below"]).select("job_uid", "family_id").distinct()

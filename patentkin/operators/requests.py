@@ -111,10 +111,19 @@ NODES = {
     ),
 }
 
-REQUEST = """
+_PARTY_TYPE = "struct<include: array<string>, exclude: array<string>>"
+_RANGE_TYPE = "struct<min: string, max: string>"
+REQUEST = f"""
 children array<struct<
   node: struct<
     type: string, k: string,
+    filters: struct<
+      date: struct<field: string, from: string, from_: string, to: string>,
+      authority: array<string>, kindCodes: array<string>, status: array<string>, language: array<string>,
+      assignee: struct<include: array<string>, exclude: array<string>, fuzzy: string>,
+      inventor: {_PARTY_TYPE}, applicant: {_PARTY_TYPE}, cpcInclude: array<string>, cpcExclude: array<string>,
+      familySize: {_RANGE_TYPE}, citationCount: {_RANGE_TYPE}, collections: array<string>,
+      textMustContain: array<string>, textMustNotContain: array<string>>,
     seeds: struct<patentFamilyIds: array<string>, negativePatentFamilyIds: array<string>>,
     classes: array<struct<code: string, depth: string>>,
     docs: array<struct<id: string, title: string, abstract: string, weight: string>>>>>
@@ -243,7 +252,7 @@ def nodes(requests: DataFrame) -> DataFrame:
     return valid.select("job_uid", F.posexplode("request.children.node").alias("place", "node"))
 
 
-def _whole(text: Column) -> Column:
+def whole_number(text: Column) -> Column:
     """A whole number given as 7, 7.0 or "7.0", as the check accepts it; one beyond an int is the largest int."""
     value = F.trim(text).try_cast("double")
     return F.greatest(F.least(value, F.lit(2.0**31 - 1)), F.lit(-(2.0**31))).cast("int")
@@ -254,7 +263,7 @@ def k_of(requests: DataFrame) -> DataFrame:
     asked = F.filter(
         F.transform(
             F.filter("request.children.node", lambda n: n["type"] == "seed_patents"),
-            lambda n: _whole(n["k"]),
+            lambda n: whole_number(n["k"]),
         ),
         lambda k: k > 0,
     )
@@ -263,9 +272,10 @@ def k_of(requests: DataFrame) -> DataFrame:
 
 
 def requested_codes(requests: DataFrame) -> DataFrame:
-    """(job_uid, code) of the classification nodes."""
+    """(job_uid, code, depth) of the classification nodes; a code without a depth is meant exactly."""
     classes = nodes(requests).where(F.col("node.type") == "cpc").select("job_uid", F.explode("node.classes").alias("c"))
-    return classes.where(F.col("c.code") != "").select("job_uid", F.col("c.code").alias("code"))
+    depth = F.coalesce("c.depth", F.lit("exact")).alias("depth")
+    return classes.where(F.col("c.code") != "").select("job_uid", F.col("c.code").alias("code"), depth)
 
 
 def without_seeds(requests: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -274,6 +284,13 @@ def without_seeds(requests: DataFrame, seeds: DataFrame) -> DataFrame:
     return valid.join(seeds, "job_uid", "left_anti").select("job_uid", F.lit(NO_SEEDS).alias("error"))
 
 
+def listed_seeds(requests: DataFrame) -> DataFrame:
+    """(job_uid, family_id) of the families a job lists by id."""
+    listed = nodes(requests).where(F.col("node.type") == "seed_patents")
+    ids = listed.select("job_uid", F.explode("node.seeds.patentFamilyIds").alias("id"))
+    return ids.select("job_uid", safe_id(F.col("id")).alias("family_id")).where("family_id is not null").distinct()
+
+
 def collect_seeds(requests: DataFrame, index: DataFrame) -> DataFrame:
     """(job_uid, family_id) of the seeds of every job.
 
@@ -303,7 +320,7 @@ def collect_seeds(requests: DataFrame, index: DataFrame) -> DataFrame:
 def documents(requests: DataFrame) -> DataFrame:
     """(job_uid, query_id, title, abstract, weight, k) of the documents given as seeds."""
     docs = nodes(requests).where(F.col("node.type") == "seed_docs").select(
-        "job_uid", "place", F.coalesce(_whole(F.col("node.k")), F.lit(DEFAULT_K)).alias("k"),
+        "job_uid", "place", F.coalesce(whole_number(F.col("node.k")), F.lit(DEFAULT_K)).alias("k"),
         F.posexplode("node.docs").alias("number", "doc"),
     )
     return docs.select(

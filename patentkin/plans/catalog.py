@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,13 @@ from patentkin.functions.names import normalize_applicant
 from patentkin.functions.priority import authority_priority
 from patentkin.functions.text import combined_text, row_size, safe_id
 from patentkin.functions.vectors import cosine_distance, cosine_similarity, parse_vector
-from patentkin.operators import applicants, classification, encoding, families, filters, pending, shards, tenants
+from patentkin.operators import applicants, classification, encoding, families, filters, job_filters, pending, shards, tenants
 from patentkin.operators import landscapes as land
 from patentkin.operators import neighbours as near
 from patentkin.operators import requests as req
 from patentkin.operators.layout import layout, neighbour_graph
 from patentkin.operators.projection import project_pca
-from patentkin.operators.skew import local_folder
+from patentkin.operators.skew import cut_lineage, local_folder
 from patentkin.plans.landscape import Tables, run_jobs
 from patentkin.sources.samples import sample
 from patentkin.streaming import embedding as embedding_stream
@@ -62,8 +63,8 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     return _embeddings(spark, sf).select(F.col("id").alias("seed_id"))
 
 
-def _jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return job_stream.to_run(sample(spark, sf, "ip_landscapes")).withColumnRenamed("uid", "job_uid")
+def _jobs(spark: SparkSession, sf: str, view: str = "ip_landscapes") -> DataFrame:
+    return job_stream.to_run(sample(spark, sf, view)).withColumnRenamed("uid", "job_uid")
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,7 +418,7 @@ def job_without_seeds(spark: SparkSession, sf: str) -> DataFrame:
 def _tables(spark: SparkSession, sf: str) -> Tables:
     fam = _families(spark, sf)
     codes = classification.cpc_index(fam, sample(spark, sf, "cpc_titles"))
-    return Tables(fam, codes, _embeddings(spark, sf))
+    return Tables(fam, codes, _embeddings(spark, sf), sample(spark, sf, "ip_patent_list_items"))
 
 
 @_query
@@ -426,6 +427,39 @@ def landscape_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("job_uid", "family_id", "title", "is_seed")
 
 
+@_query
+def job_filter_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with requests whose filters no table can answer."""
+    requests = req.parse_requests(_jobs(spark, sf, "filtered_landscapes"))
+    return job_filters.check_filters(requests).select("job_uid", "error")
+
+
+@_query
+def job_depth_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of requests with codes at every depth."""
+    requests = job_filters.check_filters(req.parse_requests(_jobs(spark, sf, "filtered_landscapes")))
+    return req.collect_seeds(requests, _codes(spark, sf))
+
+
+@_query
+def landscape_filtered_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of requests with filters and depths."""
+    tables = _tables(spark, sf)
+    stored = replace(tables, families=cut_lineage(tables.families), codes=cut_lineage(tables.codes))
+    items = run_jobs(_jobs(spark, sf, "filtered_landscapes"), stored).items
+    return items.select("job_uid", "family_id", "title", "is_seed")
+
+
+@_query
+def landscape_document_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of requests whose documents are searched too; families and documents are embedded by one model."""
+    fam = _families(spark, sf)
+    codes = classification.cpc_index(fam, sample(spark, sf, "cpc_titles"))
+    tables = Tables(fam, codes, cut_lineage(encoding.embed(_ready(spark, sf))))
+    items = run_jobs(_jobs(spark, sf), tables, model=encoding.token_hash_model()).items
+    return items.select("job_uid", "family_id", "title", "is_seed")
+
+
 @_query
 def landscape_output(spark: SparkSession, sf: str) -> DataFrame:
     """Items of every document in their order, read back from its JSON text, and whether `neighbors` equals `items`."""
@@ -490,6 +524,14 @@ def job_stream_run(spark: SparkSession, sf: str) -> DataFrame:
     return job_stream.latest_status(spark.read.parquet(f"{folder}/sink/status"))
 
 
+@_query
+def applicant_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """All applicants against all: pairs of names that share enough trigrams."""
+    names = applicants.applicant_family(_families(spark, sf)).select(F.col("applicant").alias("name"))
+    found = applicants.similar_names(names, names, filters.FUZZY_THRESHOLD).where("a < b")
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 # --- filters ----------------------------------------------------------------------------------
 
 

@@ -14,8 +14,10 @@ def _piece(name: str, needs: str, text: str) -> None:
     PIECES[name] = (tuple(needs.split()), text.strip())
 
 
-def _with(needs: str, text: str) -> str:
+def _with(needs: str, text: str, other_jobs: str | None = None) -> str:
+    """The text behind the pieces it needs; `other_jobs` names a view that stands in for the job table."""
     order: list[str] = []
+    swap = {"ip_landscapes": other_jobs or "ip_landscapes"}
 
     def visit(name: str) -> None:
         if name not in order:
@@ -25,7 +27,7 @@ def _with(needs: str, text: str) -> str:
 
     for name in needs.split():
         visit(name)
-    heads = ",\n".join(f"{name} AS (\n{PIECES[name][1]}\n)" for name in order)
+    heads = ",\n".join(f"{name} AS (\n{PIECES[swap.get(name, name)][1]}\n)" for name in order)
     return f"WITH {heads}\n{text.strip()}" if heads else text.strip()
 
 
@@ -252,8 +254,8 @@ QUALIFY place <= 2
 ORACLE: dict[str, str] = {}
 
 
-def _oracle(name: str, needs: str, text: str) -> None:
-    ORACLE[name] = _with(needs, text)
+def _oracle(name: str, needs: str, text: str, other_jobs: str | None = None) -> None:
+    ORACLE[name] = _with(needs, text, other_jobs)
 
 
 _oracle("family_scored", "scored", """
@@ -505,3 +507,169 @@ _oracle("filter_seed_documents", "asked_documents document_nearest", """
 SELECT job_uid, id AS family_id, round(similarity * weight, 4) AS similarity
 FROM asked_documents JOIN document_nearest USING (text) WHERE rank <= k
 """)
+
+# Documents beside families as seeds, all in the vectors of one model.
+_piece("family_nearest", "family_vectors seeds", """
+SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, family_id) AS rank
+FROM (SELECT a.id AS seed_id, b.id AS family_id, round(list_cosine_similarity(a.v, b.v), 4) AS similarity
+      FROM family_vectors a JOIN family_vectors b ON a.id <> b.id WHERE a.id IN (SELECT family_id FROM seeds))
+""")
+_oracle("landscape_document_items", "seeds depths family_nearest asked_documents document_nearest fam", """
+SELECT job_uid, family_id::VARCHAR AS family_id, coalesce(title, '') AS title, is_seed
+FROM (SELECT job_uid, family_id, bool_or(is_seed) AS is_seed FROM (
+        SELECT job_uid, family_id, true AS is_seed FROM seeds
+        UNION ALL
+        SELECT s.job_uid, n.family_id, false FROM seeds s JOIN depths d USING (job_uid)
+        JOIN family_nearest n ON n.seed_id = s.family_id AND n.rank <= d.k
+        UNION ALL
+        SELECT job_uid, id, false FROM asked_documents JOIN document_nearest USING (text) WHERE rank <= k)
+      GROUP BY ALL) i
+LEFT JOIN (SELECT family_id AS id, title FROM fam) f ON f.id = i.family_id::VARCHAR
+""")
+
+# Filters, evaluated node by node for every family a job may show.
+_piece("filter_problems", "nodes", """
+SELECT job_uid, arg_min(problem, place) AS problem FROM (
+  SELECT job_uid, row_number() OVER () AS place,
+         CASE WHEN c->>'$.node.filters.date.field' IN ('priority', 'filing')
+                   THEN 'no column holds the ' || (c->>'$.node.filters.date.field') || ' date'
+              WHEN json_array_length(c, '$.node.filters.status') > 0 THEN 'no column holds status' END AS problem
+  FROM nodes)
+WHERE problem IS NOT NULL GROUP BY job_uid
+""")
+_piece("deep_codes", "nodes", """
+SELECT DISTINCT job_uid, upper(replace(x->>'$.code', ' ', '')) AS norm, x->>'$.code' AS code,
+       coalesce(x->>'$.depth', 'exact') AS depth
+FROM (SELECT job_uid, unnest(json_extract(c, '$.node.classes[*]')) AS x FROM nodes WHERE type = 'cpc')
+""")
+# A step down adds one kind of sign: two digits, a letter, a group number, or what stands behind the stroke.
+_piece("code_steps", "codes", """
+SELECT DISTINCT code,
+       CASE WHEN regexp_full_match(code, '[A-HY][0-9]{2}') THEN code[1:1]
+            WHEN regexp_full_match(code, '[A-HY][0-9]{2}[A-Z]') THEN code[1:3]
+            WHEN regexp_full_match(code, '[A-HY][0-9]{2}[A-Z][0-9]+/00') THEN code[1:4]
+            WHEN contains(code, '/') THEN split_part(code, '/', 1) || '/00' END AS above
+FROM codes
+""")
+_piece("deep_seeds", "deep_codes codes code_steps", """
+SELECT DISTINCT job_uid, family_id FROM (
+  SELECT job_uid, family_id FROM deep_codes d JOIN codes c ON c.code = CASE d.depth WHEN 'exact' THEN d.code ELSE d.norm END
+  WHERE d.depth <> 'children'
+  UNION ALL
+  SELECT job_uid, family_id FROM deep_codes d JOIN code_steps s ON s.above = d.norm JOIN codes c ON c.code = s.code
+  WHERE d.depth = 'children')
+""")
+_piece("listed_ids", "listed", """
+SELECT DISTINCT job_uid, id::BIGINT AS family_id FROM listed WHERE NOT negative AND regexp_full_match(id, '-?[0-9]+')
+""")
+_piece("sound", "valid filter_problems", "SELECT job_uid FROM valid WHERE job_uid NOT IN (SELECT job_uid FROM filter_problems)")
+_piece("node_filters", "nodes sound jobs", """
+SELECT job_uid, client_uid, c->'$.node.filters' AS f
+FROM nodes JOIN sound USING (job_uid) JOIN (SELECT job_uid, client_uid FROM jobs) USING (job_uid)
+WHERE json_extract(c, '$.node.filters') IS NOT NULL
+""")
+_piece("asked_names", "node_filters", f"""
+SELECT DISTINCT raw, fuzzy, {_normal_name("raw")} AS name
+FROM (SELECT unnest(list_concat(json_extract_string(f, '$.assignee.include[*]'),
+                                json_extract_string(f, '$.assignee.exclude[*]'))) AS raw,
+             coalesce((f->>'$.assignee.fuzzy')::BOOLEAN, false) AS fuzzy FROM node_filters)
+""")
+_piece("name_families", "asked_names by_family", f"""
+SELECT raw, fuzzy, list(DISTINCT family_id) AS ids
+FROM asked_names n JOIN by_family b
+  ON CASE WHEN fuzzy THEN len(list_intersect({_TRIGRAMS.format("applicant")}, {_TRIGRAMS.format("name")}))
+                          >= 0.3 * len(list_distinct(list_concat({_TRIGRAMS.format("applicant")}, {_TRIGRAMS.format("name")})))
+          ELSE applicant = name END
+GROUP BY raw, fuzzy
+""")
+_piece("held", "fam codes", """
+SELECT f.family_id, family_authorities, rep_kind, inventors, applicants, first_application_pub_date, first_grant_pub_date,
+       coalesce(len(family_members), 0) AS size, lower(concat_ws(' ', title, abstract)) AS words,
+       coalesce(codes_of, []) AS codes_of
+FROM fam f LEFT JOIN (SELECT family_id, list(code) AS codes_of FROM codes GROUP BY family_id) USING (family_id)
+WHERE f.family_id IS NOT NULL
+""")
+
+
+def _any_held(path: str, values: str) -> str:
+    return f"coalesce(len(json_extract_string(f, '$.{path}[*]')) = 0 OR list_has_any({values}, json_extract_string(f, '$.{path}[*]')), false)"
+
+
+def _named(path: str) -> str:
+    return f"""EXISTS (SELECT 1 FROM name_families n
+            WHERE n.fuzzy = coalesce((f->>'$.assignee.fuzzy')::BOOLEAN, false)
+              AND list_contains(json_extract_string(f, '$.assignee.{path}[*]'), n.raw) AND list_contains(n.ids, h.family_id))"""
+
+
+def _none_held(path: str, values: str) -> str:
+    return f"NOT coalesce(list_has_any({values}, json_extract_string(f, '$.{path}[*]')), false)"
+
+
+_DATE = "CASE f->>'$.date.field' WHEN 'grant' THEN first_grant_pub_date ELSE first_application_pub_date END"
+_HOLDS = " AND ".join((
+    f"""(json_extract(f, '$.date') IS NULL OR coalesce({_DATE} >= coalesce((f->>'$.date.from')::DATE, DATE '0001-01-01')
+         AND {_DATE} <= coalesce((f->>'$.date.to')::DATE, DATE '9999-12-31'), false))""",
+    """(json_extract(f, '$.familySize') IS NULL
+        OR coalesce(size BETWEEN coalesce((f->>'$.familySize.min')::INT, 0) AND coalesce((f->>'$.familySize.max')::INT, 1000000000), false))""",
+    _any_held("authority", "family_authorities"), _any_held("kindCodes", "[rep_kind]"),
+    _any_held("inventor.include", "inventors"), _none_held("inventor.exclude", "inventors"),
+    _any_held("applicant.include", "applicants"), _none_held("applicant.exclude", "applicants"),
+    _any_held("cpcInclude", "codes_of"), _none_held("cpcExclude", "codes_of"),
+    f"(len(json_extract_string(f, '$.assignee.include[*]')) = 0 OR {_named('include')})", f"NOT {_named('exclude')}",
+    """(len(json_extract_string(f, '$.collections[*]')) = 0 OR EXISTS (SELECT 1 FROM ip_patent_list_items l
+        WHERE l.client_uid = n0.client_uid AND l.patent_family_id = m.family_id::VARCHAR
+          AND list_contains(json_extract_string(f, '$.collections[*]'), l.list_uid::VARCHAR)))""",
+    "len([w FOR w IN json_extract_string(f, '$.textMustContain[*]') IF NOT coalesce(contains(words, lower(w)), false)]) = 0",
+    "len([w FOR w IN json_extract_string(f, '$.textMustNotContain[*]') IF contains(words, lower(w))]) = 0",
+))
+_piece("may_show", "deep_seeds sound listed_ids depths nearest", """
+SELECT DISTINCT job_uid, family_id::BIGINT AS family_id
+FROM (SELECT job_uid, family_id::VARCHAR AS family_id FROM deep_seeds
+      WHERE regexp_full_match(family_id, '[0-9]+')
+      UNION ALL
+      SELECT job_uid, n.family_id::VARCHAR FROM (SELECT job_uid, family_id FROM listed_ids UNION
+                                        SELECT job_uid, family_id::BIGINT FROM deep_seeds WHERE regexp_full_match(family_id, '[0-9]+')) s
+      JOIN depths d USING (job_uid) JOIN nearest n ON n.seed_id = s.family_id AND n.rank <= d.k)
+JOIN sound USING (job_uid)
+""")
+_piece("shown", "may_show node_filters held name_families ip_patent_list_items", f"""
+SELECT m.job_uid, m.family_id FROM may_show m
+WHERE NOT EXISTS (SELECT 1 FROM node_filters x WHERE x.job_uid = m.job_uid)
+UNION ALL
+SELECT job_uid, family_id::BIGINT FROM (
+  SELECT n0.job_uid, m.family_id, bool_and({_HOLDS}) AS holds
+  FROM may_show m JOIN node_filters n0 ON n0.job_uid = m.job_uid LEFT JOIN held h ON h.family_id = m.family_id::VARCHAR
+  GROUP BY n0.job_uid, m.family_id)
+WHERE holds
+""")
+_piece("filtered_seeds", "deep_seeds shown listed_ids sound", """
+SELECT job_uid, family_id FROM listed_ids JOIN sound USING (job_uid)
+UNION
+SELECT job_uid, family_id::BIGINT FROM deep_seeds
+WHERE regexp_full_match(family_id, '[0-9]+') AND (job_uid, family_id::BIGINT) IN (SELECT (job_uid, family_id) FROM shown)
+""")
+_oracle("job_filter_errors", "errors filter_problems", """
+SELECT job_uid, coalesce(error, 'Unsupported filter: ' || problem) AS error FROM errors LEFT JOIN filter_problems USING (job_uid)
+""", "filtered_landscapes")
+_oracle("job_depth_seeds", "deep_seeds listed_ids sound", """
+SELECT job_uid, family_id FROM listed_ids JOIN sound USING (job_uid)
+UNION
+SELECT job_uid, family_id::BIGINT FROM deep_seeds JOIN sound USING (job_uid) WHERE regexp_full_match(family_id, '[0-9]+')
+""", "filtered_landscapes")
+_oracle("landscape_filtered_items", "filtered_seeds shown depths nearest fam", """
+SELECT job_uid, family_id::VARCHAR AS family_id, coalesce(title, '') AS title, is_seed
+FROM (SELECT job_uid, family_id, bool_or(is_seed) AS is_seed FROM (
+        SELECT job_uid, family_id, true AS is_seed FROM filtered_seeds
+        UNION ALL
+        SELECT s.job_uid, n.family_id, false FROM filtered_seeds s JOIN depths d USING (job_uid)
+        JOIN nearest n ON n.seed_id = s.family_id AND n.rank <= d.k
+        WHERE (s.job_uid, n.family_id) IN (SELECT (job_uid, family_id) FROM shown))
+      GROUP BY ALL) i
+LEFT JOIN (SELECT family_id AS id, title FROM fam) f ON f.id = i.family_id::VARCHAR
+""", "filtered_landscapes")
+_oracle("applicant_similar", "by_family", f"""
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity
+FROM (SELECT name, {_TRIGRAMS.format("name")} AS g FROM (SELECT DISTINCT applicant AS name FROM by_family)) a
+JOIN (SELECT name, {_TRIGRAMS.format("name")} AS g FROM (SELECT DISTINCT applicant AS name FROM by_family)) b ON a.name < b.name
+WHERE len(list_intersect(a.g, b.g)) >= 0.3 * len(list_distinct(list_concat(a.g, b.g)))
+""")

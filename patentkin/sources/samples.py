@@ -113,6 +113,41 @@ SELECT cast(event_id AS string) AS uid,
 FROM events
 """
 
+# Requests with every kind of filter, alone and together, and with codes at every depth.
+FILTERED_LANDSCAPES = """
+SELECT cast(event_id AS string) AS uid, cast(user_id % 5 AS string) AS client_uid, ts AS created_at,
+       CASE WHEN event_type IN ('purchase', 'signup') THEN 'to_calculate' ELSE 'draft' END AS _status,
+       concat('{"v":1,"type":"hybrid","children":[{"node":{"type":"seed_patents","k":', cast(10 + event_id % 20 AS string),
+              ',"seeds":{"patentFamilyIds":["', cast(user_id AS string), '","', cast(4 * (event_id % 50) AS string), '"]}',
+              CASE event_id % 16
+                WHEN 0 THEN ',"filters":{"date":{"field":"publication","from":"1995-01-01","to":"2009-12-31"}}'
+                WHEN 1 THEN ',"filters":{"date":{"field":"grant","from":"2001-01-01"}}'
+                WHEN 2 THEN ',"filters":{"authority":["US","JP"]}'
+                WHEN 3 THEN ',"filters":{"kindCodes":["B1","A1"]}'
+                WHEN 4 THEN ',"filters":{"assignee":{"include":["Acme Holdings","müller söhne"],"exclude":["KYOTO ROBOTICS Inc"]}}'
+                WHEN 5 THEN ',"filters":{"assignee":{"include":["societe generalle"],"fuzzy":true}}'
+                WHEN 6 THEN ',"filters":{"inventor":{"include":["Inv 3","Inv 6"],"exclude":["Inv 5"]}}'
+                WHEN 7 THEN ',"filters":{"applicant":{"exclude":["src3 Group","src4 Group"]}}'
+                WHEN 8 THEN ',"filters":{"cpcInclude":["F16H","A61K"],"cpcExclude":["B60W5/00"]}'
+                WHEN 9 THEN ',"filters":{"familySize":{"min":2,"max":3},"textMustContain":["an","E"]}'
+                WHEN 10 THEN ',"filters":{"collections":["3","7","9"]}'
+                WHEN 11 THEN ',"filters":{"textMustNotContain":["The","qu"]}'
+                WHEN 12 THEN ',"filters":{"status":["granted"]}'
+                WHEN 13 THEN ',"filters":{"date":{"field":"filing","from":"2001-01-01"}}'
+                WHEN 14 THEN ',"filters":{"authority":["EP","US","WO"],"cpcExclude":["A01B"],"familySize":{"min":2}}'
+                ELSE '' END,
+              '}}',
+              CASE event_id % 5
+                WHEN 1 THEN ',{"node":{"type":"cpc","filters":{"kindCodes":["A1","A2","B1"]},"classes":[{"code":"f 16h","depth":"children"}]}}'
+                WHEN 2 THEN ',{"node":{"type":"cpc","classes":[{"code":"A61K2","depth":"children"},{"code":"g06","depth":"children"}]}}'
+                WHEN 3 THEN concat(',{"node":{"type":"cpc","classes":[{"code":"A01B', cast(1 + event_id % 300 AS string),
+                                   '/00","depth":"children"},{"code":"g06f ', cast(1 + event_id % 200 AS string),
+                                   '/00","depth":"subtree"}]}}')
+                ELSE '' END,
+              ']}') AS search_vectors
+FROM events
+"""
+
 # Vectors written as text, with every bracket, blank pieces and a piece that is no number.
 VECTOR_TEXTS = """
 SELECT l_orderkey, l_linenumber,
@@ -150,6 +185,7 @@ VIEWS = {
     "ip_patent_lists": LISTS,
     "ip_patent_list_items": LIST_ITEMS,
     "ip_landscapes": LANDSCAPES,
+    "filtered_landscapes": FILTERED_LANDSCAPES,
     "vector_texts": VECTOR_TEXTS,
     "id_texts": ID_TEXTS,
     "status_log": STATUS_LOG,
@@ -163,6 +199,7 @@ SOURCES = {
     "ip_patent_lists": ["supplier"],
     "ip_patent_list_items": ["lineitem"],
     "ip_landscapes": ["events"],
+    "filtered_landscapes": ["events"],
     "vector_texts": ["lineitem"],
     "id_texts": ["events"],
     "status_log": ["events"],
