@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -317,6 +318,47 @@ def embedding_stream_run(spark: SparkSession, sf: str) -> DataFrame:
     return stored.groupBy("id").agg(F.count("*").alias("times"))
 
 
+def _failing_model(first_letter: str):
+    """The stand-in model, which stops at a text that begins with the letter."""
+    make = encoding.token_hash_model()
+
+    def make_failing():
+        predict = make()
+
+        def run(texts):
+            if any(t.lower().startswith(first_letter) for t in texts):
+                raise ValueError("the model stopped")
+            return predict(texts)
+
+        return run
+
+    return make_failing
+
+
+@_query
+def embedding_stream_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending families drained by a run that dies on the way, drained again, compacted and drained once more."""
+    folder = _work_folder(spark)
+    waiting = pending.pending_families(_families(spark, sf), _embeddings(spark, sf))
+    shards.write_shards(shards.assign_shards(waiting, SHARD_BYTES), f"{folder}/shards")
+    sink = f"{folder}/vectors"
+
+    def drain(checkpoint: str, model: Callable | None = None) -> None:
+        embedding_stream.start_embedding(
+            spark, f"{folder}/shards", sink, f"{folder}/{checkpoint}", model, shards_per_batch=1
+        ).awaitTermination()
+
+    try:
+        drain("checkpoint", _failing_model("e"))
+    except StreamingQueryException:
+        pass  # what it committed stays, and the batch it died in is done again
+    drain("checkpoint")
+    embedding_stream.compact_embeddings(spark, sink)
+    drain("another")
+    stored = embedding_stream.stored_embeddings(spark, sink)
+    return stored.groupBy("id").agg(F.count("*").alias("times"), F.max(F.size("embedding")).alias("dimension"))
+
+
 # --- neighbours -----------------------------------------------------------------------------
 
 
@@ -521,7 +563,32 @@ def job_stream_run(spark: SparkSession, sf: str) -> DataFrame:
     job_stream.start_jobs(
         records, f"{folder}/sink", f"{folder}/checkpoint", lambda: _tables(spark, sf)
     ).awaitTermination()
-    return job_stream.latest_status(spark.read.parquet(f"{folder}/sink/status"))
+    return job_stream.current_status(spark, f"{folder}/sink")
+
+
+@_query
+def job_stream_late_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Three versions of every job record in three batches, the second older than the first.
+
+    The third, for every third job, has lost its request. Of a job that ended in an error no items
+    are left, and a compaction half-way changes nothing.
+    """
+    folder = _work_folder(spark)
+    records = sample(spark, sf, "ip_landscapes").withColumn("commit_seq", F.lit(20).cast("bigint"))
+    lost = F.lit(None).cast("string")
+    older = records.withColumn("commit_seq", F.lit(10).cast("bigint")).withColumn("search_vectors", lost)
+    newer = records.where("cast(uid AS bigint) % 3 = 0").withColumn("commit_seq", F.lit(30).cast("bigint"))
+    tables = _tables(spark, sf)
+    stored = replace(tables, families=cut_lineage(tables.families), codes=cut_lineage(tables.codes))
+    for turn, batch in enumerate((records, older, newer.withColumn("search_vectors", lost))):
+        batch.write.mode("append").parquet(f"{folder}/records")
+        stream = job_stream.read_jobs(spark, f"{folder}/records", source_format="parquet")
+        job_stream.start_jobs(stream, f"{folder}/sink", f"{folder}/checkpoint", lambda: stored).awaitTermination()
+        if turn == 1:
+            job_stream.compact_jobs(spark, f"{folder}/sink")
+    items = job_stream.current_items(spark, f"{folder}/sink").groupBy(F.col("job_uid").alias("uid")).agg(F.count("*").alias("items"))
+    status = job_stream.current_status(spark, f"{folder}/sink")
+    return status.join(items, "uid", "left").withColumn("items", F.coalesce("items", F.lit(0)))
 
 
 @_query

@@ -443,6 +443,14 @@ SELECT job_uid AS uid, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS s
 FROM final_errors
 """)
 
+_oracle("job_stream_late_events", "final_errors items", """
+SELECT job_uid AS uid, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, 100 AS progress, error AS message,
+       CASE WHEN error IS NULL THEN (SELECT count(*) FROM items i WHERE i.job_uid = e.job_uid) ELSE 0 END AS items
+FROM (SELECT job_uid, CASE WHEN job_uid::BIGINT % 3 = 0 THEN 'Missing ''search_vectors'' in record' ELSE error END AS error
+      FROM final_errors) e
+""")
+_oracle("embedding_stream_recovered", "waiting", "SELECT family_id AS id, 1::BIGINT AS times, 16 AS dimension FROM waiting")
+
 
 def _filter(name: str, needs: str, condition: str) -> None:
     _oracle(f"filter_{name}", f"fam {needs}", f"SELECT family_id, rep_id FROM fam WHERE {condition}")

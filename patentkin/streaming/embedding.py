@@ -10,12 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from patentkin.operators.encoding import embed, new_embeddings
 from patentkin.sources.tables import EMBEDDINGS, PENDING
-from patentkin.streaming.jobs import batch_folder, run_of
+from patentkin.streaming.sink import Committed, batch_folder, commit, compact, run_of, stored_rows
 
 
-def stored_embeddings(spark: SparkSession, sink: str) -> DataFrame:
-    """(id, embedding, run_id, batch_id) written so far."""
-    return spark.read.schema(f"{EMBEDDINGS}, run_id string, batch_id bigint").parquet(sink)
+def stored_embeddings(spark: SparkSession, sink: str, state: Committed | None = None) -> DataFrame:
+    """(id, embedding, run_id, batch_id) committed so far."""
+    return stored_rows(spark, f"{sink}-manifest", sink, "vectors", EMBEDDINGS, state)
+
+
+def compact_embeddings(spark: SparkSession, sink: str) -> str:
+    """One folder with one vector per family, the first one stored, in the place of all committed batches."""
+
+    def first(state: Committed) -> DataFrame:
+        origin = F.struct("run_id", "batch_id", "embedding")
+        stored = stored_embeddings(spark, sink, state).groupBy("id").agg(F.min(origin).alias("o"))
+        return stored.select("id", "o.embedding", "o.run_id", "o.batch_id")
+
+    return compact(spark, f"{sink}-manifest", f"{sink}-compacted", {"vectors": first})
 
 
 def start_embedding(
@@ -28,9 +39,8 @@ def start_embedding(
     and a repeated batch replaces only its own rows; what other runs with other checkpoints and
     sources have stored stays. `done_shards` says what happens to a finished
     shard: "off" keeps it, "delete" and "archive" take it away; a failed batch keeps its shards.
+    A batch counts once it is entered in the manifest, so half-written ones are neither read nor in the way.
     """
-    nothing = spark.createDataFrame([], EMBEDDINGS)
-    nothing.write.mode("ignore").parquet(batch_folder(sink, "none", -1))
     name = run_of(spark, checkpoint)
 
     reader = spark.readStream.schema(PENDING).option("maxFilesPerTrigger", shards_per_batch)
@@ -44,6 +54,7 @@ def start_embedding(
         pending = new_embeddings(batch.withColumnRenamed("family_id", "id"), earlier)
         encoded = embed(pending.withColumnRenamed("id", "family_id"), make_predict_fn)
         encoded.write.mode("overwrite").parquet(batch_folder(sink, name, batch_id))
+        commit(spark, f"{sink}-manifest", name, batch_id)
 
     return (
         reader.parquet(source)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from patentkin.operators.projection import project_pca
 from patentkin.plans.landscape import Tables, run_jobs
 from patentkin.sources.tables import JOBS
+from patentkin.streaming.sink import Committed, batch_folder, commit, compact, run_of, stored_rows
+
+ITEMS = "job_uid string, family_id string, title string, x double, y double, is_seed boolean"
+STATUS = "uid string, status string, progress int, message string"
+RESULTS = f"{STATUS}, part int, parts int, output string, neighbor_count bigint"
+CHANGE = "uid string, commit_seq bigint, created_at timestamp, search_vectors string, client_uid string"
+_LEAST = -(2**63)
 
 
 def to_run(records: DataFrame) -> DataFrame:
@@ -39,18 +46,39 @@ def latest_record(records: DataFrame) -> DataFrame:
     )
 
 
-def run_of(spark: SparkSession, checkpoint: str) -> str:
-    """Name of the run that a checkpoint folder belongs to, kept in it; later runs have later names.
-
-    Batch numbers start again with every new checkpoint, so what a batch writes is filed under both.
+def _newer(key: tuple, changes: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest of a job's changes, if it is newer than all before; its place is the state."""
+    last = tuple(state.get) if state.exists else (_LEAST, _LEAST)
+    best, place = None, last
+    for rows in changes:
+        rows = rows.sort_values(["place", "created", "search_vectors"], na_position="first")
+        row = rows.iloc[-1]
+        own = (int(row["place"]), int(row["created"]))
+        if own > place or (best is None and own == place and own[0] == _LEAST):
+            best, place = row, own
+    if best is not None:
+        state.update(place)
+        yield pd.DataFrame([best[["uid", "commit_seq", "created_at", "search_vectors", "client_uid"]]])
+
+
+def newest_changes(records: DataFrame) -> DataFrame:
+    """Of a stream of job records those that are newer than every earlier one of their job, in this batch or before.
+
+    The place of the newest change of every job is kept as state with the stream's checkpoint: its
+    commit_seq, or its created_at where it has none. A change that arrives late, or with the same
+    commit_seq again, in a later batch is left out. created_at is set once, so of changes without a
+    commit_seq only those with an earlier one are; one that carries neither always counts.
     """
-    name = f"{time.time_ns() // 1_000_000:015d}-{uuid.uuid4().hex}"
-    spark.range(1).select(F.lit(name).alias("run")).write.mode("ignore").parquet(f"{checkpoint}/run")
-    return spark.read.schema("run string").parquet(f"{checkpoint}/run").first()["run"]
-
-
-def batch_folder(path: str, run: str, batch_id: int) -> str:
-    return f"{path}/run_id={run}/batch_id={batch_id}"
+    has = "commit_seq" in records.columns
+    sequence = F.col("commit_seq") if has else F.lit(None).cast("bigint")
+    placed = records.select(
+        "uid", sequence.alias("commit_seq"), "created_at", "search_vectors", "client_uid",
+        F.coalesce(sequence, F.lit(_LEAST)).alias("place"),
+        F.coalesce(F.unix_micros("created_at"), F.lit(_LEAST)).alias("created"),
+    )
+    return placed.groupBy("uid").applyInPandasWithState(
+        _newer, CHANGE, "place bigint, created bigint", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def write_results(results: DataFrame, status: DataFrame, path: str, run: str, batch_id: int) -> None:
@@ -59,6 +87,39 @@ def write_results(results: DataFrame, status: DataFrame, path: str, run: str, ba
     status.write.mode("overwrite").parquet(batch_folder(f"{path}/status", run, batch_id))
 
 
+def _stored(spark: SparkSession, sink: str, table: str, schema: str, state: Committed | None = None) -> DataFrame:
+    return stored_rows(spark, f"{sink}/manifest", f"{sink}/{table}", table, schema, state)
+
+
+def current_results(spark: SparkSession, sink: str, state: Committed | None = None) -> DataFrame:
+    """The committed results of the newest run and batch of every job."""
+    return newest_rows(_stored(spark, sink, "results", RESULTS, state), "uid")
+
+
+def current_items(spark: SparkSession, sink: str, state: Committed | None = None) -> DataFrame:
+    """The committed items of the newest run and batch of every job, as its results name it.
+
+    A job whose newest run failed has no items, whatever an older run left.
+    """
+    newest = current_results(spark, sink, state).where("status = 'done'")
+    newest = newest.select(F.col("uid").alias("job_uid"), "run_id", "batch_id").distinct()
+    return _stored(spark, sink, "items", ITEMS, state).join(newest, ["job_uid", "run_id", "batch_id"], "left_semi")
+
+
+def current_status(spark: SparkSession, sink: str) -> DataFrame:
+    """(uid, status, progress, message): the last committed step of every job."""
+    return latest_status(_stored(spark, sink, "status", STATUS))
+
+
+def compact_jobs(spark: SparkSession, sink: str) -> str:
+    """One folder with the newest run of every job in the place of all committed batches."""
+    return compact(spark, f"{sink}/manifest", f"{sink}/compacted", {
+        "items": lambda state: current_items(spark, sink, state),
+        "results": lambda state: current_results(spark, sink, state),
+        "status": lambda state: newest_rows(_stored(spark, sink, "status", STATUS, state), "uid"),
+    })
+
+
 def newest_rows(stored: DataFrame, job: str = "job_uid") -> DataFrame:
     """Stored rows of the newest run and batch of every job."""
     written = F.struct("run_id", "batch_id")
@@ -79,16 +140,23 @@ def start_jobs(
 ) -> StreamingQuery:
     """Run the jobs of every micro-batch together and write items, results and status under `sink`.
 
-    `tables` is asked per batch, so a batch sees the tables as they are then. A job is run at
-    least once; a batch that is repeated after a failure overwrites what it wrote, and a run with
-    another checkpoint leaves it alone (`newest_rows` then reads the last results of every job).
+    `tables` is asked per batch, so a batch sees the tables as they are then. A change of a job
+    that is older than one already seen is left out, whatever batch it comes in. A job is run at
+    least once; a batch that is repeated after a failure overwrites what it wrote, a batch counts
+    from its entry in the manifest on, and a run with another checkpoint leaves it alone
+    (`current_items`, `current_results` and `current_status` read the last results of every job).
     """
     name = run_of(records.sparkSession, checkpoint)
+    manifest = f"{sink}/manifest"
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         out = run_jobs(latest_record(batch), tables(), project)
         out.items.write.mode("overwrite").parquet(batch_folder(f"{sink}/items", name, batch_id))
         write_results(out.results, out.status, sink, name, batch_id)
+        commit(batch.sparkSession, manifest, name, batch_id)
 
-    writer = records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = newest_changes(records).writeStream.outputMode("update").foreachBatch(run)
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -9,7 +9,11 @@ from patentkin.operators.encoding import embed, masked_mean, mean_pool, new_embe
 from patentkin.plans.landscape import Tables
 from patentkin.streaming.embedding import start_embedding, stored_embeddings
 from patentkin.sources.tables import JOBS
-from patentkin.streaming.jobs import latest_record, latest_status, newest_rows, read_jobs, start_jobs
+from patentkin.streaming.embedding import compact_embeddings
+from patentkin.streaming.jobs import (
+    compact_jobs, current_items, current_results, current_status, latest_record, latest_status, newest_rows, read_jobs, start_jobs,
+)
+from patentkin.streaming.sink import batch_folder, commit, committed, run_of
 
 
 @pytest.fixture
@@ -56,6 +60,56 @@ def test_job_stream(spark, tmp_path, tables):
     assert run("lost") == {**first, "b": ("done", 100, None)}
 
 
+def test_late_changes_and_failed_runs(spark, tmp_path, tables):
+    source, sink = tmp_path / "records", str(tmp_path / "sink")
+
+    def change(uid, ids, seq):
+        return {**record(uid, ids), "commit_seq": seq}
+
+    def run():
+        start_jobs(read_jobs(spark, str(source)), sink, str(tmp_path / "checkpoint"), lambda: tables).awaitTermination()
+        seeds = current_items(spark, sink).where("is_seed").collect()
+        return {(r["job_uid"], r["family_id"]) for r in seeds}
+
+    put(source, "1.json", change("a", ["1"], 5), change("b", ["2"], 5), change("c", ["3"], 5))
+    assert run() == {("a", "1"), ("b", "2"), ("c", "3")}
+    put(source, "2.json", change("a", ["4"], 4), change("b", ["1"], 5), change("c", ["2"], 6))
+    assert run() == {("a", "1"), ("b", "2"), ("c", "2")}
+    folder = compact_jobs(spark, sink)
+    assert committed(spark, f"{sink}/manifest").base == folder and not committed(spark, f"{sink}/manifest").batches
+    before = current_items(spark, sink).count()
+    put(source, "3.json", change("a", ["x"], 7), change("b", ["3"], 3))
+    assert run() == {("b", "2"), ("c", "2")}  # the newest run of a has failed, so its older items are gone
+    assert current_items(spark, sink).count() < before
+    status = {r["uid"]: r["status"] for r in current_status(spark, sink).collect()}
+    assert status == {"a": "error", "b": "done", "c": "done"}
+    compact_jobs(spark, sink)
+    assert {r["uid"]: r["status"] for r in current_results(spark, sink).collect()} == status
+    assert {r["uid"]: r["status"] for r in current_status(spark, sink).collect()} == status
+
+
+def test_batches_without_an_entry_are_not_read(spark, tmp_path):
+    sink, schema = str(tmp_path / "vectors"), "id bigint, embedding array<float>"
+    for run, batch in (("1", 0), ("1", 1), ("2", 0)):
+        rows = spark.createDataFrame([(batch, [1.0]), (7, [float(run)])], schema)
+        rows.write.parquet(batch_folder(sink, run, batch))
+        if (run, batch) != ("1", 1):
+            commit(spark, f"{sink}-manifest", run, batch)
+    assert sorted((r["id"], r["run_id"]) for r in stored_embeddings(spark, sink).collect()) == [(0, "1"), (0, "2"), (7, "1"), (7, "2")]
+    compact_embeddings(spark, sink)
+    assert sorted((r["id"], r["run_id"]) for r in stored_embeddings(spark, sink).collect()) == [(0, "1"), (7, "1")]
+    commit(spark, f"{sink}-manifest", "1", 1)
+    assert stored_embeddings(spark, sink).count() == 4
+    assert stored_embeddings(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_run_keeps_its_name(spark, tmp_path):
+    checkpoint = str(tmp_path / "checkpoint")
+    spark.createDataFrame([], "run string").write.parquet(f"{checkpoint}/run")  # a process died before it wrote the name
+    name = run_of(spark, checkpoint)
+    assert name and run_of(spark, checkpoint) == name
+
+
 def test_two_changes_of_a_job_in_one_batch(spark):
     old, new = json.dumps(record("a", ["1"])["search_vectors"]), json.dumps(record("a", ["0"])["search_vectors"])
     rows = [("a", "c", None, 7, "to_calculate", new), ("a", "c", None, 6, "to_calculate", old)]
