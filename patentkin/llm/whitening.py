@@ -144,8 +144,8 @@ def fit(groups: DataFrame, components: int, weighted: bool) -> Fit:
     return Fit(n, sums, vectors[:, take], values[take], float(np.trace(covariance)))
 
 
-def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list[Decimal]:
-    """Exact sums over the dimensions of (n * x - sums)^2."""
+def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list[Decimal | None]:
+    """Exact sums over the dimensions of (n * x - sums)^2; null where one has more than 38 digits."""
     largest = max(int(np.abs(x).max()) * n, max(abs(s) for s in sums))
     if largest < SAFE:
         z = n * x - np.array(sums, dtype=np.int64)
@@ -155,7 +155,7 @@ def _deviations(x: np.ndarray, n: int, sums: list[int]) -> list[Decimal]:
         z = z.astype(object)
     else:
         z = n * x.astype(object) - np.array(sums, dtype=object)
-    return [Decimal(int(v)) for v in (z * z).sum(axis=1)]
+    return [Decimal(int(v)) if v < 10**38 else None for v in (z * z).sum(axis=1)]
 
 
 def whiten_groups(groups: DataFrame, found: Fit) -> DataFrame:
@@ -236,7 +236,7 @@ def whiten(
     (`weights="counts"`) or every distinct one once (`weights="ones"`); n is its length, and every
     covariance over it is centred and divided by n. Components are the eigenvectors by falling
     eigenvalue, min(`components`, dimensions) of them. deviation is the exact sum of (n * x - S)^2
-    with S the sums of the list, explained the eigenvalue's share of the trace, and identity_error
+    with S the sums of the list (null beyond 38 digits), explained the eigenvalue's share of the trace, and identity_error
     one value: how far the covariance of the whitened list is from the identity.
 
     Rows go when their vector is null or empty or holds a null or non-finite entry, or one from
