@@ -1,293 +1,83 @@
 """Exact nearest neighbours between a set of query vectors and a corpus.
 
-The scores of a block of queries against a block of the corpus are one matrix product, done on
-Arrow batches inside a task. A task gives out no more than the best k per query; a window over
-these candidates picks the final ones. Ties go to the smaller id.
+Two ways to bring queries and corpus together, chosen by the measured size of the queries: few are
+broadcast and the corpus is scanned in place; many travel through a metric index, each to the cells
+that can hold one of its neighbours.
 
-Two ways to bring the blocks together, chosen by the measured size of the queries:
-few queries are broadcast and the corpus is scanned in place; many are laid out as a grid of
-(query block, corpus block) cells and shuffled, with both sides of a cell bounded.
-
-Over a large corpus a first search in a fixed part of it finds, for every query, a score that its
-k-th neighbour reaches at least. Nothing below that score can be in the result, so the tasks of the
-full search leave it out, and the shuffle no longer grows with the number of tasks.
+Over a large corpus that is scanned, a first search in a fixed part of it finds, for every query, a
+score that its k-th neighbour reaches at least. Nothing below that score can be in the result, so the
+tasks of the full search leave it out, and the shuffle no longer grows with the number of tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patentkin.functions.vectors import parse_vector
-from patentkin.operators.skew import BROADCAST_BYTES, broadcast_if_small, salt
+from patentkin.operators.block_search import (
+    CELL_BYTES, CELL_ROWS, TIE_DIGITS, Vectors, as_vectors, ranked_by_score, search_broadcast, search_cells, usable_vectors,
+)
+from patentkin.operators.metric_index import build_index, search_index
+from patentkin.operators.skew import BROADCAST_BYTES, salt
 
-CELL_BYTES = 64 * 2**20  # of the vectors on one side of a cell, in double precision
-CELL_ROWS = 65_536
-CHUNK_ROWS = 1_024
-CHUNK_SCORES = 2**23  # scores held at a time
 BOUND_ROWS = 2_000_000  # corpus size from which a first search pays
 BOUND_PART = 64  # one in so many corpus rows takes part in it
 DIGITS = 4
-TIE_DIGITS = 12  # equal vectors tie, whatever the last bits of their products are
-
-_FOUND = pa.schema([("query_id", pa.int64()), ("k", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
-
-
-def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """List column as a matrix in double precision."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if rows and len(flat) % rows:
-        raise ValueError("vectors of different length in one table")
-    return flat.reshape(rows, -1).astype(np.float64) if rows else np.empty((0, 0))
-
-
-def _usable(ids: np.ndarray, vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors that have a length, scaled to one for cosine, and which rows they were."""
-    norms = np.linalg.norm(vectors, axis=1)
-    if metric == "euclidean":
-        keep = np.isfinite(norms)
-        return ids[keep], vectors[keep], keep
-    keep = (norms > 0) & np.isfinite(norms)
-    return ids[keep], vectors[keep] / norms[keep, None], keep
-
-
-def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer: cosine similarity, or minus the squared distance."""
-    out = queries @ corpus.T
-    if metric == "euclidean":
-        out = 2 * out - (queries**2).sum(1)[:, None] - (corpus**2).sum(1)[None, :]
-        out = np.minimum(out, 0.0)
-    return out
-
-
-def _keep_best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: np.ndarray):
-    """Of flat (row, id, score) triples the best k of each row."""
-    order = np.lexsort((ids, -scores, rows))
-    rows, ids, scores = rows[order], ids[order], scores[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = rank < k[rows]
-    return rows[keep], ids[keep], scores[keep]
-
-
-def _search(
-    query_ids: np.ndarray, queries: np.ndarray, k: np.ndarray, floor: np.ndarray,
-    corpus: Iterable[tuple[np.ndarray, np.ndarray]], metric: str, digits: int, skip_self: bool,
-) -> Iterator[pa.RecordBatch]:
-    """Best k of the corpus for every query, over any number of corpus batches.
-
-    A score below the query's `floor` does not count.
-    """
-    query_ids, queries, usable = _usable(query_ids, queries, metric)
-    k, floor = k[usable], floor[usable].astype(np.float64)
-    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # not yet merged into the best
-    if not len(query_ids) or k.max() < 1:
-        return
-    by_id = np.argsort(query_ids)
-    last_id = np.full(len(query_ids), np.iinfo(np.int64).max)  # at the floor only smaller ids count
-    margin = 10.0**-digits
-    step = min(max(CHUNK_SCORES // len(query_ids), 64), CHUNK_ROWS)
-
-    def merge() -> None:
-        nonlocal best
-        best = _keep_best(*(np.concatenate(parts) for parts in zip(best, *found)), k)
-        found.clear()
-        # A row that has its k needs nothing behind its worst one.
-        size = np.bincount(best[0], minlength=len(query_ids))
-        full = (size >= k) & (size > 0)
-        worst = np.cumsum(size)[full] - 1
-        floor[full], last_id[full] = best[2][worst], best[1][worst]
-
-    for ids, vectors in corpus:
-        ids, vectors, _ = _usable(ids, vectors, metric)
-        for start in range(0, len(ids), step):
-            part = ids[start : start + step]
-            scores = _scores(queries, vectors[start : start + step], metric)
-            if skip_self:
-                left = np.searchsorted(query_ids, part, side="left", sorter=by_id)
-                right = np.searchsorted(query_ids, part, side="right", sorter=by_id)
-                for column in np.nonzero(right > left)[0]:
-                    scores[by_id[left[column] : right[column]], column] = -np.inf
-            depth = min(int(k.max()), len(part))
-            least = floor
-            if depth < len(part) and np.isinf(floor).any():
-                cut = np.partition(scores, len(part) - depth, axis=1)[:, len(part) - depth]
-                least = np.maximum(floor, cut)
-            # Only what may count is rounded; rounding can lift a score by less than the margin.
-            rows, columns = np.nonzero(scores >= (least - margin)[:, None])
-            rounded = np.round(scores[rows, columns], digits)
-            level = floor[rows]
-            counts = (rounded > level) | ((rounded == level) & (part[columns] < last_id[rows]))
-            counts &= rounded > -np.inf
-            found.append((rows[counts], part[columns[counts]], rounded[counts]))
-            if sum(len(f[0]) for f in found) >= len(best[0]):
-                merge()
-    if found:
-        merge()
-    rows, ids, scores = best
-    if len(rows):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[rows]), pa.array(k[rows].astype(np.int32)), pa.array(ids), pa.array(scores)],
-            schema=_FOUND,
-        )
-
-
-QUERY = ("query_id", "embedding", "k", "floor")
-
-
-def _columns(queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, k, floor = (queries[c].to_numpy() for c in ("query_id", "k", "floor"))
-    return ids, _vectors(queries["embedding"]), k, floor
-
-
-def _slices(corpus: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors a few at a time, so that a cell is never held twice in double precision."""
-    for start in range(0, corpus.num_rows, 4 * CHUNK_ROWS):
-        part = corpus.slice(start, 4 * CHUNK_ROWS)
-        yield part["id"].to_numpy(), _vectors(part["embedding"])
-
-
-def _by_broadcast(queries: DataFrame, corpus: DataFrame, metric: str, digits: int, skip_self: bool) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(_columns(queries.select(*QUERY).toArrow()))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = ((b["id"].to_numpy(zero_copy_only=False), _vectors(b["embedding"])) for b in batches if b.num_rows)
-        yield from _search(*shared.value, read, metric, digits, skip_self)
-
-    return corpus.select("id", "embedding").mapInArrow(scan, "query_id long, k int, id long, score double")
-
-
-def _in_cells(
-    left: DataFrame, right: DataFrame, cell: list[str], metric: str, digits: int, skip_self: bool
-) -> DataFrame:
-    """Search inside every cell; both sides carry the cell's key columns."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*cell).schema)
-
-    def search(key: tuple, queries: pa.Table, corpus: pa.Table) -> pa.Table:
-        found = []
-        if queries.num_rows and corpus.num_rows:
-            found = list(
-                _search(*_columns(queries), _slices(corpus), metric, digits, skip_self)
-            )
-        table = pa.Table.from_batches(found, _FOUND)
-        for i, name in enumerate(cell):
-            table = table.add_column(i, name, pa.array([key[i].as_py()] * table.num_rows, key[i].type))
-        return table
-
-    # Fresh names keep the two sides apart when both come from one table.
-    right = right.select(*[F.col(c).alias(c) for c in (*cell, "id", "embedding")])
-    return (
-        left.groupBy(*cell)
-        .cogroup(right.groupBy(*cell))
-        .applyInArrow(search, f"{schema}, query_id long, k int, id long, score double")
-    )
-
-
-def _by_grid(
-    queries: DataFrame, corpus: DataFrame, n_queries: int, n_corpus: int, dimension: int,
-    metric: str, digits: int, skip_self: bool,
-) -> DataFrame:
-    side = min(CELL_ROWS, max(1, CELL_BYTES // (8 * max(dimension, 1))))
-    tall = max(1, math.ceil(n_queries / side))
-    wide = max(1, math.ceil(n_corpus / side))
-    left = queries.withColumn("g", salt(F.col("query_id"), tall)).withColumn(
-        "h", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))
-    )
-    right = corpus.select("id", "embedding").withColumn("h", salt(F.col("id"), wide)).withColumn(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(tall - 1)))
-    )
-    return _in_cells(left, right, ["g", "h"], metric, digits, skip_self)
-
-
-def _ranked(found: DataFrame, keys: list[str], k_max: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= k_max) & (F.col("rank") <= F.col("k")))
-
-
-def usable_vectors(emb: DataFrame) -> DataFrame:
-    """(id, embedding) without missing and empty vectors, one for each id; text vectors are parsed.
-
-    Of an id's vectors the greatest stays. Only ids that are stored twice are found first, by a
-    count of the ids alone, so the other vectors are not shuffled for this.
-    """
-    vector = F.col("embedding")
-    if emb.schema["embedding"].dataType.simpleString() == "string":
-        vector = parse_vector(vector)
-    out = emb.select(F.col("id").cast("bigint").alias("id"), vector.alias("embedding"))
-    out = out.where(F.col("id").isNotNull() & (F.size("embedding") > 0))
-    again = broadcast_if_small(out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    one_each = out.join(again, "id", "left_semi").groupBy("id").agg(F.max("embedding").alias("embedding"))
-    return out.join(again, "id", "left_anti").unionAll(one_each)
 
 
 def odd_vectors(emb: DataFrame) -> DataFrame:
     """(id, dimension) of the vectors that a search leaves out, since most have another length."""
-    return usable_vectors(emb).where(F.size("embedding") != _dimension(emb)).select("id", F.size("embedding").alias("dimension"))
+    usual = as_vectors(emb).dimension
+    return usable_vectors(emb).where(F.size("embedding") != usual).select("id", F.size("embedding").alias("dimension"))
 
 
-def vectors_for(ids: DataFrame, emb: DataFrame) -> DataFrame:
+def vectors_for(ids: DataFrame, emb: DataFrame | Vectors) -> DataFrame:
     """(id, embedding) of the wanted ids that have a vector."""
-    return usable_vectors(emb).join(ids.select("id").distinct(), "id", "left_semi")
+    rows = emb.rows if isinstance(emb, Vectors) else usable_vectors(emb)
+    return rows.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def search(
-    queries: DataFrame, emb: DataFrame, k_max: int, n_queries: int, dimension: int,
-    digits: int = TIE_DIGITS, skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
+    queries: DataFrame, emb: DataFrame | Vectors, k_max: int, n_queries: int,
+    digits: int = TIE_DIGITS, skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, cell_rows: int | None = None,
+) -> DataFrame:
     """(query_id, id, score, rank) by cosine for queries (query_id, k, embedding)."""
-    n_corpus = emb.count()
+    corpus, dimension, count = emb = as_vectors(emb)
+    queries = queries.where(F.size("embedding") == dimension)
+    if n_queries * dimension * 8 > broadcast_bytes:
+        return search_index(build_index(emb, cell_rows), queries, k_max, digits, skip_self)
 
-    def find(asked: DataFrame, corpus: DataFrame, rows: int) -> DataFrame:
-        if n_queries * dimension * 8 <= broadcast_bytes:
-            found = _by_broadcast(asked, corpus, "cosine", digits, skip_self)
-        else:
-            found = _by_grid(asked, corpus, n_queries, rows, dimension, "cosine", digits, skip_self)
-        return _ranked(found, ["query_id"], k_max)
+    def find(asked: DataFrame, part: DataFrame) -> DataFrame:
+        return ranked_by_score(search_broadcast(asked, part, "cosine", digits, skip_self), ["query_id"], k_max)
 
-    corpus = usable_vectors(emb).where(F.size("embedding") == dimension)
-    queries = queries.where(F.size("embedding") == dimension)
     asked = queries.withColumn("floor", F.lit(-math.inf))
-    if n_corpus >= BOUND_ROWS:
-        part = corpus.where(salt(F.col("id"), BOUND_PART) == 0)
-        last = find(asked, part, math.ceil(n_corpus / BOUND_PART)).where(F.col("rank") == F.col("k"))
+    if count >= BOUND_ROWS:
+        last = find(asked, corpus.where(salt(F.col("id"), BOUND_PART) == 0)).where(F.col("rank") == F.col("k"))
         bound = last.select("query_id", F.col("score").alias("bound"))
         asked = queries.join(bound, "query_id", "left").withColumn("floor", F.coalesce("bound", F.lit(-math.inf)))
-    return find(asked, corpus, n_corpus).select("query_id", "id", "score", "rank")
-
-
-def _dimension(emb: DataFrame) -> int:
-    """The length that most vectors have, the smaller one of two."""
-    if emb.schema["embedding"].dataType.simpleString() == "string":
-        emb = emb.select(parse_vector(F.col("embedding")).alias("embedding"))
-    sizes = emb.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    row = sizes.orderBy(F.desc("n"), "d").first()
-    return row["d"] if row else 0
+    return find(asked, corpus).select("query_id", "id", "score", "rank")
 
 
 def knn_by_id(
-    seeds: DataFrame, emb: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+    seeds: DataFrame, emb: DataFrame | Vectors, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES,
+    cell_rows: int | None = None,
+) -> DataFrame:
     """(seed_id, family_id, similarity, rank): the k nearest other families of every seed.
 
     A column `k` on the seeds asks for a number of its own per seed. Similarities are rounded
-    to four digits before they are ranked. Seeds without a vector have no rows.
+    to four digits before they are ranked. Seeds without a vector have no rows. `cell_rows` is the
+    size of the cells that queries beyond `broadcast_bytes` are searched in.
     """
+    emb = as_vectors(emb)
     depth = F.col("k").cast("int") if "k" in seeds.columns else F.lit(k)
     wanted = seeds.select(F.col("seed_id").cast("bigint").alias("id"), depth.alias("k"))
     wanted = wanted.groupBy("id").agg(F.max("k").alias("k"))
     size = wanted.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-    queries = usable_vectors(emb).join(wanted, "id").select(F.col("id").alias("query_id"), "k", "embedding")
+    queries = emb.rows.join(wanted, "id").select(F.col("id").alias("query_id"), "k", "embedding")
     found = search(
-        queries, emb, size["k"] or 0, size["n"], _dimension(emb), DIGITS, skip_self=True, broadcast_bytes=broadcast_bytes
+        queries, emb, size["k"] or 0, size["n"], DIGITS, skip_self=True, broadcast_bytes=broadcast_bytes, cell_rows=cell_rows
     )
     return found.select(
         F.col("query_id").alias("seed_id"), F.col("id").alias("family_id"), F.col("score").alias("similarity"), "rank"
@@ -295,7 +85,7 @@ def knn_by_id(
 
 
 def knn_by_vector(
-    queries: DataFrame, emb: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES
+    queries: DataFrame, emb: DataFrame | Vectors, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(query_id, id, distance, rank): the n nearest vectors of every query vector.
 
@@ -304,7 +94,7 @@ def knn_by_vector(
     depth = F.col("k").cast("int") if "k" in queries.columns else F.lit(n)
     asked = queries.select("query_id", depth.alias("k"), "embedding").where(F.size("embedding") > 0)
     size = asked.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
-    found = search(asked, emb, size["k"] or 0, size["n"], _dimension(emb), broadcast_bytes=broadcast_bytes)
+    found = search(asked, emb, size["k"] or 0, size["n"], broadcast_bytes=broadcast_bytes)
     return found.select("query_id", "id", (F.lit(1.0) - F.col("score")).alias("distance"), "rank")
 
 
@@ -325,5 +115,5 @@ def knn_within(df: DataFrame, k: int, metric: str = "euclidean", cell_bytes: int
         F.lit(-math.inf).alias("floor"), "embedding",
     )
     right = blocked.select("group", every.alias("g"), F.col("own").alias("h"), "id", "embedding")
-    found = _in_cells(left, right, ["group", "g", "h"], metric, TIE_DIGITS, skip_self=True)
-    return _ranked(found, ["group", "query_id"], k).select("group", "query_id", "id", "score", "rank")
+    found = search_cells(left, right, ["group", "g", "h"], metric, TIE_DIGITS, skip_self=True)
+    return ranked_by_score(found, ["group", "query_id"], k).select("group", "query_id", "id", "score", "rank")

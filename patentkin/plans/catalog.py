@@ -377,6 +377,12 @@ def knn_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return near.knn_by_id(_seeds(spark, sf), _embeddings(spark, sf), 10)
 
 
+@_query
+def knn_by_id_in_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with queries beyond the broadcast limit, through the metric index in small cells."""
+    return near.knn_by_id(_seeds(spark, sf), _embeddings(spark, sf), 10, broadcast_bytes=0, cell_rows=64)
+
+
 @_query
 def knn_by_vector(spark: SparkSession, sf: str) -> DataFrame:
     queries = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -366,6 +366,7 @@ SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
 """)
 _oracle("knn_by_id", "nearest", "SELECT seed_id, family_id, similarity, rank FROM nearest WHERE rank <= 10")
+_oracle("knn_by_id_in_cells", "nearest", "SELECT seed_id, family_id, similarity, rank FROM nearest WHERE rank <= 10")
 _oracle("knn_by_vector", "export_embeddings", """
 SELECT query_id, id, round(greatest(distance, 0), 6) AS distance, rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank

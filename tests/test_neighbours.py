@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patentkin.operators import block_search, metric_index
 from patentkin.operators import neighbours as near
+from patentkin.operators.metric_index import build_index, visits
 from patentkin.operators.landscapes import job_neighbours, merge_neighbours
 from patentkin.operators.tenants import enrich
 
@@ -42,8 +44,8 @@ def test_equals_brute_force(spark, cloud, monkeypatch, bytes_allowed, bound_rows
     ids, vectors = cloud
     monkeypatch.setattr(near, "BOUND_ROWS", bound_rows)
     monkeypatch.setattr(near, "BOUND_PART", 4)
-    monkeypatch.setattr(near, "CELL_ROWS", 70)
-    monkeypatch.setattr(near, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(metric_index, "CELL_ROWS", 70)
+    monkeypatch.setattr(block_search, "CHUNK_ROWS", 64)
     emb = table(spark, vectors, ids).repartition(3)
     seeds = emb.select(F.col("id").alias("seed_id"))
     rows = near.knn_by_id(seeds, emb, k, broadcast_bytes=bytes_allowed).orderBy("seed_id", "rank").collect()
@@ -125,6 +127,31 @@ def test_within_groups(spark, cloud):
         assert got == wanted
 
 
+@pytest.mark.parametrize("cell_rows", [1, 20, 1_000])
+def test_cells_that_cannot_hold_a_neighbour_are_skipped(spark, cell_rows):
+    random = np.random.default_rng(8)
+    centres = random.normal(size=(12, 8)) * 5
+    vectors = (centres[np.arange(240) % 12] + random.normal(size=(240, 8)) * 0.05).astype(np.float32)
+    vectors[7] = vectors[31]  # a tie
+    ids = list(range(1_000, 1_240))
+    emb = table(spark, np.vstack([vectors, np.zeros((1, 8), dtype=np.float32)]), [*ids, 5])
+    seeds = emb.select(F.col("id").alias("seed_id"), (F.col("id") % 4).cast("int").alias("k"))
+    columns = ["seed_id", "rank", "family_id", "similarity"]
+
+    def rows(**options):
+        return [tuple(r) for r in near.knn_by_id(seeds, emb, **options).select(*columns).orderBy(*columns[:2]).collect()]
+
+    assert rows(broadcast_bytes=0, cell_rows=cell_rows) == rows()
+    index = build_index(emb, cell_rows)
+    assert int(index.rows.sum()) == 240
+    open_ = emb.select(F.col("id").alias("query_id"), F.lit(3).alias("k"), F.lit(0.99).alias("floor"), "embedding")
+    first, rest = (visits(index, open_, 4, turn) for turn in (True, False))
+    both = first.select("query_id", "cell").union(rest.select("query_id", "cell"))
+    assert both.distinct().count() == both.count()
+    if cell_rows == 20:
+        assert both.count() < 240 * len(index.rows) / 2
+
+
 def test_plan_has_no_pairwise_join(spark, cloud):
     ids, vectors = cloud
     emb = table(spark, vectors, ids)
