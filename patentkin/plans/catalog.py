@@ -252,6 +252,12 @@ def shard_plan(spark: SparkSession, sf: str) -> DataFrame:
     return shards.assign_shards(_ready(spark, sf), SHARD_BYTES).select("family_id", "shard")
 
 
+@_query
+def shard_plan_in_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same plan from many small ranges, worked through side by side."""
+    return shards.assign_shards(_ready(spark, sf), SHARD_BYTES // 16, rows_per_range=20).select("family_id", "shard")
+
+
 @_query
 def shard_plan_large_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The plan where some families have 99 % of the target and some more than the target."""

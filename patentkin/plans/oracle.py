@@ -312,7 +312,7 @@ SELECT family_id, regexp_replace(regexp_replace(title, '^\\s+', ''), '\\s+$', ''
 FROM ready
 """)
 _oracle("row_sizes", "ready", "SELECT family_id, strlen(title) + strlen(abstract) + 32 AS row_size FROM ready")
-def _shards(abstract_bytes: str) -> str:
+def _shards(abstract_bytes: str, target: int = SHARD_BYTES) -> str:
     """Shards one after the other: the next one starts with the row that would bring this one to the target."""
     return f"""
 SELECT * FROM (
@@ -323,7 +323,7 @@ SELECT * FROM (
     SELECT 1::BIGINT AS n, 0::HUGEINT AS before, 0::BIGINT AS shard
     UNION ALL
     SELECT min(x.n), arg_min(x.upto - x.size, x.n)::HUGEINT, s.shard + 1
-    FROM starts s JOIN summed x ON x.n > s.n AND x.upto - s.before >= {SHARD_BYTES}
+    FROM starts s JOIN summed x ON x.n > s.n AND x.upto - s.before >= {target}
     GROUP BY s.shard
   )
   SELECT family_id, max(shard) AS shard FROM summed x JOIN starts s ON s.n <= x.n GROUP BY family_id
@@ -332,6 +332,7 @@ SELECT * FROM (
 
 
 _oracle("shard_plan", "ready", _shards("strlen(abstract)"))
+_oracle("shard_plan_in_ranges", "ready", _shards("strlen(abstract)", SHARD_BYTES // 16))
 _oracle("shard_plan_large_rows", "ready", _shards(
     f"CASE family_id % 97 WHEN 5 THEN {SHARD_BYTES * 99 // 100} WHEN 50 THEN {2 * SHARD_BYTES} ELSE strlen(abstract) END"
 ))

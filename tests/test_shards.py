@@ -1,11 +1,14 @@
 """Shards and pending families."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patentkin.functions.text import row_size
 from patentkin.operators.pending import backlog, pending_families
-from patentkin.operators.shards import assign_shards, write_shards
+from patentkin.operators.shards import assign_shards, composed, range_steps, write_shards
 from patentkin.sources.tables import read_shards
 
 
@@ -42,6 +45,38 @@ def test_one_range_is_filled_greedily(spark, target):
     assert [s for _, s, _ in rows] == greedy([b for *_, b in rows], target)
 
 
+@pytest.mark.parametrize("rows_per_range", [1, 7, 40])
+@pytest.mark.parametrize("target", [40, 2_000, 100_000])
+def test_ranges_side_by_side_equal_one_pass(spark, rows_per_range, target):
+    df = families(spark, 300)
+    plans = [
+        {r["family_id"]: r["shard"] for r in assign_shards(df, target, rows_per_range=n).collect()} for n in (200_000, rows_per_range)
+    ]
+    assert plans[0] == plans[1] and len(plans[0]) == 300
+
+
+def test_composed_steps_equal_one_pass():
+    chance = random.Random(1)
+
+    def one_pass(sizes, target, filled):
+        closed = 0
+        for size in sizes:
+            if filled and filled + size >= target:
+                closed, filled = closed + 1, 0
+            filled += size
+        return closed, filled
+
+    for _ in range(400):
+        target = chance.choice([5, 20, 100])
+        parts = [[chance.choice([1, 2, 3, 7, 30, 100]) for _ in range(chance.randrange(1, 20))] for _ in range(chance.randrange(1, 5))]
+        steps = range_steps(np.array(parts[0]), target)
+        for part in parts[1:]:
+            steps = composed(steps, range_steps(np.array(part), target))
+        for filled in (0, 1, 2, target - 1, target, chance.randrange(2 * target)):
+            closed, left = steps(np.array([filled]))
+            assert (closed[0], left[0]) == one_pass(sum(parts, []), target, filled)
+
+
 @pytest.mark.parametrize("rows_per_range", [200_000, 40])
 @pytest.mark.parametrize("target", [200, 1_000, 50_000])
 def test_every_shard_is_below_the_target_and_in_order(spark, rows_per_range, target):
