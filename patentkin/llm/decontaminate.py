@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patentkin.llm.columns import nested, restored
 from patentkin.llm.text import ALPHANUMERIC, slices, windows, words
 from patentkin.operators.skew import cut_lineage
 
@@ -260,7 +261,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """`docs` without contaminated documents. Rows of one doc_id go together."""
+    """`docs` without contaminated documents. Rows of one doc_id go together; columns of any name and type are passed on."""
     hit = contamination(docs, benchmark, size).where("contaminated").select("doc_id").distinct()
     hit = hit.select(F.col("doc_id").alias("hit_id"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    left = nested(docs, "doc_id").join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return restored(left, docs, "doc_id")

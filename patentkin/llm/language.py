@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from patentkin.llm.columns import nested, restored
 from patentkin.llm.text import ALPHANUMERIC, PIECE_BYTES, slices, text_bytes
 
 BUCKETS = 2**14
@@ -170,8 +172,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *kept: Column
                 )
 
     given = docs.select(*kept, F.col("text").alias("_whole_text"))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return given.mapInArrow(run, ", ".join([*own, f"{prefix}lang_pred string, {prefix}score double, {prefix}langs array<string>"]))
+    added = StructType.fromDDL(f"{prefix}lang_pred string, {prefix}score double, {prefix}langs array<string>")
+    return given.mapInArrow(run, StructType([*docs.select(*kept).schema, *added]))
 
 
 def fold(modulus: int) -> Column:
@@ -191,10 +193,12 @@ def language_mixture(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """`docs` without the rows whose language can't be told: null texts and texts without a letter.
 
+    All columns, of any name and type, are passed on as they are.
     Where no language is known to learn from, all other rows stay too, as if of a single language.
     """
     langs, table = learn(docs.where(fold(5) != 0))
     if not langs:
         langs, table = ["any"], np.zeros((BUCKETS + 1, 1), dtype=np.float32)
-    marked = identify(docs, (langs, table), *[F.col(f"`{c}`") for c in docs.columns], prefix="own_")
-    return marked.where(F.col("own_lang_pred") != NO_LANGUAGE).select(*docs.columns)
+    slim = nested(docs, "doc_id", "text")
+    marked = identify(slim, (langs, table), *[F.col(c) for c in slim.columns])
+    return restored(marked.where(F.col("lang_pred") != NO_LANGUAGE), docs, "doc_id", "text")

@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patentkin.llm import order
+from patentkin.llm.columns import nested, restored
+from patentkin.llm.sized import cut_sized
 from patentkin.llm.text import BLANK_SEPARATED, LINES, LINES_AGAIN, slices, words
 from patentkin.operators.skew import cut_lineage
 
@@ -109,10 +111,10 @@ def _by_merge(df: DataFrame) -> DataFrame:
 def _named(pairs: DataFrame) -> DataFrame:
     """(pos, name) of all places whose pair (x, y) occurs twice or more; the name is the first of these places."""
     # written out, so that the join can be split at frequent lines
-    groups = cut_lineage(
+    groups = cut_sized(
         pairs.groupBy("x", "y").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    return cut_lineage(pairs.join(_by_merge(groups), ["x", "y"]).select("pos", "name"))
+    return cut_sized(pairs.join(_by_merge(groups), ["x", "y"]).select("pos", "name"))
 
 
 def _later_lines(numbered: DataFrame) -> DataFrame:
@@ -122,21 +124,21 @@ def _later_lines(numbered: DataFrame) -> DataFrame:
     runs = numbered.select("at", F.explode(F.arrays_zip("start", "length")).alias("r"))
     runs = runs.select((F.col("at") + F.col("r.start")).alias("pos"), F.col("r.length").alias("length"))
     # a run is looked up only where its first line is a repeated one
-    runs = cut_lineage(runs.join(_by_merge(names.select("pos")), "pos", "left_semi"))
+    runs = cut_sized(runs.join(_by_merge(names.select("pos")), "pos", "left_semi"))
     longest = runs.agg(F.max("length").alias("m")).first()["m"] or 0
     found = None
     width = 1
     while width <= longest:
         here = runs.where((F.col("length") >= width) & (F.col("length") < 2 * width))
         tail = names.select((F.col("pos") + width).alias("end"), F.col("name").alias("y"))
-        covered = cut_lineage(
+        covered = cut_sized(
             here.withColumn("end", F.col("pos") + F.col("length"))
             .join(_by_merge(names.withColumnRenamed("name", "x")), "pos")
             .join(_by_merge(tail), "end")
             .select("pos", "length", "x", "y")
         )
         # equal runs have equal lengths, since the length follows from the lines
-        firsts = cut_lineage(covered.groupBy("x", "y", "length").agg(F.min("pos").alias("first")))
+        firsts = cut_sized(covered.groupBy("x", "y", "length").agg(F.min("pos").alias("first")))
         later = covered.join(_by_merge(firsts), ["x", "y", "length"]).where("pos > first").select("pos", "length")
         found = later if found is None else found.unionAll(later)
         if 2 * width <= longest:
@@ -184,11 +186,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` without later copies of repeated runs of lines, and without rows of which only blanks are left.
 
     Rows that lose no line stay as they are, empty and null texts included. An n_chars column
-    follows the new text.
+    follows the new text. All other columns, of any name and type, are passed on as they are.
     """
-    marked = mark_lines(docs, min_words).withColumn("new_text", without_lines())
+    own = ("doc_id", "text", "n_chars")
+    marked = mark_lines(nested(docs, *own), min_words).withColumn("new_text", without_lines())
     kept = marked.where((F.size("deleted") == 0) | F.col("new_text").rlike(r"\S"))
-    own = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.size("deleted") == 0, F.col("n_chars")).otherwise(F.char_length("new_text").cast("long"))
-    return kept.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns])
+        chars = F.char_length("new_text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.size("deleted") == 0, F.col("n_chars")).otherwise(chars))
+    return restored(kept.withColumn("text", F.col("new_text")), docs, *own)

@@ -9,9 +9,10 @@ is never posted under it.
 
 Lists are merged in two passes. The first compares all members with the least one of their list,
 which is linear and joins groups of copies at once. The second skips every list whose members are
-in one component by then; in the others it works out the overlap of all members, in blocks of
-bounded size, and gives out only links that connect different components, fewer than a block has
-members. Every candidate is confirmed on full shingle sets.
+in one component by then; in the others it counts the collisions of all members, in blocks of
+bounded size, and of those that reach the threshold with a member of another component works out
+the overlaps of their full shingle sets. It gives out only links that connect different components,
+fewer than a block has members. Candidates of the first pass are confirmed on full sets too.
 
 At a similarity of exactly 0.8 a pair has 27 or more of 48 equal coordinates with a chance of
 about 0.99997; it grows quickly with the similarity.
@@ -27,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patentkin.llm.columns import REST, nested, restored
 from patentkin.llm.graph import components
+from patentkin.llm.sized import cut_sized
 from patentkin.llm.text import BLANK_SEPARATED, constants, mix, shingle_set, slices, words
 from patentkin.operators.skew import cut_lineage
 
@@ -60,7 +63,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, li
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, set_a and set_b (two sums that name the set), sig."""
+    """Per row of docs: doc_id, n_shingles, set_a and set_b (two sums that name the set), sig, marks (16 bits of each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,29 +71,31 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 a = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                 b = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                sig = [signature(s).view(np.int64) if len(s) else None for s in sets]
+                sig = [signature(s) if len(s) else None for s in sets]
+                marks = [None if x is None else (x >> np.uint64(48)).astype(np.uint16).tobytes() for x in sig]
+                sig = [None if x is None else x.view(np.int64) for x in sig]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), pa.array(sig, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                    [part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b)]
+                    + [pa.array(sig, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sig", "marks"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, sig array<long>"
+    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, sig array<long>, marks binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row of docs: node (its doc_id), its full shingle set, and 32 bits of each shingle."""
+    """Per row of docs: node (its doc_id) and its full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets(batch, size):
                 values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                short = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values, short], ["node", "shingles", "short"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], ["node", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles array<long>, short binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles array<long>")
 
 
 def prefix_postings(sigs: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def prefix_postings(sigs: DataFrame) -> DataFrame:
     """
     posted = sigs.select("node", F.explode("sig").alias("key"))
     # written out, so that a join with it can be split at long lists
-    lists = cut_lineage(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = cut_sized(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = posted.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     alone = F.lit(COORDINATES) - F.size("keys")
     kept = shared.where(alone < PREFIX).select("node", F.explode(F.slice("keys", 1, PREFIX - alone)).alias("k"))
@@ -159,49 +164,59 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _open_between(members: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a cell are to be compared here: of different components, and not of one side only."""
+    side = members["side"].to_numpy()
+    _, component = np.unique(members["component"].to_numpy(), return_inverse=True)
+    open_ = component[:, None] != component[None, :]
+    return open_ & ((side[:, None] <= 1) & (side[None, :] >= 1) | (side[:, None] >= 1) & (side[None, :] <= 1))
+
+
+def _colliding(members: pd.DataFrame) -> pd.DataFrame:
+    """The members of one cell that have THRESHOLD or more coordinates in common with one they are to be compared with."""
+    marks = np.frombuffer(b"".join(members["marks"]), dtype=np.uint16).reshape(len(members), COORDINATES)
+    open_ = _open_between(members)
+    hit = np.zeros(len(members), dtype=bool)
+    for low in range(0, len(members), 64):
+        equal = np.zeros((len(marks[low : low + 64]), len(members)), dtype=np.uint8)
+        for k in range(COORDINATES):
+            equal += marks[low : low + 64, k, None] == marks[None, :, k]
+        hit[low : low + 64] = ((equal >= THRESHOLD) & open_[low : low + 64]).any(axis=1)
+    return members.loc[hit, ["key", "i", "j", "side", "node", "component"]]
+
+
 def _cell_pairs(percent: int):
     def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components that connect what the members of one cell connect.
-
-        The sets hold 32 bits of each shingle, so a count can be off by collisions inside and between
-        sets. With `off`, their expected number and six standard deviations besides 2, pairs near the
-        limit all go to the confirmation, the others as a spanning forest.
-        """
-        node, side = members["node"].to_numpy(), members["side"].to_numpy()
-        _, component = np.unique(members["component"].to_numpy(), return_inverse=True)
-        sets = [np.frombuffer(x, dtype=np.uint32) for x in members["short"]]
-        sizes = np.array([len(s) for s in sets], dtype=np.float32)
+        """Links of different components, on full sets, that connect what the members of one cell connect."""
+        node = members["node"].to_numpy()
+        sets = [np.asarray(x) for x in members["shingles"]]
+        sizes = np.array([len(s) for s in sets], dtype=np.float64)
         both = overlaps(sets)
         either = sizes[:, None] + sizes[None, :] - both
-        expected = (sizes[:, None] + sizes[None, :]).astype(float) ** 2 / 2**33
-        off = 2 + expected + 6 * np.sqrt(expected)
-        open_ = component[:, None] != component[None, :]
-        open_ &= (side[:, None] <= 1) & (side[None, :] >= 1) | (side[:, None] >= 1) & (side[None, :] <= 1)
-        sure = open_ & (100 * (both - off) >= percent * (either + off))
-        near = np.triu(open_ & ~sure & (100 * (both + off) >= percent * (either - off)))
-        pairs = _forest(sure) + list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+        pairs = _forest(_open_between(members) & (100 * both >= percent * either))
         i, j = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
         return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
     return run
 
 
-def _open_pairs(postings: DataFrame, sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different components inside the lists that are not in one component yet.
+def _open_pairs(postings: DataFrame, sigs: DataFrame, sets: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside the lists that are not in one component yet.
 
     A list is cut into ceil(n / BLOCK) blocks and worked through by pairs of blocks, so no task
-    holds more than two blocks.
+    holds more than two blocks. 96 bytes a member are enough to count the coordinates two members
+    share; only sets of members that reach the threshold with another one are sent after them.
     """
     kind = dict(postings.dtypes)["node"]
     named = postings.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # written out, so that the join can be split at long lists
-    open_lists = cut_lineage(
+    open_lists = cut_sized(
         named.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    posted = named.join(open_lists, "key").join(sets.select("node", "short"), "node")
+    posted = named.join(open_lists, "key").join(sigs.select("node", "marks"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     grid = posted.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = grid.select(
@@ -209,9 +224,12 @@ def _open_pairs(postings: DataFrame, sets: DataFrame, tied: DataFrame, percent:
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"),
-        "node", "component", "short",
+        "node", "component", "marks",
     )
-    return cells.groupBy("key", "i", "j").applyInPandas(_cell_pairs(percent), f"a {kind}, b {kind}").distinct()
+    schema = f"key long, i int, j int, side int, node {kind}, component {kind}"
+    colliding = cut_lineage(cells.groupBy("key", "i", "j").applyInPandas(_colliding, schema))
+    with_sets = colliding.join(sets, "node")
+    return with_sets.groupBy("key", "i", "j").applyInPandas(_cell_pairs(percent), f"a {kind}, b {kind}").distinct()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -223,17 +241,16 @@ def shared_folder(spark: SparkSession) -> str:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the documents that a lower doc_id of their component stands for.
 
-    Of several rows with one doc_id and text one stays, the least by the other columns, so these
-    have to have an order. Rows without doc_id all stay.
+    Of several rows with one doc_id and text one stays, the least by its other columns written as
+    JSON. Rows without doc_id all stay. Columns of any name and type are passed on as they are.
     """
     dropped = near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
+    left = nested(docs, "doc_id", "text").join(dropped, "doc_id", "left_anti")
     repeated = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     # only rows of repeated ids are grouped, and equal ones are merged where they are read
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_none"))
-    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest"))
-    once = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns])
-    return left.join(repeated, "doc_id", "left_anti").select(*once.columns).unionAll(once)
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(REST, F.to_json(REST)).alias(REST))
+    single = left.join(repeated, "doc_id", "left_anti").select("doc_id", "text", REST)
+    return restored(single.unionAll(one.select("doc_id", "text", REST)), docs, "doc_id", "text")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -257,18 +274,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sigs = cut_lineage(
         base.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *keys], "left_semi")
         .dropDuplicates(["doc_id", *keys])
-        .select(F.col("doc_id").alias("node"), "sig")
+        .select(F.col("doc_id").alias("node"), "sig", "marks")
     )
-    postings = cut_lineage(prefix_postings(sigs))
-    pivots = cut_lineage(postings.groupBy("key").agg(F.min("node").alias("a")))
+    postings = cut_sized(prefix_postings(sigs))
+    pivots = cut_sized(postings.groupBy("key").agg(F.min("node").alias("a")))
     stars = postings.join(pivots, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
     nodes = postings.select(F.col("node").alias("doc_id")).distinct()
     sets = cut_lineage(shingle_sets(docs.join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), size))
 
-    links = cut_lineage(_confirmed(_matched(stars, sigs), sets, percent))
+    links = cut_sized(_confirmed(_matched(stars, sigs), sets, percent))
     joined_so_far = components(links)
-    more = cut_lineage(_confirmed(_open_pairs(postings, sets, joined_so_far, percent), sets, percent))
+    more = cut_sized(_open_pairs(postings, sigs, sets, joined_so_far, percent))
     # copies hang on the least id of their class, and so do rows of one doc_id with different sets
     same = (
         base.where("n_shingles > 0 and doc_id is not null").select("doc_id", *keys)
@@ -277,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # what the first pass has joined goes in as stars instead of links
     stars = joined_so_far.select(F.col("component").alias("a"), F.col("node").alias("b"))
     tied = components(stars.unionAll(more).unionAll(same))
-    joined = base.drop("sig").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    joined = base.drop("sig", "marks").join(tied.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
