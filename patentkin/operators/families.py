@@ -1,7 +1,7 @@
 """Publications rolled up into patent families.
 
-Every column of a family is one aggregate over its publications, so an ordinary family costs
-one shuffle of its rows. Families with very many rows are aggregated in salted parts first.
+Every column of a family is one aggregate over its publications, so a family costs one shuffle of
+its rows. Families with very many rows are aggregated in salted parts first.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patentkin.functions.priority import authority_priority, content_priority, kind_priority
-from patentkin.operators.skew import HOT_ROWS, salt, split_hot
+from patentkin.operators.skew import HOT_ROWS, cut_lineage, hot_keys, salt
 
 CPC_WIDTH = 200
 SALTS = 256
@@ -123,14 +123,19 @@ def _finish(parts: DataFrame) -> DataFrame:
 
 
 def rollup(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per family.
+    """One row per family, from one scan of the publications besides a count of their family ids.
 
-    Ordinary families: rows are shuffled once by family and aggregated there, so each text
-    travels once. Families above `hot_rows` rows are reduced in salted parts before they meet.
+    Rows are shuffled once and aggregated where they arrive, so each text travels once. A family
+    above `hot_rows` rows, of which there are few, is dealt to SALTS groups on the same shuffle; only the
+    reduced rows of these groups travel again.
     """
     parts = _parts()
-    ordinary, hot = split_hot(scored, "family_id", hot_rows)
-    whole = ordinary.repartition("family_id").groupBy("family_id").agg(*parts)
-    salted = hot.groupBy("family_id", salt(F.col("id"), SALTS).alias("salt")).agg(*parts)
-    merged = salted.groupBy("family_id").agg(*_merged_parts())
-    return _finish(whole).unionByName(_finish(merged))
+    hot = cut_lineage(hot_keys(scored, "family_id", hot_rows).withColumn("hot", F.lit(True)))
+    if hot.isEmpty():
+        return _finish(scored.repartition("family_id").groupBy("family_id").agg(*parts))
+    # at most rows / hot_rows keys
+    marked = scored.join(F.broadcast(hot), F.col("family_id").eqNullSafe(F.col("hot_key")), "left")
+    dealt = marked.withColumn("salt", F.when(F.col("hot"), salt(F.col("id"), SALTS)))
+    reduced = cut_lineage(dealt.repartition("family_id", "salt").groupBy("family_id", "salt").agg(*parts))
+    merged = reduced.where("salt is not null").groupBy("family_id").agg(*_merged_parts())
+    return _finish(reduced.where("salt is null")).unionByName(_finish(merged))

@@ -17,16 +17,6 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     return counts.where(F.col("n") > hot_rows).select(F.col(key).alias("hot_key"))
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). NULL counts as one key.
-
-    The hot keys may be broadcast: hot_rows bounds their number by the row count divided by it.
-    """
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    same = F.col(key).eqNullSafe(F.col("hot_key"))
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
-
-
 def salt(identity: Column, buckets: int) -> Column:
     """Bucket that depends on the row only, so that a repeated task salts alike."""
     return F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int")

@@ -178,7 +178,7 @@ def cpc_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def family_cpc_titles(spark: SparkSession, sf: str) -> DataFrame:
-    fam = _families(spark, sf)
+    fam = cut_lineage(_families(spark, sf).select("family_id", "cpc"))
     titled = classification.with_cpc_titles(fam, classification.cpc_index(fam, sample(spark, sf, "cpc_titles")))
     text = "array_join(transform(cpc_titles, t -> concat(t.code, ':', t.title, ':', t.level)), '|') AS cpc_titles"
     return titled.selectExpr("family_id", text)
@@ -460,12 +460,12 @@ def job_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def job_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return req.collect_seeds(_requests(spark, sf), _codes(spark, sf))
+    return req.collect_seeds(cut_lineage(_requests(spark, sf)), _codes(spark, sf))
 
 
 @_query
 def job_without_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    requests = _requests(spark, sf)
+    requests = cut_lineage(_requests(spark, sf))
     return req.without_seeds(requests, req.collect_seeds(requests, _codes(spark, sf)))
 
 
@@ -546,7 +546,8 @@ def landscape_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def project_pca_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    return project_pca(_labelled(spark, sf))
+    placed = project_pca(_labelled(spark, sf))
+    return placed.select("group", "id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("x", "y")])
 
 
 @_query

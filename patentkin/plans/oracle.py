@@ -6,6 +6,8 @@ from patentkin.functions.names import LEGAL_FORMS
 from patentkin.plans.catalog import PAGE_ROWS, SHARD_BYTES
 from patentkin.sources.samples import VIEWS
 
+# Pieces that later ones use several times and that are dear.
+SHARED: set[str] = set()
 # Named pieces; a query lists the ones it needs and gets everything they stand on.
 PIECES: dict[str, tuple[tuple[str, ...], str]] = {name: ((), text.strip()) for name, text in VIEWS.items()}
 
@@ -27,7 +29,7 @@ def _with(needs: str, text: str, other_jobs: str | None = None) -> str:
 
     for name in needs.split():
         visit(name)
-    heads = ",\n".join(f"{name} AS (\n{PIECES[swap.get(name, name)][1]}\n)" for name in order)
+    heads = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in SHARED else ''}(\n{PIECES[swap.get(name, name)][1]}\n)" for name in order)
     return f"WITH {heads}\n{text.strip()}" if heads else text.strip()
 
 
@@ -435,6 +437,60 @@ GROUP BY ALL
 """.replace("weighted", """(
   SELECT *, CASE WHEN distance > min(CASE WHEN distance > 0 THEN distance END) OVER (PARTITION BY grp, src)
                  THEN log2(3) - 1 ELSE 1 END AS w FROM edges)"""))
+# Principal axes by squaring the covariance until only the largest axis is left, then once more without it.
+SQUARINGS = 14
+SHARED.add("centred")
+_piece("centred", "label_vectors", """
+SELECT grp, id, i, v[i] - avg(v[i]) OVER (PARTITION BY grp, i) AS e FROM label_vectors, unnest(range(1, len(v) + 1)) AS r(i)
+""")
+_piece("scatter", "centred", """
+SELECT a.grp, a.i, b.i AS j, sum(a.e * b.e) AS m FROM centred a JOIN centred b ON a.grp = b.grp AND a.id = b.id GROUP BY ALL
+""")
+
+
+def _axis(name: str, matrix: str) -> None:
+    """Piece `name` (grp, i, a, strength): the first axis of a matrix piece, its largest entry positive."""
+    power = matrix
+    for k in range(SQUARINGS):
+        _piece(f"{name}_{k}", power, f"""
+SELECT a.grp, a.i, b.j, sum(a.m * b.m) AS m
+FROM (SELECT s.grp, i, j, m / nullif(t, 0) AS m
+      FROM {power} s JOIN (SELECT grp, sum(m) AS t FROM {power} WHERE i = j GROUP BY grp) USING (grp)) a
+JOIN (SELECT s.grp, i, j, m / nullif(t, 0) AS m
+      FROM {power} s JOIN (SELECT grp, sum(m) AS t FROM {power} WHERE i = j GROUP BY grp) USING (grp)) b
+  ON a.grp = b.grp AND a.j = b.i
+GROUP BY ALL
+""")
+        power = f"{name}_{k}"
+        SHARED.add(power)
+    SHARED.update((name, matrix))
+    _piece(f"{name}_column", power, f"""
+SELECT s.grp, s.i, s.m FROM {power} s JOIN (SELECT grp, arg_max(i, m) AS top FROM {power} WHERE i = j GROUP BY grp) p
+  ON s.grp = p.grp AND s.j = p.top
+""")
+    _piece(f"{name}_unit", f"{name}_column", f"""
+SELECT grp, i, m / sqrt(sum(m * m) OVER (PARTITION BY grp)) * sign(arg_max(m, abs(m)) OVER (PARTITION BY grp)) AS a FROM {name}_column
+""")
+    _piece(name, f"{name}_unit scatter", f"""
+SELECT u.grp, u.i, u.a, s.strength
+FROM {name}_unit u JOIN (SELECT x.grp, sum(x.a * c.m * y.a) AS strength FROM {name}_unit x JOIN scatter c ON c.grp = x.grp AND c.i = x.i
+      JOIN {name}_unit y ON y.grp = x.grp AND y.i = c.j GROUP BY x.grp) s ON s.grp = u.grp
+""")
+
+
+_axis("first_axis", "scatter")
+_piece("scatter_left", "scatter first_axis", """
+SELECT c.grp, c.i, c.j, c.m - x.strength * x.a * y.a AS m
+FROM scatter c JOIN first_axis x ON x.grp = c.grp AND x.i = c.i JOIN first_axis y ON y.grp = c.grp AND y.i = c.j
+""")
+_axis("second_axis", "scatter_left")
+_oracle("project_pca_by_label", "centred first_axis second_axis", """
+SELECT c.grp AS "group", c.id,
+       round(coalesce(sum(c.e * f.a), 0), 4) + 0.0 AS x,
+       round(coalesce(sum(CASE WHEN s.strength > 1e-9 * f.strength THEN c.e * s.a ELSE 0 END), 0), 4) + 0.0 AS y
+FROM centred c LEFT JOIN first_axis f ON f.grp = c.grp AND f.i = c.i LEFT JOIN second_axis s ON s.grp = c.grp AND s.i = c.i
+GROUP BY ALL
+""")
 _oracle("status_latest", "status_log", """
 SELECT uid, arg_max(status, batch_id * 100 + progress) AS status, arg_max(progress, batch_id * 100 + progress) AS progress,
        arg_max(message, batch_id * 100 + progress) AS message

@@ -76,6 +76,13 @@ def test_hot_families_roll_up_alike(spark):
         assert {str(r) for r in rollup(scored, hot_rows=hot_rows).collect()} == plain
 
 
+def test_publications_are_scanned_once_at_full_width(spark, tmp_path):
+    pubs = spark.createDataFrame([pub(f"P{k}", str(k % 7)) for k in range(50)], PATENTS)
+    pubs.write.parquet(str(tmp_path / "patents"))
+    plan = rollup(score(spark.read.parquet(str(tmp_path / "patents"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
 def test_one_family_holds_a_third_of_all_rows(spark):
     pubs = [pub(f"p{i:05}", "hot" if i % 3 == 0 else f"f{i}", number=str(i), apps=[f"n{i % 7}"]) for i in range(3_000)]
     fam = rolled(spark, *pubs, hot_rows=100)
