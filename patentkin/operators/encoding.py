@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -126,10 +128,12 @@ def new_embeddings(encoded: DataFrame, existing: DataFrame) -> DataFrame:
 def mean_pool(tokens: DataFrame) -> DataFrame:
     """(doc, embedding) from a token table (doc, pos, mask, vec).
 
-    The table form of `masked_mean`: partial sums per dimension are taken before the shuffle.
+    The table form of `masked_mean`: vectors stay whole and are summed up in the tasks first, so one
+    row per task and document is shuffled. A masked token weighs next to nothing, and a document
+    without any other has the zero vector.
     """
-    spread = tokens.select("doc", "mask", F.posexplode("vec").alias("dim", "v"))
-    mean = F.sum(F.col("v").cast("double") * F.col("mask")) / F.greatest(F.sum("mask").cast("double"), F.lit(1e-9))
-    pooled = spread.groupBy("doc", "dim").agg(mean.alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "v")))
-    return pooled.groupBy("doc").agg(F.transform(ordered, lambda e: e["v"].cast("float")).alias("embedding"))
+    mask = F.col("mask").cast("double")
+    mean = vector_to_array(Summarizer.mean(array_to_vector("vec"), F.greatest(mask, F.lit(1e-300))))
+    pooled = tokens.groupBy("doc").agg(mean.alias("mean"), F.sum(mask).alias("weight"))
+    share = F.col("weight") / F.greatest("weight", F.lit(1e-9))
+    return pooled.select("doc", F.transform("mean", lambda v: (v * share).cast("float")).alias("embedding"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patentkin.functions.classification import normal_code
-from patentkin.functions.names import name_similarity, normalize_applicant
+from patentkin.functions.names import normalize_applicant
+from patentkin.operators.applicants import similar_names
 from patentkin.operators.encoding import embed
 from patentkin.operators.neighbours import knn_by_vector
 from patentkin.operators.requests import documents
@@ -68,14 +69,16 @@ def mentions(word: str) -> Column:
 def by_assignee(applicant_family: DataFrame, names: list[str], fuzzy: bool = False) -> DataFrame:
     """Families of the named applicants, by equal normal name or by shared trigrams.
 
-    The names are a handful of literals, so every applicant is compared in place, without a join.
+    The trigrams are built once for every distinct applicant, not for each of its families.
     """
-    applicant = F.col("applicant")
-    hit = F.lit(False)
-    for name in names:
-        wanted = normalize_applicant(F.lit(name))
-        hit = hit | ((name_similarity(applicant, wanted) >= FUZZY_THRESHOLD) if fuzzy else (applicant == wanted))
-    return applicant_family.where(hit).select("family_id").distinct()
+    spark = applicant_family.sparkSession
+    given = spark.createDataFrame([(name,) for name in names], "name string")
+    wanted = given.select(normalize_applicant(F.col("name")).alias("name"))
+    if fuzzy:
+        known = applicant_family.select(F.col("applicant").alias("name")).distinct()
+        wanted = similar_names(wanted, known, FUZZY_THRESHOLD).select(F.col("b").alias("name"))
+    wanted = wanted.where("name is not null").distinct()
+    return applicant_family.join(wanted, F.col("applicant") == F.col("name"), "left_semi").select("family_id").distinct()
 
 
 def by_code(index: DataFrame, code: str, depth: str = "exact") -> DataFrame:

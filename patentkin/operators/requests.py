@@ -255,7 +255,8 @@ def nodes(requests: DataFrame) -> DataFrame:
 def whole_number(text: Column) -> Column:
     """A whole number given as 7, 7.0 or "7.0", as the check accepts it; one beyond an int is the largest int."""
     value = F.trim(text).try_cast("double")
-    return F.greatest(F.least(value, F.lit(2.0**31 - 1)), F.lit(-(2.0**31))).cast("int")
+    # least and greatest pass over nulls
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(2.0**31 - 1)), F.lit(-(2.0**31))).cast("int"))
 
 
 def k_of(requests: DataFrame) -> DataFrame:

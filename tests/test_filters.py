@@ -1,8 +1,13 @@
 """Filters that have no column, and documents as seeds."""
 
+import json
+
 import pytest
 
-from patentkin.operators import filters
+from patentkin.operators import filters, job_filters
+from patentkin.operators.applicants import similar_names
+from patentkin.operators.classification import cpc_seeds
+from patentkin.operators.requests import parse_requests
 
 
 @pytest.fixture
@@ -58,3 +63,101 @@ def test_weights_scale_similarity(spark):
     emb = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 2.0])], "id bigint, embedding array<float>")
     rows = {(r["query_id"], r["family_id"]): round(r["similarity"], 6) for r in filters.document_neighbours(docs, emb).collect()}
     assert rows == {(1, 7): 0.5, (2, 8): 1.0, (2, 7): 0.0}
+
+
+def request(uid, *nodes, client="c"):
+    children = [{"node": {"type": "seed_patents", "seeds": {"patentFamilyIds": []}, "filters": f}} for f in nodes]
+    return (uid, client, json.dumps({"v": 1, "type": "hybrid", "children": children}))
+
+
+@pytest.fixture
+def held(spark):
+    rows = [
+        ("1", "A gear", "with teeth", ["1"], ["EP"], "B1", ["Acme Inc"], ["Ann"], "2001-05-05"),
+        ("2", None, "Gearbox", ["2", "3"], None, None, ["Foo Ltd", "ACME Corp"], None, None),
+        ("3", "Pump", "a pump", ["4"], ["EP", "US"], "A1", None, ["Bob", "Ann"], "1999-01-01"),
+        (None, "x", "y", None, ["EP"], "A1", None, None, None),
+    ]
+    schema = "family_id string, title string, abstract string, family_members array<string>, family_authorities array<string>, rep_kind string, applicants array<string>, inventors array<string>, d string"
+    fam = spark.createDataFrame(rows, schema)
+    day = fam["d"].cast("date")
+    fam = fam.withColumns({"first_application_pub_date": day, "first_grant_pub_date": day}).drop("d")
+    index = spark.createDataFrame([("1", "F16H"), ("1", "F16"), ("3", "A01B")], "family_id string, code string")
+    lists = spark.createDataFrame([("c", "2", 7), ("d", "3", 7), ("c", "9", 7)], "client_uid string, patent_family_id string, list_uid long")
+    return fam, index, lists
+
+
+@pytest.mark.parametrize(
+    "nodes, kept",
+    [
+        ([], "1 2 3 9"), ([{}], "1 2 3 9"), ([{"authority": []}], "1 2 3 9"),
+        ([{"authority": ["EP"]}], "1 3"), ([{"authority": ["US", "XX"]}], "3"), ([{"kindCodes": ["A1", "B1"]}], "1 3"),
+        ([{"assignee": {"include": ["The ACME Holdings"]}}], "1 2"), ([{"assignee": {"exclude": ["Acme", "nobody"]}}], "3 9"),
+        ([{"assignee": {"include": ["Acmee"], "fuzzy": True}}], "1 2"), ([{"assignee": {"include": ["Acmee"]}}], ""),
+        ([{"inventor": {"include": ["Ann"], "exclude": ["Bob"]}}], "1"), ([{"applicant": {"exclude": ["Foo Ltd"]}}], "1 3 9"),
+        ([{"cpcInclude": ["F16", "A01B"], "cpcExclude": ["F16H"]}], "3"), ([{"collections": ["7"]}], "2 9"),
+        ([{"familySize": {"min": "2.0"}}], "2"), ([{"familySize": {"max": 1}}], "1 3"),
+        ([{"textMustContain": ["GEAR", "e"]}], "1 2"), ([{"textMustNotContain": ["gear"]}], "3 9"),
+        ([{"date": {"from": "2000-01-01", "to": None}}], "1"), ([{"date": {"field": "grant", "to": "1999-01-01"}}], "3"),
+        ([{"date": {"field": "grant"}}], "1 3"), ([{"authority": ["EP"]}, {"inventor": {"include": ["Bob"]}}], "3"),
+        ([{"authority": ["EP"]}, {"authority": ["US"]}, {"textMustNotContain": ["pump"]}], ""),
+    ],
+)
+def test_filters_of_a_job(spark, held, nodes, kept):
+    fam, index, lists = held
+    jobs = spark.createDataFrame([request("j", *nodes), request("free"), request("none", {"kindCodes": ["Q"]})], "job_uid string, client_uid string, search_vectors string")
+    requests = job_filters.check_filters(parse_requests(jobs))
+    rows = [(j, i) for j in ("j", "free", "none") for i in (1, 2, 3, 9)] + [("j", 1)]
+    candidates = spark.createDataFrame(rows, "job_uid string, family_id bigint")
+    found = job_filters.passing(candidates, job_filters.conditions(requests), fam, index, lists).collect()
+    assert sorted((r["job_uid"], r["family_id"]) for r in found) == sorted(
+        [("free", i) for i in (1, 2, 3, 9)] + [("j", int(i)) for i in kept.split()]
+    )
+
+
+def test_filters_that_no_table_answers_are_errors_of_their_job(spark):
+    given = {
+        "a": {"status": ["granted"]}, "b": {"citationCount": {"max": 3}}, "c": {"date": {"field": "priority"}},
+        "d": {"date": {"from": "soon"}}, "e": {"language": ["en"]}, "f": {"language": [], "citationCount": {}},
+    }
+    jobs = spark.createDataFrame([request(uid, {}, f) for uid, f in given.items()], "job_uid string, client_uid string, search_vectors string")
+    found = {r["job_uid"]: r["error"] for r in job_filters.check_filters(parse_requests(jobs)).collect()}
+    assert found == {
+        "a": "Unsupported filter: no column holds status", "b": "Unsupported filter: no column holds citationCount",
+        "c": "Unsupported filter: no column holds the priority date", "d": "Unsupported filter: filters.date.from: no date",
+        "e": "Unsupported filter: no column holds language", "f": None,
+    }
+
+
+def test_depths_of_many_codes_in_one_join(spark):
+    index = spark.createDataFrame(
+        [("1", "F"), ("1", "F16"), ("1", "F16H"), ("1", "F16H4/00"), ("1", "F16H4/12"), ("2", "F16"), ("2", "F"), ("3", "F16H"), ("3", "F16H40/00")],
+        "family_id string, code string",
+    )
+    codes = ["F16H", "f16h", "f 16h", "F", "F16", "F16H4/00", "F16H40/00", "G", ""]
+    asked = spark.createDataFrame([(f"{c}|{d}", c, d) for c in codes for d in ("exact", "subtree", "children")], "job_uid string, code string, depth string")
+    found = {}
+    for r in cpc_seeds(asked, index).collect():
+        found.setdefault(r["job_uid"], set()).add(r["family_id"])
+    for c in codes:
+        for d in ("exact", "subtree", "children"):
+            if c:
+                assert found.get(f"{c}|{d}", set()) == {r["family_id"] for r in filters.by_code(index, c, d).collect()}
+
+
+def test_similar_names(spark):
+    names = ["acme", "acme corp", "acme gears", "zzz", "kyoto robotics", "kyoto robotic", "robotics kyoto", "", "--", None, "a"]
+    table = spark.createDataFrame([(n,) for n in names + names], "name string")
+
+    def grams(name):
+        return {f"  {w} "[k : k + 3] for w in name.replace("-", " ").split() for k in range(len(w) + 1)}
+
+    for threshold in (0.3, 0.6, 1.0):
+        wanted = {}
+        for a in names:
+            for b in names:
+                if a and b and grams(a) and grams(b):
+                    share = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+                    if share >= threshold:
+                        wanted[a, b] = round(share, 9)
+        assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in similar_names(table, table, threshold).collect()} == wanted

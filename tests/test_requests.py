@@ -151,3 +151,15 @@ def test_large_documents_come_in_parts(spark):
     found = [int(i["family_id"]) for r in rows for i in json.loads(r["output"])["items"]]
     assert found == list(range(1_000))
     assert max(len(json.loads(r["output"])["items"]) for r in rows) <= 300
+
+
+def test_jobs_without_a_depth_have_the_default(spark):
+    def request(*nodes):
+        return json.dumps({"v": 1, "type": "hybrid", "children": [{"node": n} for n in nodes]})
+
+    seeds, docs = {"type": "seed_patents", "seeds": {}}, {"type": "seed_docs", "docs": [{"title": "t"}]}
+    rows = [("a", request(seeds)), ("b", request({**seeds, "k": None}, {**seeds, "k": 7.0})), ("c", request({**seeds, "k": -3})), ("d", request(docs))]
+    jobs = spark.createDataFrame([(uid, "c", text) for uid, text in rows], "job_uid string, client_uid string, search_vectors string")
+    parsed = req.parse_requests(jobs)
+    assert {r["job_uid"]: r["k"] for r in req.k_of(parsed).collect()} == {"a": 200, "b": 7, "c": 200, "d": 200}
+    assert [r["k"] for r in req.documents(parsed).collect()] == [200]
