@@ -10,6 +10,7 @@ from patentkin.operators.skew import cut_lineage
 
 #: Characters of the sample for each class; what the fits hold on the driver is a multiple of it.
 SAMPLE_CHARS = 16 * 2**20
+STRETCHES = 16
 
 
 def fair_length(lengths: list[int], total: int) -> int:
@@ -22,6 +23,16 @@ def fair_length(lengths: list[int], total: int) -> int:
     return max(lengths, default=0)
 
 
+def spread(text: Column, length: Column) -> Column:
+    """`text`, or of one longer than `length` so many characters in STRETCHES stretches from its beginning to its end."""
+    n = F.char_length(text)
+    each = F.floor(length / STRETCHES).cast("int")
+    step = F.floor((n - each) / (STRETCHES - 1)).cast("int")
+    last = (length - (STRETCHES - 1) * each).cast("int")
+    parts = [F.substr(text, (k * step + 1).cast("int"), each) for k in range(STRETCHES - 1)]
+    return F.when(n <= length, text).otherwise(F.concat(*parts, F.substr(text, n - last + 1, last)))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, column: str, learned_from: Column, each: int, chars: int = SAMPLE_CHARS
 ) -> DataFrame:
@@ -30,7 +41,8 @@ def labelled_sample(
     Repeated labels of an id are averaged and rounded up. The chosen ids are at most 2 x each, so
     they are broadcast. Of several rows of an id the least text stands for it. Where the texts of
     a class have more than `chars` characters together, and so more than half as many words, the
-    longest are cut, all to one length, the greatest that fits; it is for the fit only.
+    longest are thinned, all to one length, the greatest that fits: stretches from all over the text
+    stay, its end included. That is for the fit only.
     """
     known = labels.where(F.col(column).isin(0, 1) & learned_from).groupBy("doc_id").agg(F.avg(column).alias("a"))
     known = known.select("doc_id", F.when(F.col("a") >= 0.5, 1).otherwise(0).alias("label"))
@@ -43,4 +55,4 @@ def labelled_sample(
     for r in rows.select("label", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).collect():
         lengths[r["label"]].append(r["n"])
     most = F.when(F.col("label") == 1, fair_length(lengths[1], chars)).otherwise(fair_length(lengths[0], chars))
-    return rows.select("doc_id", F.substring("text", F.lit(1), most).alias("text"), "label")
+    return rows.select("doc_id", spread(F.col("text"), most.cast("int")).alias("text"), "label")

@@ -235,3 +235,18 @@ def test_queries_read_whole_tables(spark):
     assert QUERIES["op11_token_counts"](spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
     found = QUERIES["op13_embedding_whitening"](spark, folder)
     assert dict(found.dtypes)["deviation"] == "bigint" and found.where("deviation is null").count() == 0
+
+
+def test_long_texts_are_thinned_over_their_whole_length(spark):
+    from patentkin.llm.labelled import STRETCHES, spread
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(0x4E00 + k) for k in range(5_000))
+    rows = [(text, n) for n in (0, 1, 15, 16, 17, 100, 4_999, 5_000, 9_000)] + [("", 5), (None, 5)]
+    found = spark.createDataFrame(rows, "text string, n int").select("text", "n", spread(F.col("text"), F.col("n")).alias("s")).collect()
+    for r in found:
+        assert (r["s"] is None) if r["text"] is None else len(r["s"]) == min(len(r["text"]), r["n"])
+    held = next(r["s"] for r in found if r["n"] == 100)
+    places = [ord(c) - 0x4E00 for c in held]
+    assert places[0] == 0 and places[-1] == 4_999 and places == sorted(places)
+    assert all(any(low <= p < low + 2 * 5_000 // STRETCHES for p in places) for low in range(0, 4_400, 200))
