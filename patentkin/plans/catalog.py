@@ -527,6 +527,18 @@ def landscape_output(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def landscape_output_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of documents in parts of 50 items, at their places, with coordinates as given to them."""
+    items = run_jobs(_jobs(spark, sf), _tables(spark, sf)).items
+    given = items.withColumns({"x": F.col("family_id").cast("double") / 8, "y": F.length("title").cast("double")})
+    kind = "array<struct<family_id:string,x:double,y:double>>"
+    read = land.to_output(given, max_items=50).withColumn("items", F.from_json("output", f"v int, items {kind}")["items"])
+    return read.select("job_uid", "part", "parts", "neighbor_count", F.posexplode("items").alias("place", "i")).select(
+        "job_uid", "part", "parts", "neighbor_count", "place", "i.*"
+    )
+
+
 @_query
 def landscape_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Number of items per document, read back from its JSON text."""

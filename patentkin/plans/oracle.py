@@ -421,6 +421,12 @@ FROM final_errors e LEFT JOIN (
   SELECT job_uid, count(*) AS n, string_agg(family_id || ':' || is_seed || ':' || title, '|' ORDER BY family_id::BIGINT) AS items
   FROM items GROUP BY job_uid) d USING (job_uid)
 """)
+_oracle("landscape_output_parts", "items", """
+SELECT job_uid, ((n - 1) // 50)::INT AS part, ceil(total / 50)::INT AS parts, total AS neighbor_count, ((n - 1) % 50)::INT AS place,
+       family_id, family_id::DOUBLE / 8 AS x, length(title)::DOUBLE AS y
+FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY family_id::BIGINT) AS n, count(*) OVER (PARTITION BY job_uid) AS total
+      FROM items)
+""")
 _oracle("landscape_sizes", "items", """
 SELECT job_uid, count(*) AS neighbor_count, count(*)::INT AS items, min(family_id::BIGINT)::VARCHAR AS first_family_id, 1 AS v
 FROM items GROUP BY job_uid
