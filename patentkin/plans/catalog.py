@@ -514,6 +514,13 @@ def landscape_document_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("job_uid", "family_id", "title", "is_seed")
 
 
+@_query
+def landscape_item_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """How many stored items each client has, and of how many jobs."""
+    items = run_jobs(_jobs(spark, sf), _tables(spark, sf)).items
+    return items.groupBy("client_uid").agg(F.count("*").alias("items"), F.count_distinct("job_uid").alias("jobs"))
+
+
 @_query
 def landscape_output(spark: SparkSession, sf: str) -> DataFrame:
     """Items of every document in their order, read back from its JSON text, and whether `neighbors` equals `items`."""

@@ -413,6 +413,10 @@ _oracle("job_without_seeds", "final_errors", """
 SELECT job_uid, error FROM final_errors WHERE error LIKE 'No seed%'
 """)
 _oracle("landscape_items", "items", "SELECT job_uid, family_id, title, is_seed FROM items")
+_oracle("landscape_item_owners", "items jobs", """
+SELECT client_uid, count(*) AS items, count(DISTINCT job_uid) AS jobs
+FROM items JOIN (SELECT job_uid, client_uid FROM jobs) USING (job_uid) GROUP BY client_uid
+""")
 _oracle("landscape_output", "items final_errors", """
 SELECT e.job_uid AS uid, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END AS status, error AS message,
        CASE WHEN error IS NULL THEN 0 END AS part, CASE WHEN error IS NULL THEN 1 END AS parts,

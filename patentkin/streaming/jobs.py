@@ -15,7 +15,7 @@ from patentkin.plans.landscape import Tables, run_jobs
 from patentkin.sources.tables import JOBS
 from patentkin.streaming.sink import Committed, batch_folder, commit, compact, run_of, stored_rows
 
-ITEMS = "job_uid string, family_id string, title string, x double, y double, is_seed boolean"
+ITEMS = "job_uid string, family_id string, title string, x double, y double, is_seed boolean, client_uid string"
 STATUS = "uid string, status string, progress int, message string"
 RESULTS = f"{STATUS}, part int, parts int, output string, neighbor_count bigint"
 CHANGE = "uid string, commit_seq bigint, created_at timestamp, search_vectors string, client_uid string"
