@@ -24,12 +24,13 @@ PLACE_RULES = [
     ("block", "com", "/de/"),
 ]
 #: Rules for URLs that no host and path rule fits: (verdict, regular expression, literal tokens of every match).
+#: A rule of several words is one rule for each, so that each has its token. Two look for a part of a token and have none.
 PATTERN_RULES = [
     ("block", r"(?:^|\.)ads?\d*\.[^/]*", []),
     ("block", r"[?&]utm_source=ads?(?:&|$)", ["utm", "source"]),
-    ("block", r"/(?:login|signin|logout)(?:[/?]|$)", []),
+    *[("block", rf"/{word}(?:[/?]|$)", [word]) for word in ("login", "signin", "logout")],
     ("block", r"/cart/checkout(?:[/?]|$)", ["cart", "checkout"]),
-    ("block", r"\.(?:exe|zip|iso|apk)(?:[?]|$)", []),
+    *[("block", rf"\.{end}(?:[?]|$)", [end]) for end in ("exe", "zip", "iso", "apk")],
     ("block", r"^[^/]*casino[^/]*/", []),
 ]
 _TOKEN = "[^a-z0-9]+"
