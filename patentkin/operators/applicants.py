@@ -55,12 +55,13 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     counts = cut_lineage(listed.groupBy("gram").agg(F.count("*").alias("n")))
     ranked = listed.join(counts, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
     size = F.size("ranked")
-    prefix = F.slice("ranked", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
+    least = threshold - 1e-9  # of products, for their last bit
+    prefix = F.slice("ranked", F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))
     posted = ranked.select("name", size.alias("size"), F.explode(prefix).alias("p")).select("name", "size", F.col("p.gram").alias("gram"))
     posted = cut_lineage(posted.join(sets.select("name", "in_left", "in_right"), "name"))
     a = posted.where("in_left").select("gram", F.col("name").alias("a"), F.col("size").alias("a_size"))
     b = posted.where("in_right").select("gram", F.col("name").alias("b"), F.col("size").alias("b_size"))
-    near = (F.col("a_size") >= F.col("b_size") * threshold) & (F.col("b_size") >= F.col("a_size") * threshold)
+    near = (F.col("a_size") >= F.col("b_size") * least) & (F.col("b_size") >= F.col("a_size") * least)
     pairs = a.join(b, "gram").where(near).select("a", "b").distinct()
     with_sets = pairs.join(sets.select(F.col("name").alias("a"), F.col("grams").alias("a_grams")), "a").join(
         sets.select(F.col("name").alias("b"), F.col("grams").alias("b_grams")), "b"
