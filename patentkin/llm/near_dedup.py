@@ -20,10 +20,9 @@ about 0.99997; it grows quickly with the similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,38 +163,82 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _open_between(members: pd.DataFrame) -> np.ndarray:
+def _open_between(side: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Which pairs of a cell are to be compared here: of different components, and not of one side only."""
-    side = members["side"].to_numpy()
-    _, component = np.unique(members["component"].to_numpy(), return_inverse=True)
     open_ = component[:, None] != component[None, :]
     return open_ & ((side[:, None] <= 1) & (side[None, :] >= 1) | (side[:, None] >= 1) & (side[None, :] <= 1))
 
 
-def _colliding(members: pd.DataFrame) -> pd.DataFrame:
-    """The members of one cell that have THRESHOLD or more coordinates in common with one they are to be compared with."""
-    marks = np.frombuffer(b"".join(members["marks"]), dtype=np.uint16).reshape(len(members), COORDINATES)
-    open_ = _open_between(members)
-    hit = np.zeros(len(members), dtype=bool)
-    for low in range(0, len(members), 64):
-        equal = np.zeros((len(marks[low : low + 64]), len(members)), dtype=np.uint8)
-        for k in range(COORDINATES):
-            equal += marks[low : low + 64, k, None] == marks[None, :, k]
-        hit[low : low + 64] = ((equal >= THRESHOLD) & open_[low : low + 64]).any(axis=1)
-    return members.loc[hit, ["key", "i", "j", "side", "node", "component"]]
-
-
-def _cell_pairs(percent: int):
-    def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Links of different components, on full sets, that connect what the members of one cell connect."""
-        node = members["node"].to_numpy()
-        sets = [np.asarray(x) for x in members["shingles"]]
-        sizes = np.array([len(s) for s in sets], dtype=np.float64)
-        both = overlaps(sets)
-        either = sizes[:, None] + sizes[None, :] - both
-        pairs = _forest(_open_between(members) & (100 * both >= percent * either))
-        i, j = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
-        return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+def _in_cells(cells: DataFrame, work: Callable[[pa.Table, list[int]], pa.RecordBatch], schema: str) -> DataFrame:
+    """`work` on the rows of whole cells, many small ones at a time: it gets a table and where its cells begin and end.
+
+    A cell has two blocks at most, so a task holds that and one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            new = np.zeros(table.num_rows, dtype=bool)
+            for name in ("key", "i", "j"):
+                value = table[name].to_numpy()
+                new[1:] |= value[1:] != value[:-1]
+            bounds = [0, *np.flatnonzero(new).tolist()]
+            # the last cell may go on in the next batch
+            if len(bounds) > 1:
+                yield work(table.slice(0, bounds[-1]).combine_chunks(), bounds)
+            rest = table.slice(bounds[-1])
+        if rest is not None:
+            yield work(rest.combine_chunks(), [0, rest.num_rows])
+
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return table["side"].to_numpy(), component
+
+
+def _colliding(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+    """The members of cells that have THRESHOLD or more coordinates in common with one they are to be compared with."""
+    marks = np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
+    side, component = _sides(table)
+    hit = np.zeros(table.num_rows, dtype=bool)
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        open_ = _open_between(side[low:high], component[low:high])
+        if not open_.any():
+            continue
+        own = marks[low:high]
+        rows = max(1, 2**20 // (COORDINATES * len(own)))
+        for at in range(0, len(own), rows):
+            equal = (own[at : at + rows, None, :] == own[None, :, :]).sum(axis=2, dtype=np.uint8)
+            hit[low + at : low + at + len(equal)] = ((equal >= THRESHOLD) & open_[at : at + rows]).any(axis=1)
+    kept = table.filter(pa.array(hit)).select(["key", "i", "j", "side", "node", "component"]).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.column_names)
+
+
+def _cell_pairs(percent: int) -> Callable[[pa.Table, list[int]], pa.RecordBatch]:
+    def run(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        """Links of different components, on full sets, that connect what the members of each cell connect."""
+        node = table["node"].combine_chunks()
+        column = table["shingles"].combine_chunks()
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False)
+        side, component = _sides(table)
+        pairs: list[tuple[int, int]] = []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            open_ = _open_between(side[low:high], component[low:high])
+            if not open_.any():
+                continue
+            sets = [values[offsets[k] : offsets[k + 1]] for k in range(low, high)]
+            sizes = np.array([len(s) for s in sets], dtype=np.float64)
+            both = overlaps(sets)
+            either = sizes[:, None] + sizes[None, :] - both
+            pairs += [(low + i, low + j) for i, j in _forest(open_ & (100 * both >= percent * either))]
+        ends = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([node.take(ends[0]), node.take(ends[1])], ["a", "b"])
 
     return run
 
@@ -227,9 +270,9 @@ def _open_pairs(postings: DataFrame, sigs: DataFrame, sets: DataFrame, tied: Dat
         "node", "component", "marks",
     )
     schema = f"key long, i int, j int, side int, node {kind}, component {kind}"
-    colliding = cut_lineage(cells.groupBy("key", "i", "j").applyInPandas(_colliding, schema))
-    with_sets = colliding.join(sets, "node")
-    return with_sets.groupBy("key", "i", "j").applyInPandas(_cell_pairs(percent), f"a {kind}, b {kind}").distinct()
+    colliding = cut_lineage(_in_cells(cells, _colliding, schema))
+    found = _in_cells(colliding.join(sets, "node"), _cell_pairs(percent), f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -112,21 +112,26 @@ def test_one_row_of_a_kept_document_stays(spark):
 def test_cells_find_what_connects(monkeypatch):
     sets = [np.arange(k, k + 100, dtype=np.uint32) for k in (0, 2, 4, 300, 302, 900)]
     assert near_dedup.overlaps(sets)[0][1:].tolist() == [98, 96, 0, 0, 0]
-    import pandas as pd
+    pairs = near_dedup._cell_pairs(80)(cell_table(sets), [0, 6]).to_pylist()
+    assert len(pairs) == 3 and {(p["a"], p["b"]) for p in pairs} <= {(0, 1), (0, 2), (1, 2), (3, 4)}
+    # two cells of three: nothing goes from one to the other
+    pairs = near_dedup._cell_pairs(80)(cell_table(sets), [0, 2, 6]).to_pylist()
+    assert {(p["a"], p["b"]) for p in pairs} == {(0, 1), (3, 4)}
 
-    cell = pd.DataFrame({"node": range(6), "component": range(6), "side": 1, "short": [s.tobytes() for s in sets]})
-    pairs = near_dedup._cell_pairs(80)(cell)
-    assert len(pairs) == 3 and set(map(tuple, pairs.to_numpy())) <= {(0, 1), (0, 2), (1, 2), (3, 4)}
 
+def cell_table(sets):
+    return pa.table({
+        "node": list(range(len(sets))), "component": list(range(len(sets))), "side": [1] * len(sets),
+        "shingles": pa.array([s.astype(np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64())),
+    })
 
-def test_cells_of_large_sets_allow_for_collisions():
-    import pandas as pd
 
+def test_cells_of_large_sets_are_exact():
     values = np.random.default_rng(1).integers(0, 2**64, 333_333, dtype=np.uint64)
     sets = [values[:300_000], values[33_333:]]  # 266,667 of 333,333 are common
-    short = [(np.sort(s) >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
-    cell = pd.DataFrame({"node": [0, 1], "component": [0, 1], "side": 1, "short": short})
-    assert near_dedup._cell_pairs(80)(cell).to_numpy().tolist() == [[0, 1]]
+    assert near_dedup._cell_pairs(80)(cell_table(sets), [0, 2]).to_pylist() == [{"a": 0, "b": 1}]
+    less = [values[:299_999], values[33_333:]]
+    assert near_dedup._cell_pairs(80)(cell_table(less), [0, 2]).num_rows == 0
 
 
 def test_components(spark):
