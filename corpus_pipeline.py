@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patentkin.llm import decontaminate, language, line_dedup, near_dedup, packing
 
-#: SQL cannot express the stages; tests hold the run against a brute-force version.
+#: SQL cannot express the stages; a test holds the run against plain versions of all of them.
 ORACLE_SQL = None
 
 
