@@ -7,6 +7,7 @@ import pytest
 
 from patentkin.operators.encoding import embed, masked_mean, mean_pool, new_embeddings, text_windows
 from patentkin.plans.landscape import Tables
+from patentkin.streaming import embedding
 from patentkin.streaming.embedding import start_embedding, stored_embeddings
 from patentkin.sources.tables import JOBS
 from patentkin.streaming.embedding import compact_embeddings
@@ -149,6 +150,22 @@ def test_two_sources_with_two_checkpoints_share_a_sink(spark, tmp_path):
     assert sorted(r["id"] for r in stored_embeddings(spark, sink).collect()) == [1, 2, 3]
 
 
+def test_a_long_run_does_not_open_all_its_folders_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embedding, "FOLD_BATCHES", 2)
+    sink, schema = str(tmp_path / "vectors"), "id bigint, embedding array<float>"
+    stored_ids = embedding._stored_ids(spark, sink)
+    assert stored_ids().count() == 0
+    for batch in range(5):
+        spark.createDataFrame([(batch, [1.0]), (None, [1.0])], schema).coalesce(1).write.parquet(batch_folder(sink, "1", batch))
+        commit(spark, f"{sink}-manifest", "1", batch)
+        ids = stored_ids()
+        rows = [(r["id"], r["run_id"], r["batch_id"]) for r in ids.where("id is not null").collect()]
+        assert sorted(rows) == [(b, "1", b) for b in range(batch + 1)] and ids.count() == 2 * (batch + 1)
+        assert len(ids.inputFiles()) < 2
+    compact_embeddings(spark, sink)
+    assert sorted(r["id"] for r in stored_ids().where("id is not null").collect()) == [0, 1, 2, 3, 4]
+
+
 def test_finished_shards_are_deleted(spark, tmp_path):
     source, sink = tmp_path / "shards", str(tmp_path / "vectors")
     schema = "family_id bigint, title string, abstract string"
