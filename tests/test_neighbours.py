@@ -1,6 +1,7 @@
 """Neighbour search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,21 @@ def test_enrich(spark):
     assert [tuple(e) for e in mine["lists"]] == [(None, None, 1), ("mine", 1, 2)]
     assert not rows["d", 7]["sonar_is_active"] and rows["d", 7]["lists"] is None
     assert rows["c", 8]["title"] is None and not rows["c", 8]["sonar_is_active"]
+
+
+def test_a_search_holds_few_scores_whatever_the_number_of_cells_and_queries(monkeypatch):
+    from patentkin.operators import block_search
+
+    random = np.random.default_rng(5)
+    vectors, held = random.normal(size=(700, 4)), []
+    ids, whole = np.arange(700), block_search._scores
+    monkeypatch.setattr(block_search, "CHUNK_SCORES", 2**12)
+    monkeypatch.setattr(block_search, "_scores", lambda *a: held.append(whole(*a)) or held[-1])
+    open_ = np.full(700, -np.inf)
+    found = list(block_search._search(ids, vectors, np.full(700, 3), open_, [(ids, vectors)], "cosine", 12, True))
+    got = pa.Table.from_batches(found).to_pandas().sort_values(["query_id", "score"], ascending=[True, False])
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    assert got["id"].to_numpy().reshape(700, 3).tolist() == np.argsort(-scores, axis=1)[:, :3].tolist()
+    assert max(s.size for s in held) <= 2**12
