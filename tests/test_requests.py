@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 
+from patentkin.operators import classification
 from patentkin.operators import requests as req
 from patentkin.operators.landscapes import to_output
 from patentkin.plans.landscape import Tables, project_graph, run_jobs
@@ -177,3 +179,20 @@ def test_jobs_without_a_depth_have_the_default(spark):
     parsed = req.parse_requests(jobs)
     assert {r["job_uid"]: r["k"] for r in req.k_of(parsed).collect()} == {"a": 200, "b": 7, "c": 200, "d": 200}
     assert [r["k"] for r in req.documents(parsed).collect()] == [200]
+
+
+def test_code_seeds_in_blocks_and_unshuffled_pairs(spark, monkeypatch):
+    monkeypatch.setattr(classification, "BLOCK_ROWS", 2)
+    index = spark.createDataFrame([(i, "F16H" if i % 2 else "G06F") for i in range(9)] * 2, "family_id bigint, code string")
+    wanted = [(str(j), "F16H") for j in range(5)] + [("x", "F16H"), ("x", "G06F"), ("x", "G06F"), (None, "G06F"), ("none", "A01B")]
+    requested = spark.createDataFrame(wanted, "job_uid string, code string")
+    without = spark.createDataFrame([("0", 1), ("0", 7), ("x", 8), (None, 0), ("1", 2), ("9", 1)], "job_uid string, family_id bigint")
+    expected = {(str(j), i) for j in range(5) for i in (1, 3, 5, 7)} | {("x", i) for i in range(9)} | {(None, i) for i in (0, 2, 4, 6, 8)}
+    found = classification.cpc_seeds(requested, index)
+    assert sorted(map(str, found.collect())) == sorted(map(str, (Row(job_uid=j, family_id=i) for j, i in expected)))
+    left = classification.cpc_seeds(requested, index, without)
+    expected -= {("0", 1), ("0", 7), ("x", 8), (None, 0)}
+    assert sorted(map(str, left.collect())) == sorted(map(str, (Row(job_uid=j, family_id=i) for j, i in expected)))
+    for df in (found, left):
+        above = df._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+        assert "Aggregate" not in above  # the pairs are not made distinct again
