@@ -6,13 +6,15 @@ import numpy as np
 import pytest
 
 from patentkin.operators.encoding import embed, masked_mean, mean_pool, new_embeddings, text_windows
+from patentkin.operators.projection import project_pca
 from patentkin.plans.landscape import Tables
 from patentkin.streaming import embedding
 from patentkin.streaming.embedding import start_embedding, stored_embeddings
 from patentkin.sources.tables import JOBS
 from patentkin.streaming.embedding import compact_embeddings
 from patentkin.streaming.jobs import (
-    compact_jobs, current_items, current_results, current_status, latest_record, latest_status, newest_rows, read_jobs, start_jobs,
+    compact_jobs, current_items, current_results, current_status, latest_record, latest_status, newest_changes, newest_rows, read_jobs,
+    start_jobs,
 )
 from patentkin.streaming.sink import batch_folder, commit, committed, run_of
 
@@ -89,6 +91,38 @@ def test_late_changes_and_failed_runs(spark, tmp_path, tables):
     assert {r["uid"]: r["status"] for r in current_status(spark, sink).collect()} == status
 
 
+def test_a_batch_costs_no_python_per_job_and_runs_with_adaptive_execution(spark, tmp_path, tables):
+    source, adaptive = tmp_path / "records", []
+    put(source, "1.json", record("a", ["1"]), record("b", ["2"]))
+    records = read_jobs(spark, str(source))
+    assert "Pandas" not in newest_changes(records)._jdf.queryExecution().logical().toString()
+
+    def project(vectors):
+        adaptive.append(vectors.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return project_pca(vectors)
+
+    start_jobs(records, str(tmp_path / "sink"), str(tmp_path / "checkpoint"), lambda: tables, project).awaitTermination()
+    assert adaptive == ["true"]
+
+
+def test_changes_without_a_number(spark, tmp_path):
+    source, seen = tmp_path / "records", []
+
+    def run(*records):
+        put(source, f"{len(seen)}.json", *records)
+        rows = []
+        query = newest_changes(read_jobs(spark, str(source))).writeStream.outputMode("update")
+        query = query.foreachBatch(lambda batch, _: rows.extend(batch.collect()))
+        query.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        seen.append(rows)
+        return {r["uid"]: json.loads(r["search_vectors"])["children"][0]["node"]["seeds"]["patentFamilyIds"] for r in rows}
+
+    day = "2024-01-0{}T00:00:00".format
+    assert run(record("a", ["1"], created=day(2)), record("a", ["2"], created=day(1)), record("n", ["1"], created=None)) == {"a": ["1"], "n": ["1"]}
+    assert run(record("a", ["0"], created=day(2)), record("n", ["0"], created=None)) == {"a": ["0"], "n": ["0"]}
+    assert run(record("a", ["3"], created=day(1)), record("b", ["3"], created=day(1))) == {"b": ["3"]}
+
+
 def test_batches_without_an_entry_are_not_read(spark, tmp_path):
     sink, schema = str(tmp_path / "vectors"), "id bigint, embedding array<float>"
     for run, batch in (("1", 0), ("1", 1), ("2", 0)):
