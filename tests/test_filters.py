@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from patentkin.operators.neighbours import knn_by_vector
 from patentkin.operators import filters, job_filters
 from patentkin.operators.applicants import similar_names
 from patentkin.operators.classification import cpc_seeds
@@ -162,3 +163,21 @@ def test_similar_names(spark):
                     if share >= threshold:
                         wanted[a, b] = round(share, 9)
         assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in similar_names(table, table, threshold).collect()} == wanted
+
+
+def test_equal_documents_are_searched_once(spark, monkeypatch):
+    asked = []
+
+    def spy(queries, emb, *rest):
+        asked.append(queries.count())
+        return knn_by_vector(queries, emb, *rest)
+
+    monkeypatch.setattr(filters, "knn_by_vector", spy)
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "id bigint, embedding array<float>")
+    rows = [("a", 1, 1.0, 1, [1.0, 0.0]), ("b", 2, 0.5, 3, [1.0, 0.0]), ("c", 3, 1.0, 1, [0.0, 1.0]), ("d", 4, 1.0, 1, None)]
+    docs = spark.createDataFrame(rows, "job_uid string, query_id bigint, weight double, k int, embedding array<float>")
+    found = filters.document_neighbours(docs, emb).collect()
+    assert sorted((r["job_uid"], r["query_id"], r["family_id"], round(r["similarity"], 6)) for r in found) == [
+        ("a", 1, 1, 1.0), ("b", 2, 1, 0.5), ("b", 2, 2, 0.0), ("b", 2, 3, -0.5), ("c", 3, 2, 1.0),
+    ]
+    assert asked == [3]
