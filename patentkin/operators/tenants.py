@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patentkin.operators.skew import broadcast_if_small, cut_lineage
 
 KEYS = ["client_uid", "patent_family_id"]
+PART_ROWS = 250_000
 
 
 def active_sonars(sonars: DataFrame) -> DataFrame:
@@ -20,11 +23,16 @@ def list_memberships(lists: DataFrame, list_items: DataFrame) -> DataFrame:
 
     An item on another client's list keeps its place with an empty name and uid. An entry carries
     how often it occurs, so a group has one entry per list of the client, however many items.
+
+    Both shuffles have as many partitions as the items fill at PART_ROWS rows, so a task groups no more, whatever the
+    number of items; left to adaptive execution a partition would be filled by its compressed bytes.
     """
+    list_items = list_items.select(*KEYS, "list_uid")
+    parts = max(1, math.ceil(list_items.count() / PART_ROWS))
     own = lists.select(F.col("uid").alias("list_uid"), "client_uid", "name", F.col("uid").alias("own_uid"))
-    items = list_items.groupBy(*KEYS, "list_uid").agg(F.count("*").alias("n"))
+    items = list_items.repartition(parts, *KEYS, "list_uid").groupBy(*KEYS, "list_uid").agg(F.count("*").alias("n"))
     entries = (
-        items.join(own, ["list_uid", "client_uid"], "left")
+        items.join(broadcast_if_small(own), ["list_uid", "client_uid"], "left").repartition(parts, *KEYS)
         .groupBy(*KEYS, "name", "own_uid")
         .agg(F.sum("n").alias("times"))
     )

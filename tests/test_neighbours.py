@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from patentkin.operators import tenants
 from patentkin.operators import block_search, metric_index
 from patentkin.operators import neighbours as near
 from patentkin.operators.metric_index import build_index, visits
@@ -213,3 +214,13 @@ def test_a_search_holds_few_scores_whatever_the_number_of_cells_and_queries(monk
     np.fill_diagonal(scores, -np.inf)
     assert got["id"].to_numpy().reshape(700, 3).tolist() == np.argsort(-scores, axis=1)[:, :3].tolist()
     assert max(s.size for s in held) <= 2**12
+
+
+def test_memberships_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tenants, "PART_ROWS", 10)
+    lists = spark.createDataFrame([(1, "c", "one"), (2, "d", "two")], "uid bigint, client_uid string, name string")
+    items = spark.createDataFrame([(1 + i % 2, str(i // 4), "c") for i in range(95)], "list_uid bigint, patent_family_id string, client_uid string")
+    held = tenants.list_memberships(lists, items)
+    assert held.rdd.getNumPartitions() == 10
+    rows = {r["patent_family_id"]: [tuple(e) for e in r["lists"]] for r in held.collect()}
+    assert len(rows) == 24 and rows["0"] == [(None, None, 2), ("one", 1, 2)] and rows["23"] == [(None, None, 1), ("one", 1, 2)]
