@@ -2,12 +2,15 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
 from patentkin.operators import classification
+from patentkin.operators import landscapes as land
 from patentkin.operators import requests as req
 from patentkin.operators.landscapes import to_output
+from patentkin.plans import landscape
 from patentkin.plans.landscape import Tables, project_graph, run_jobs
 
 
@@ -196,3 +199,86 @@ def test_code_seeds_in_blocks_and_unshuffled_pairs(spark, monkeypatch):
     for df in (found, left):
         above = df._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
         assert "Aggregate" not in above  # the pairs are not made distinct again
+
+
+def _plain_jobs(wanted, vectors, codes):
+    """{(job, family): is_seed} of jobs {job: (k, ids, negatives, code)} by plain loops."""
+    def nearest(seed, k):
+        if seed not in vectors:
+            return []
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+        order = sorted((i for i in vectors if i != seed), key=lambda i: (-round(float(unit[seed] @ unit[i]), 4), i))
+        return order[:k]
+
+    items = {}
+    for job, (k, ids, negatives, code) in wanted.items():
+        seeds = (set(ids) | {f for f, c in codes if c == code}) - set(negatives)
+        found = {f for s in seeds for f in nearest(s, k)} - seeds
+        items |= {(job, str(f)): True for f in seeds} | {(job, str(f)): False for f in found}
+    return items
+
+
+@pytest.fixture(scope="module")
+def alike_jobs(spark):
+    """Sixty jobs of two code classes, some with ids and negatives inside and outside their class, and jobs without codes."""
+    rng = np.random.default_rng(5)
+    vectors = {i: [round(float(x), 3) for x in rng.normal(size=4)] for i in range(60) if i % 7}
+    codes = [(i, "A") for i in range(0, 60, 3)] + [(i, "B") for i in range(0, 60, 5)]
+    wanted = {}
+    for j in range(66):
+        code = ("A", "B", None)[min(j // 30, 2)]
+        ids = [int(x) for x in rng.integers(0, 60, 2)] if j % 2 or code is None else []
+        negatives = [int(x) for x in rng.choice(60, 1 + j % 9, replace=False)] if j % 3 == 0 else []
+        wanted[f"j{j}"] = (2 + (j % 2 if code == "B" else 0), ids, negatives, code)
+    jobs = [
+        (job, "c", json.dumps(request(patents(*map(str, ids), k=k, negative=list(map(str, negatives))), *([cpc(code)] if code else []))))
+        for job, (k, ids, negatives, code) in wanted.items()
+    ]
+    tables = Tables(
+        spark.createDataFrame([(str(i), f"t{i}") for i in range(60)], "family_id string, title string"),
+        spark.createDataFrame([(str(f), c) for f, c in codes], "family_id string, code string"),
+        spark.createDataFrame(list(vectors.items()), "id long, embedding array<double>"),
+    )
+    return spark.createDataFrame(jobs, "job_uid string, client_uid string, search_vectors string"), tables, _plain_jobs(wanted, vectors, codes)
+
+
+@pytest.mark.parametrize("shared_rows", [4096, 5])
+def test_jobs_of_one_class_with_families_of_their_own(alike_jobs, shared_rows):
+    jobs, tables, wanted = alike_jobs
+    out = run_jobs(jobs, tables, shared_rows=shared_rows)
+    rows = out.items.collect()
+    assert len(rows) == len(wanted) and {(r["job_uid"], r["family_id"]): r["is_seed"] for r in rows} == wanted
+    assert all(r["title"] == f"t{r['family_id']}" and r["client_uid"] == "c" for r in rows)
+    told = {r["uid"]: r["message"] for r in out.status.where("progress = 55").collect()}
+    for job in {j for j, _ in wanted}:
+        near = sum(1 for (j, _), seed in wanted.items() if j == job and not seed)
+        bare = sum(1 for (j, f), seed in wanted.items() if j == job and seed and int(f) % 7 == 0)
+        assert told[job] == f"Aggregated {near} unique neighbors, {bare} seeds without vector"
+
+
+def test_maps_of_classes_equal_maps_of_jobs(alike_jobs):
+    jobs, tables, _ = alike_jobs
+    by_class, by_job = ({(r["job_uid"], r["family_id"]): (r["x"], r["y"]) for r in run_jobs(jobs, tables, shared_rows=n).items.collect()} for n in (5, 4096))
+    assert by_class.keys() == by_job.keys()
+    assert max(abs(a - b) for key in by_job for a, b in zip(by_class[key], by_job[key])) < 1e-8
+
+
+def test_neighbours_are_merged_once_per_class(alike_jobs, monkeypatch):
+    jobs, tables, _ = alike_jobs
+    merged = []
+    monkeypatch.setattr(landscape, "best_neighbours", lambda near, seeds: merged.append(near.count()) or land.best_neighbours(near, seeds))
+    only = jobs.where("job_uid in ('j2', 'j4', 'j8', 'j10', 'j14', 'j16', 'j20', 'j22', 'j26', 'j28')")
+    landscape.run_jobs(only, tables)
+    assert sum(merged) <= 2 * 20  # k neighbours of the families of one code, however many jobs ask for it
+
+
+def test_only_jobs_of_several_parts_are_numbered(spark, monkeypatch):
+    numbered = []
+    monkeypatch.setattr(land, "numbered_items", lambda items, own=land.numbered_items: numbered.append(items.count()) or own(items))
+    rows = [("a", str(i), f"t{i}", 0.0, 0.0, True) for i in (10, 9, 100)] + [("b", str(i), "t", 0.0, 0.0, False) for i in range(12, 0, -1)]
+    items = spark.createDataFrame(rows, "job_uid string, family_id string, title string, x double, y double, is_seed boolean")
+    got = {(r["job_uid"], r["part"]): ([i["family_id"] for i in json.loads(r["output"])["items"]], r["parts"], r["neighbor_count"])
+           for r in to_output(items, max_items=5).collect()}
+    assert got[("a", 0)] == (["9", "10", "100"], 1, 3)
+    assert [got[("b", p)][0] for p in range(3)] == [["1", "2", "3", "4", "5"], ["6", "7", "8", "9", "10"], ["11", "12"]]
+    assert numbered == [12]
