@@ -181,3 +181,23 @@ def test_equal_documents_are_searched_once(spark, monkeypatch):
         ("a", 1, 1, 1.0), ("b", 2, 1, 0.5), ("b", 2, 2, 0.0), ("b", 2, 3, -0.5), ("c", 3, 2, 1.0),
     ]
     assert asked == [3]
+
+
+def test_jobs_with_equal_conditions_are_judged_once(spark, fam, monkeypatch):
+    judged = []
+    own = job_filters._passing
+    monkeypatch.setattr(job_filters, "_passing", lambda pairs, *rest: judged.append(pairs.count()) or own(pairs, *rest))
+    whole = fam.selectExpr(
+        "*", "cast(null as date) first_application_pub_date", "cast(null as date) first_grant_pub_date",
+        "cast(array() as array<string>) inventors", "cast(array() as array<string>) applicants",
+    )
+    index = spark.createDataFrame([], "family_id string, code string")
+    conditions = job_filters.conditions(parse_requests(spark.createDataFrame(
+        [(f"j{n}", f"c{n}", json.dumps({"v": 1, "type": "hybrid", "children": [{"node": {
+            "type": "seed_patents", "seeds": {}, "filters": {"authority": ["EP"]}}}]})) for n in range(20)],
+        "job_uid string, client_uid string, search_vectors string",
+    )))
+    candidates = spark.createDataFrame([(f"j{n}", f) for n in range(21) for f in (1, 2)], "job_uid string, family_id long")
+    got = {tuple(r) for r in job_filters.passing(candidates, conditions, whole, index).collect()}
+    assert got == {(f"j{n}", 1) for n in range(20)} | {("j20", 1), ("j20", 2)}  # the last has no condition
+    assert judged == [2]
