@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patentkin.operators.layout import curve, layout, neighbour_graph
-from patentkin.operators.projection import project_pca
+from patentkin.operators.projection import add_sums, axes_of_jobs, project_pca, vector_sums
 
 
 def points(spark, vectors, groups):
@@ -36,6 +36,25 @@ def test_projection_equals_svd_up_to_sign(spark, chunk_rows):
     assert got[got["group"] == "single"][["x", "y"]].to_numpy().tolist() == [[0.0, 0.0]]
 
 
+@pytest.mark.parametrize("block_rows", [4_096, 3])
+def test_axes_of_jobs_with_changes(spark, block_rows):
+    random = np.random.default_rng(5)
+    vectors = random.normal(size=(60, 70))
+    less, more = {"a": [1, 2], "b": [], "c": [0, 5, 7]}, {"a": [51], "b": [], "c": [50, 52, 53]}
+    base = [("k", i, 1, 50, vectors[i].tolist()) for i in range(50)]
+    whole = add_sums(vector_sums(spark.createDataFrame(base, "group string, id long, sign int, n long, embedding array<double>")))
+    changes = [(j, i, sign, vectors[i].tolist()) for of, sign in ((less, -1), (more, 1)) for j, ids in of.items() for i in ids]
+    jobs = spark.createDataFrame([(j, "k") for j in less], "job_uid string, class string")
+    changes = spark.createDataFrame(changes, "job_uid string, id long, sign int, embedding array<double>")
+    got = {r["group"]: r for r in axes_of_jobs(whole, jobs, changes, block_rows).collect()}
+    assert got.keys() == less.keys()
+    for job, model in got.items():
+        own = vectors[[i for i in range(50) if i not in less[job]] + more[job]]
+        assert np.allclose(model["centre"], own.mean(axis=0), atol=1e-9)
+        xy = (own - own.mean(axis=0)) @ np.array([model["axis_x"], model["axis_y"]]).T
+        assert np.allclose(np.abs(xy), np.abs(svd(own)), atol=1e-7)
+
+
 def test_groups_cut_by_batches(spark):
     random = np.random.default_rng(4)
     groups = [str(i % 11) for i in range(200)]

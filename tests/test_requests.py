@@ -10,6 +10,7 @@ from patentkin.operators import classification
 from patentkin.operators import landscapes as land
 from patentkin.operators import requests as req
 from patentkin.operators.landscapes import to_output
+from patentkin.operators.skew import cut_lineage
 from patentkin.plans import landscape
 from patentkin.plans.landscape import Tables, project_graph, run_jobs
 
@@ -282,3 +283,33 @@ def test_only_jobs_of_several_parts_are_numbered(spark, monkeypatch):
     assert got[("a", 0)] == (["9", "10", "100"], 1, 3)
     assert [got[("b", p)][0] for p in range(3)] == [["1", "2", "3", "4", "5"], ["6", "7", "8", "9", "10"], ["11", "12"]]
     assert numbered == [12]
+
+
+def test_families_of_a_class_are_not_stored_per_job(spark, monkeypatch):
+    stored = []
+
+    def spy(df):
+        out = cut_lineage(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(landscape, "cut_lineage", spy)
+    rng = np.random.default_rng(7)
+    vectors = {i: [float(x) for x in rng.normal(size=4)] for i in range(320) if i % 16}
+    jobs = [(f"j{n}", "c", json.dumps(request(patents(str(n), k=1), cpc("A")))) for n in range(20)]
+    tables = Tables(
+        spark.createDataFrame([(str(i), f"t{i}") for i in range(320)], "family_id string, title string"),
+        spark.createDataFrame([(str(i), "A") for i in range(320)], "family_id string, code string"),
+        spark.createDataFrame(list(vectors.items()), "id long, embedding array<double>"),
+    )
+    out = landscape.run_jobs(spark.createDataFrame(jobs, "job_uid string, client_uid string, search_vectors string"), tables)
+    rows = out.items.collect()
+    assert len(rows) == 20 * 320 == len({(r["job_uid"], r["family_id"]) for r in rows})
+    assert all(r["is_seed"] and r["title"] == f"t{r['family_id']}" for r in rows)
+    assert max(stored) <= 320  # classes, families, jobs, and what is a job's own, but no job for each of its families
+    points = np.array(list(vectors.values()))
+    centred = points - points.mean(axis=0)
+    places = dict(zip(vectors, np.abs(centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T)))
+    for r in rows:
+        assert np.allclose(np.abs([r["x"], r["y"]]), places.get(int(r["family_id"]), 0.0), atol=1e-9)
+    assert {r["neighbor_count"] for r in out.results.collect()} == {320}
