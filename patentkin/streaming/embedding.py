@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from patentkin.operators.encoding import embed, new_embeddings
-from patentkin.operators.skew import store_columns as cut_lineage
+from patentkin.operators.skew import cut_lineage
 from patentkin.sources.tables import EMBEDDINGS, PENDING
-from patentkin.streaming.sink import Committed, batch_folder, commit, committed, compact, run_of, stored_rows
+from patentkin.streaming.sink import Committed, Manifest, batch_folder, compact, run_of, stored_rows
 
 FOLD_BATCHES = 32
 
@@ -32,17 +32,18 @@ def compact_embeddings(spark: SparkSession, sink: str) -> str:
     return compact(spark, f"{sink}-manifest", f"{sink}-compacted", {"vectors": first})
 
 
-def _stored_ids(spark: SparkSession, sink: str) -> Callable[[], DataFrame]:
+def _stored_ids(spark: SparkSession, sink: str, manifest: Manifest | None = None) -> Callable[[], DataFrame]:
     """A function that gives (id, run_id, batch_id) of all that is committed when it is called.
 
     A batch is a folder, and a run has as many as it had batches. Once FOLD_BATCHES new ones stand there
     their ids are put to those known before, so that no call has to open all the folders of a long run.
     """
+    manifest = manifest or Manifest(spark, f"{sink}-manifest")
     known, base, held = None, None, set()
 
     def ids() -> DataFrame:
         nonlocal known, base, held
-        state = committed(spark, f"{sink}-manifest")
+        state = manifest.state()
         if state.base != base:
             known, base, held = None, state.base, set()
         new = [b for b in state.batches if b not in held]
@@ -70,7 +71,8 @@ def start_embedding(
     A batch counts once it is entered in the manifest, so half-written ones are neither read nor in the way.
     """
     name = run_of(spark, checkpoint)
-    stored_ids = _stored_ids(spark, sink)
+    manifest = Manifest(spark, f"{sink}-manifest")
+    stored_ids = _stored_ids(spark, sink, manifest)
 
     reader = spark.readStream.schema(PENDING).option("maxFilesPerTrigger", shards_per_batch)
     reader = reader.option("recursiveFileLookup", "true").option("cleanSource", done_shards)
@@ -87,7 +89,7 @@ def start_embedding(
         pending = new_embeddings(rows.repartition(4 * max(parts, 1), "id"), earlier)
         encoded = embed(pending.withColumnRenamed("id", "family_id"), make_predict_fn)
         encoded.write.mode("overwrite").parquet(batch_folder(sink, name, batch_id))
-        commit(spark, f"{sink}-manifest", name, batch_id)
+        manifest.commit(name, batch_id)
 
     return (
         reader.parquet(source)
